@@ -137,11 +137,26 @@ def whole_windows(first: np.ndarray, size: int) -> np.ndarray:
     return np.arange(total) + np.repeat(first[:-1] - begin, counts)
 
 
+def hash_runs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of word hashes; runs are in order and do not overlap."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + _STEP, "right")))
+        piece = words[low : int(ends[to - 1])]
+        power, inverse = _power(_WORDS_A, len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * power[: len(piece)], out=sums[1:])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     """Which of n words lie in a window of `size` words from one of the starts."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + size, n), -1)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + size, n), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
