@@ -11,6 +11,7 @@ from .mixing import mix_sources
 from .quality import quality_rules
 from .sharding import interleave_shards
 from .simhash import near_duplicates
+from .substring import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +34,16 @@ def op8_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op8_interleave_shards": op8_interleave_shards,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
