@@ -13,6 +13,7 @@ from .quality import quality_rules
 from .sharding import interleave_shards
 from .simhash import near_duplicates
 from .substring import substring_dedup
+from .warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,9 +53,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_quality_rules": op7_quality_rules,
     "op8_interleave_shards": op8_interleave_shards,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc_revisits": """
+        with p as (
+            select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages
+        ), q as (select *, min(page_id) over (partition by html) as original from p)
+        select page_id, payload_bytes, sha256(html) as payload_digest,
+               case when payload_bytes >= 100 and original <> page_id then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and original <> page_id then original end as refers_to
+        from q
+    """,
+}
