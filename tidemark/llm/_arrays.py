@@ -165,3 +165,25 @@ def sum_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """The rows of each key of batches sorted by their first `keys` columns (integers, not null): the
+    key and the other columns. Holds one key's rows and a batch at a time."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        fresh = np.zeros(len(columns[0]), bool)
+        fresh[0] = True
+        for c in columns[:keys]:
+            fresh[1:] |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(fresh)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield tuple(int(c[a]) for c in columns[:keys]), [c[a:b] for c in columns[keys:]]
+        held = [c[cuts[-1] :] for c in columns]
+    if held is not None and len(held[0]):
+        yield tuple(int(c[0]) for c in held[:keys]), held[keys:]
