@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontam import find_leaks
 from .langid import language_id
+from .linededup import line_dedup
 from .mixing import mix_sources
 from .quality import quality_rules
 from .sharding import interleave_shards
@@ -29,6 +30,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_quality_rules": op7_quality_rules,
