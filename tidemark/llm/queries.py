@@ -11,6 +11,7 @@ from .decontam import find_leaks
 from .langid import language_id
 from .linededup import line_dedup
 from .mixing import mix_sources
+from .pii import find_personal_data
 from .quality import quality_rules
 from .sharding import interleave_shards
 from .simhash import near_duplicates
@@ -30,6 +31,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -62,6 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_personal_data": op3_personal_data,
     "op4_line_dedup": op4_line_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_warc_revisits": op6_warc_revisits,
