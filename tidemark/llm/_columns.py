@@ -22,3 +22,8 @@ def uniform(seed: int, *parts: Column) -> Column:
 def source_key(source: Column) -> Column:
     """A key that is never null and keeps null apart from every string."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def row_key(doc_id: Column, text: Column, *more: Column) -> Column:
+    """Tells rows apart by id and text (and more); rows with all equal are one. Null is as no text."""
+    return F.xxhash64(doc_id, F.md5(F.coalesce(text, F.lit(""))), *more)

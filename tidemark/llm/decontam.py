@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import buffer_of, hash_ranges, key_runs, slices, tokens, whole_windows, windows
+from ._columns import row_key
 
 SEED_WORDS = 5
 #: Seeds of the benchmark up to which their hashes are broadcast, so that only shared seeds leave
@@ -34,11 +35,6 @@ _PUNCTUATION = np.ones(256, bool)
 _PUNCTUATION[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = False
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows apart by id and text; rows with both equal are one."""
-    return F.xxhash64(doc_id, F.sha1(F.coalesce(text, F.lit(""))))
-
-
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and each text's first word."""
     buf, offsets = buffer_of(column)

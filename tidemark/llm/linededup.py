@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import buffer_of, hash_ranges, hash_runs, mix, pair, slices, tokens
+from ._columns import row_key
 from ._store import stash
-from .decontam import row_key
 
 #: Lines of fewer words are compared for equality only.
 LEAST_WORDS = 5

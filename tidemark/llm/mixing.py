@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._columns import source_key, uniform, word_count
+from ._columns import row_key, source_key, uniform, word_count
 from ._store import stash
 from .ranks import bucket_count, running_total
 
@@ -77,8 +77,8 @@ def mix_sources(
     whole_documents: bool = False,
     seed: int = 5,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, source, digest (MD5 of the text), size,
-    source_size, target, taken, copies, shards.
+    """One row per row of docs: doc_id, source, row (row_key of id, text and
+    source), size, source_size, target, taken, copies, shards.
 
     docs needs doc_id, text and source; other columns are left out, whatever their names. taken: words that the mix
     takes of the document, repeats counted. With whole_documents a document is taken whole or not
@@ -91,6 +91,7 @@ def mix_sources(
     sized = docs.select(
         "doc_id", "source", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_digest"),
+        row_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("row"),
     )
     rows = stash(sized.withColumn("_u", uniform(seed, F.col("doc_id"), F.col("_digest"))), "mix-rows")
     whole = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -121,7 +122,7 @@ def mix_sources(
         return F.get(F.col("_dealt"), block)
 
     return taken.withColumn("copies", copies).select(
-        "doc_id", "source", F.col("_digest").alias("digest"), "size", "source_size", "target", "taken", "copies",
+        "doc_id", "source", "row", "size", "source_size", "target", "taken", "copies",
         F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), shard_of))
         .otherwise(F.array().cast("array<int>")).alias("shards"),
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._columns import source_key, uniform
+from ._columns import row_key, source_key, uniform
 from ._store import stash
 from .ranks import bucket_count, running_total
 
@@ -19,7 +19,8 @@ _SPAN = 1 << 60
 
 
 def interleave_shards(docs: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
+    """One row per row of docs: doc_id, source, size, text_crc32, law, shard, slot, grown_shard,
+    row (row_key of id, text and source).
 
     docs needs doc_id, text and source; other columns are left out, whatever their names. Law
     `rows`: the counts of any two shards differ by one at most. A null source is a source of its
@@ -34,6 +35,7 @@ def interleave_shards(docs: DataFrame, shards: int = 40, seed: int = 11) -> Data
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("_digest"),
+        row_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("row"),
     )
     rows = stash(narrow.withColumn("_u", uniform(seed, F.col("doc_id"), F.col("_digest"))), "shard-rows")
     total = rows.count()
@@ -62,4 +64,5 @@ def interleave_shards(docs: DataFrame, shards: int = 40, seed: int = 11) -> Data
         "shard",
         F.expr(f"position - (shard * cast({n} as bigint) + {shards - 1}) div {shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        "row",
     )

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import SPACE, buffer_of, slices, tokens
+from ._columns import row_key
 from ._store import stash
 from .components import connected
 
@@ -86,14 +87,15 @@ def _fingerprints(shingle: int):
                 (hash64(data[a:b], 42) for a, b in zip(begin[at].tolist(), end[last].tolist(), strict=True)), np.uint64, len(at)
             )
             bits = _majority(hashes, shingles)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits.view(np.int64))], ["doc_id", "row", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for every row of docs(doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """doc_id, row, fp (the 64 bits as a long) for every row of docs(doc_id, text)."""
+    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    return keyed.mapInArrow(_fingerprints(shingle), "doc_id long, row long, fp long")
 
 
 def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +184,9 @@ def links(prints: DataFrame, limit: int = 8192) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 8192) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row of docs(doc_id, text, ...).
+    """doc_id, fingerprint, component_id, row, root for every row of docs(doc_id, text, ...).
+
+    row: as row_key makes it; root: what the rows of a component share, also where no id is known.
 
     A null text, like one without words, has fingerprint zero. Rows with equal fingerprints are one
     class. A null id is no candidate for component_id (null only if its whole component has no id).
@@ -197,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 8192) -> Dat
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(roots, "root").select("fp", "component_id")
+    named = labelled.join(roots, "root").select("fp", "root", "component_id")
     return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row", "root"
     )
