@@ -71,8 +71,10 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> Archive:
-    """Writes a record for each row and says where."""
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> Archive:
+    """Writes a record for each row and says where; compression: as of Spark's text writer. Only
+    uncompressed files are split among readers; with compression a file is read by one task, as it
+    was written by one."""
     archive = Archive(path, uuid.uuid4().hex)
     revisit = F.col("record_type") == "revisit"
     block = F.concat(F.lit(_HTTP), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
@@ -97,7 +99,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
         field("Content-Type", F.lit("application/http;msgtype=response")),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(_END),
     )
-    resolved.select(F.concat(head, block).alias("value")).write.option("lineSep", _END).text(path)
+    resolved.select(F.concat(head, block).alias("value")).write.options(lineSep=_END, compression=compression).text(path)
     return archive
 
 
