@@ -93,9 +93,15 @@ def latest_evidence(devs: DataFrame, keys: list[str]) -> DataFrame:
 def asserted(text: Column, marker: str, hedges: list[str], reach: int = 50) -> Column:
     """Whether a text asserts a marker (an ASCII word): one stands without a hedging phrase within
     `reach` characters on either side."""
-    around = F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?=(.{{0,{reach}}}\b{marker}\b.{{0,{reach}}}))\b?(?<=^|.)"), F.lit(1))
-    at = F.filter(around, lambda w: ~F.exists(F.array(*map(F.lit, hedges)), lambda h: F.contains(w, h)))
-    return F.size(at) > 0
+    pieces = F.split(F.lower(text), rf"\b{marker}\b", -1)
+
+    def free(i: Column) -> Column:
+        """Whether the marker after piece i stands without a hedge."""
+        before = F.right(F.array_join(F.slice(pieces, F.lit(1), i), marker), F.lit(reach))
+        after = F.left(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), marker), F.lit(reach))
+        return ~F.exists(F.array(*map(F.lit, hedges)), lambda h: F.contains(before, h) | F.contains(after, h))
+
+    return (F.size(pieces) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), free)
 
 
 def output_problems(output: Column) -> Column:
