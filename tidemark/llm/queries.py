@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import find_leaks
 from .langid import language_id
 from .linededup import line_dedup
 from .mixing import mix_sources
+from .oracles import ORACLES
 from .pii import find_personal_data
 from .quality import quality_rules
 from .sharding import interleave_shards
@@ -40,7 +42,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("row")
+    mixed = mix_sources(table(spark, sf_dir, "documents")).drop("row")
+    return mixed.withColumn("shards", F.concat_ws(",", F.col("shards").cast("array<string>")))
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -81,15 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "pipeline": pipeline,
 }
-
-ORACLES: dict[str, str] = {
-    "op6_warc_revisits": """
-        with p as (
-            select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages
-        ), q as (select *, min(page_id) over (partition by html) as original from p)
-        select page_id, payload_bytes, sha256(html) as payload_digest,
-               case when payload_bytes >= 100 and original <> page_id then 'revisit' else 'response' end as record_type,
-               case when payload_bytes >= 100 and original <> page_id then original end as refers_to
-        from q
-    """,
-}
