@@ -145,7 +145,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     alike = answers_by_document(matching_items(known, _symbol_items, "shared", width=6))
     marked = known.join(alike, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found")
     later = answers_by_document(matching_items(marked, _window_items, "first"))
-    return (
-        texts.join(later, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found")
-        .mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    )
+    # Both joins read the same shuffled texts; rows without an id meet no answer and stay apart.
+    told = known.join(later, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found")
+    untold = texts.where("doc_id is null").withColumn("found", F.lit(None).cast("array<binary>"))
+    return told.union(untold).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
