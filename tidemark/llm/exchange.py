@@ -4,7 +4,8 @@ A document has items (numbered places), each with a hash key. The task that read
 the keys of some million items at once, settles what it can see by itself and sends one entry for
 what others must judge, so a key that a third of all documents share reaches the other side once a
 million items, not once a document. Entries travel as byte columns, a row for each target partition;
-there they are sorted again and the answers go back as (doc_id, tag, items).
+there they are sorted again, and the answers go back in the same form, dealt by document, to become
+one row a document. Rows shuffled grow with tasks and partitions, bytes with the items.
 
 mode "shared": items whose key is in two or more documents. mode "first": items whose key is also in
 a document with a smaller id.
@@ -27,7 +28,7 @@ UNIT = 1 << 20
 
 _PARTS = ["ids", "tags", "owners", "items", "keys", "more", "sure"]
 _SENT = "pid int, settled boolean, " + ", ".join(f"{p} binary" for p in _PARTS)
-ANSWERS = "doc_id long, tag long, items binary"
+ANSWERS = "doc_id long, tag long, found binary"
 
 #: ids and tags of documents; then for each item the number of its document, its place, its key and
 #: the rest of its key (or None).
@@ -109,20 +110,9 @@ def _send(find: Callable[[Iterator[pa.RecordBatch]], Iterator[Items]], parts: in
             if s.start < s.stop:
                 i = at[s]
                 out.append(_rows(p, False, (ids, tags), (owners[i], items[i], keys[i], None if more is None else more[i], None if sure is None else sure[s]), width))
-        at = np.flatnonzero(hit)
-        pid = _part_of(mix(who[at].astype(np.uint64)), parts)
-        at = at[np.argsort(pid, kind="stable")]
-        edges = np.searchsorted(np.sort(pid), np.arange(parts + 1))
-        for p in range(parts):
-            i = at[edges[p] : edges[p + 1]]
-            if len(i):
-                out.append(_rows(p, True, (ids, tags), (owners[i], items[i], None, None, None), width))
+        out += _answers(parts, (ids, tags), owners[hit], items[hit])
         if out:
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in columns[2:])],
-                ["pid", "settled", *_PARTS],
-            )
+            yield _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = [], 0
@@ -138,25 +128,45 @@ def _send(find: Callable[[Iterator[pa.RecordBatch]], Iterator[Items]], parts: in
     return run
 
 
+def _answers(parts: int, docs: tuple[np.ndarray, np.ndarray], owners: np.ndarray, items: np.ndarray) -> list[tuple]:
+    """Rows that carry items of documents to the partitions of the documents."""
+    pid = _part_of(mix(docs[0][owners].astype(np.uint64)), parts)
+    order = np.lexsort((items, owners, pid))
+    edges = np.searchsorted(pid[order], np.arange(parts + 1))
+    return [_rows(p, True, docs, (owners[i], items[i], None, None, None), 8) for p in range(parts) if len(i := order[edges[p] : edges[p + 1]])]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["pid", "settled", *_PARTS]
+    )
+
+
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _judge(mode: str, width: int):
+def _places(parts: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, tag and item of each entry of a row."""
+    ids = np.cumsum(_unpack(parts["ids"], 8, np.int64))
+    owners = _unpack(parts["owners"], 4, np.uint32)
+    return ids[owners], _unpack(parts["tags"], 4, np.uint32)[owners], _unpack(parts["items"], 4, np.uint32)
+
+
+def _judge(mode: str, width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, hits = [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                settled, parts = row[1], dict(zip(_PARTS, row[2:], strict=True))
-                ids = np.cumsum(_unpack(parts["ids"], 8, np.int64))
-                owners = _unpack(parts["owners"], 4, np.uint32)
-                got = (ids[owners], _unpack(parts["tags"], 4, np.uint32)[owners], _unpack(parts["items"], 4, np.uint32))
+                settled, sent = row[1], dict(zip(_PARTS, row[2:], strict=True))
+                got = _places(sent)
                 if settled:
                     hits.append(got)
                     continue
-                more = _unpack(parts["more"], 4, np.uint32) if parts["more"] else None
-                sure = np.unpackbits(np.frombuffer(parts["sure"], np.uint8), count=len(owners)).astype(bool) if parts["sure"] else None
-                open_.append((*got, _unpack(parts["keys"], width, np.uint64), more, sure))
+                more = _unpack(sent["more"], 4, np.uint32) if sent["more"] else None
+                sure = np.unpackbits(np.frombuffer(sent["sure"], np.uint8), count=len(got[0])).astype(bool) if sent["sure"] else None
+                open_.append((*got, _unpack(sent["keys"], width, np.uint64), more, sure))
         if open_:
             ids, tags, items, keys, more, sure = (None if x[0] is None else np.concatenate(x) for x in zip(*open_, strict=True))
             open_.clear()
@@ -171,27 +181,39 @@ def _judge(mode: str, width: int):
                 hit = np.repeat(crowd | np.logical_or.reduceat(sure[order], cuts), sizes) & ~sure[order]
             order = order[hit]
             hits.append((ids[order], tags[order], items[order]))
-        if not hits:
-            return
-        ids, tags, items = (np.concatenate(x) for x in zip(*hits, strict=True))
-        if not len(ids):
-            return
-        order = np.lexsort((items, tags, ids))
-        ids, tags, items = ids[order], tags[order], items[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
-        for at in range(0, len(cuts), 10_000):
-            some = cuts[at : at + 10_000]
-            ends = np.append(cuts, len(ids))[at + 1 : at + 1 + len(some)]
-            blobs = [items[a:b].tobytes() for a, b in zip(some, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(tags[some].astype(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "tag", "items"]
-            )
+        if hits:
+            ids, tags, items = (np.concatenate(x) for x in zip(*hits, strict=True))
+            if len(ids):
+                order = np.lexsort((tags, ids))
+                fresh = np.ones(len(ids), bool)
+                fresh[1:] = (np.diff(ids[order]) != 0) | (np.diff(tags[order].astype(np.int64)) != 0)
+                owners = np.empty(len(ids), np.int64)
+                owners[order] = np.cumsum(fresh) - 1
+                docs = order[fresh]
+                yield _batch(_answers(parts, (ids[docs], tags[docs]), owners, items))
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a partition."""
+    got = [_places(dict(zip(_PARTS, row[2:], strict=True))) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    if not got:
+        return
+    ids, tags, items = (np.concatenate(x) for x in zip(*got, strict=True))
+    got.clear()
+    order = np.lexsort((items, tags, ids))
+    ids, tags, items = ids[order], tags[order].astype(np.int64), items[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(tags) != 0)]))
+    ends = np.append(cuts[1:], len(ids))
+    for at in range(0, len(cuts), 10_000):
+        some = cuts[at : at + 10_000]
+        blobs = [items[a:b].tobytes() for a, b in zip(some, ends[at : at + 10_000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(tags[some]), pa.array(blobs, pa.binary())], ["doc_id", "tag", "found"])
+
+
 def matching_items(docs: DataFrame, find: Callable[[Iterator[pa.RecordBatch]], Iterator[Items]], mode: str, width: int = 8) -> DataFrame:
-    """doc_id, tag, items (32-bit numbers in a binary); a document's items may come in several rows.
+    """doc_id, tag, found (32-bit numbers in a binary): one row for each document with such items.
 
     find turns batches of docs into Items. width: bytes of a key that are compared (with `more`, all).
     A partition holds the entries of its share of the keys, so spark.sql.shuffle.partitions has to
@@ -199,21 +221,12 @@ def matching_items(docs: DataFrame, find: Callable[[Iterator[pa.RecordBatch]], I
     """
     parts = partitions(docs.sparkSession)
     sent = docs.mapInArrow(_send(find, parts, mode, width), _SENT)
-    return sent.repartitionById(parts, F.col("pid")).mapInArrow(_judge(mode, width), ANSWERS)
-
-
-def answers_by_document(answers: DataFrame) -> DataFrame:
-    """doc_id, tag, found: the binaries of a document together."""
-    return answers.groupBy("doc_id", "tag").agg(F.collect_list("items").alias("found"))
+    judged = sent.repartitionById(parts, F.col("pid")).mapInArrow(_judge(mode, width, parts), _SENT)
+    return judged.repartitionById(parts, F.col("pid")).mapInArrow(_gather, ANSWERS)
 
 
 def items_of(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For a column of such binaries: the number of the row, and the item, of each item."""
-    rows, items = [], []
-    for i, blobs in enumerate(found.to_pylist()):
-        for blob in blobs or ():
-            items.append(np.frombuffer(blob, np.uint32))
-            rows.append(np.full(len(items[-1]), i, np.int64))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(items).astype(np.int64)
+    items = [np.frombuffer(blob, np.uint32) if blob else np.zeros(0, np.uint32) for blob in found.to_pylist()]
+    rows = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    return rows, np.concatenate([np.zeros(0, np.int64), *items]).astype(np.int64)

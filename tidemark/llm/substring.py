@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import buffer_of, covered, hash_ranges, mix, pair, slices, tokens, windows
-from .exchange import Items, answers_by_document, items_of, matching_items
+from .exchange import Items, items_of, matching_items
 
 WINDOW = 13
 #: A symbol of the second round begins at one of the words 1 to REACH of a window ...
@@ -142,10 +142,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
     texts = docs.select("doc_id", tag.alias("tag"), "text")
     known = texts.where("doc_id is not null")
-    alike = answers_by_document(matching_items(known, _symbol_items, "shared", width=6))
+    alike = matching_items(known, _symbol_items, "shared", width=6)
     marked = known.join(alike, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found")
-    later = answers_by_document(matching_items(marked, _window_items, "first"))
+    later = matching_items(marked, _window_items, "first")
     # Both joins read the same shuffled texts; rows without an id meet no answer and stay apart.
     told = known.join(later, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "found")
-    untold = texts.where("doc_id is null").withColumn("found", F.lit(None).cast("array<binary>"))
+    untold = texts.where("doc_id is null").withColumn("found", F.lit(None).cast("binary"))
     return told.union(untold).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
