@@ -125,6 +125,20 @@ _JUDGED = f"""{_DAYS}, judged as (
                "primary" || ':' || min(day)::varchar as episode_key from runs group by subject, run, "primary")"""
 
 
+_BUNDLE = f"""{_DEV}, {_CTX}, ev as (
+        select source_sid as subject, local_date as day, {_METRIC_CASE} as metric, deviation_class, maturity, abs(robust_z) as distance from devs where window_days = 28),
+    b as (
+        select subject, day, count(*) as deviations, count(*) filter (where maturity = 'ESTABLISHED') as established, count(*) filter (where maturity = 'PROVISIONAL') as provisional,
+               count(*) filter (where maturity = 'INSUFFICIENT_HISTORY') as insufficient_history, string_agg(metric || deviation_class, ',' order by metric, deviation_class) as content from ev group by all),
+    each as (select b.subject, b.day, c.day as c_day, unnest(c.contexts) as context, generate_subscripts(c.contexts, 1) as i from b join ctx c on c.subject = b.subject and c.day <= b.day),
+    late as (select *, row_number() over (partition by subject, day order by c_day desc, i desc) as rn from each),
+    rec as (select subject, day, string_agg(distinct context, ',' order by context) as recent_context from late where rn <= 20 group by all),
+    bundle as (
+        select b.*, coalesce(recent_context, '') as recent_context,
+               array_to_string(list_filter([case when insufficient_history > 0 then 'baseline_history' end, case when recent_context is null then 'recent_context' end], lambda x: x is not null), ',') as missing
+        from b left join rec on rec.subject = b.subject and rec.day = b.day)"""
+
+
 def _any(text: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains(lower({text}), '{w.lower()}')" for w in words) + ")"
 
@@ -286,6 +300,21 @@ ORACLES: dict[str, str] = {
         select *, row_number() over (partition by metric, source_sid order by local_date desc, window_days) as rn from devs) where rn = 1""",
     "similar_cases": f"""with {_DAYS}, c as (select subject, day, hypotheses[1] as "primary" from days)
         select subject, day, "primary", least(10, row_number() over w - 1) as cases, lag(day) over w as last_case from c window w as (partition by subject, "primary" order by day)""",
+    "evidence_bundle": f"with {_BUNDLE} select * exclude (content) from bundle",
+    "bundle_changes": f"""with {_BUNDLE}, s as (select subject, content || recent_context || missing = lag(content || recent_context || missing) over (partition by subject order by day) as same from bundle)
+        select subject, count(*) as days, count(*) filter (where same) as unchanged from s group by all""",
+    "evidence_sentences": f"""with {_BUNDLE}, o as (
+            select *, row_number() over (partition by subject, day order by -coalesce(distance, 0), metric) as rn from ev where deviation_class <> 'INSUFFICIENT_BASELINE')
+        select subject, day, string_agg(metric || ' is ' || case deviation_class when 'ABOVE_TYPICAL_RANGE' then 'above' when 'BELOW_TYPICAL_RANGE' then 'below' else 'within' end || ' the usual range',
+            '; ' order by rn) as sentences from o where rn <= 6 group by all""",
+    "retired_baselines": f"with {_BASE} select metric, window_days, count(*) as n from baselines where metric = 'error' group by all",
+    "context_corrections": """with h as (select event_id as id, case when event_id % 3 = 0 then 'SUPERSEDED' else 'CURRENT' end as status from events where event_type = 'signup'),
+        a as (select 'STRESS' as context_type, case when status = 'CURRENT' and id % 4 = 0 then 'SUPERSEDED' when status = 'CURRENT' and id % 2 = 0 then 'DELETED' else status end as status, null as revises from h
+            union all select 'FATIGUE', 'CURRENT', id from h where status = 'CURRENT' and id % 4 = 0)
+        select context_type, status, count(*) as n, count(revises) as revisions from a group by all""",
+    "change_gates": """with g as (select case when event_id % 7 = 0 then 'NEW_VERSION' when (event_id + 1) // 2 = event_id // 2 then 'UNCHANGED' when (event_id + 1) // 3 = event_id // 3 then 'SAME_EVIDENCE'
+            when (event_id + 1) // 5 = event_id // 5 then 'SAME_JUDGMENT' else 'NEW_VERSION' end as gate from events)
+        select gate, count(*) as n from g group by all""",
     "product_state": f"""with {_DAYS} select subject, day, case when list_contains(hypotheses, 'ACUTE_ILLNESS_SUSPECTED') and hypotheses[1] = 'ACUTE_ILLNESS_SUSPECTED' or symptom then 'E'
         when overall_state = 'INSUFFICIENT_EVIDENCE' then 'D' when hypotheses[1] = 'UNKNOWN' and confidence = 'VERY_LOW' then 'D'
         when overall_state = 'STABLE' then 'A' when overall_state = 'MILD_CHANGE' then 'B' else 'C' end as state from days""",

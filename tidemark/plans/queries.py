@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import contains_any, local_date, metric_of
 from ..functions.stats import last_n
-from ..operators import analytics, baseline, checks, features, ingest, product, quality, reasoning, reconcile
+from ..operators import analytics, baseline, checks, evidence, features, ingest, product, quality, reasoning, reconcile
 from ..params import DEFAULT, PAIRS
 from ..sources.tables import episodes, long_series, observation_log, point_facts, segments, table
 
@@ -375,6 +375,50 @@ def similar_cases(spark, d):
     return days.select("subject", "day", "primary", F.size(found).cast("bigint").alias("cases"), F.array_max(found).alias("last_case"))
 
 
+def _evidence_days(spark, d):
+    return _deviations(spark, d).where("window_days = 28").select(
+        F.col("source_sid").alias("subject"), F.col("local_date").alias("day"), _metric_name().alias("metric"), "deviation_class", "maturity", F.abs("robust_z").alias("distance")
+    )
+
+
+def evidence_bundle(spark, d):
+    made = evidence.bundles(_evidence_days(spark, d), _contexts(spark, d), ["subject"])
+    return made.select(
+        "subject", "day", F.size("deviations").cast("bigint").alias("deviations"), "established", "provisional", "insufficient_history",
+        F.array_join("recent_context", ",").alias("recent_context"), F.array_join("missing", ",").alias("missing"),
+    )
+
+
+def bundle_changes(spark, d):
+    """Days of a subject whose bundle differs from that of its day before."""
+    made = evidence.bundles(_evidence_days(spark, d), _contexts(spark, d), ["subject"])
+    before = F.lag("bundle_hash").over(Window.partitionBy("subject").orderBy("day"))
+    return made.withColumn("same", F.col("bundle_hash") == before).groupBy("subject").agg(F.count("*").alias("days"), F.count_if("same").alias("unchanged"))
+
+
+def evidence_sentences(spark, d):
+    return evidence.sentences(_evidence_days(spark, d), ["subject", "day"]).select("subject", "day", F.array_join("sentences", "; ").alias("sentences"))
+
+
+def retired_baselines(spark, d):
+    daily = _values(spark, d)
+    return evidence.retire(_baselines(spark, d), daily.where("metric <> 'error'"), ["metric", "source_sid"]).groupBy("metric", "window_days").agg(F.count("*").alias("n"))
+
+
+def context_corrections(spark, d):
+    history = table(spark, d, "events").where("event_type = 'signup'").select(F.col("event_id").alias("id"), F.lit("STRESS").alias("context_type"), F.when(F.col("event_id") % 3 == 0, "SUPERSEDED").otherwise("CURRENT").alias("status"))
+    changes = history.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, "FATIGUE").alias("context_type"))
+    return evidence.correct_context(history, changes).groupBy("context_type", "status").agg(F.count("*").alias("n"), F.count("revises").alias("revisions"))
+
+
+def change_gates(spark, d):
+    e = table(spark, d, "events").where("event_id % 7 <> 0")
+    text = lambda n: F.md5((F.floor(F.col("event_id") / n)).cast("string"))
+    last = e.select(F.col("event_id").alias("key"), text(2).alias("upstream"), text(3).alias("bundle"), text(5).alias("judgment"))
+    now = table(spark, d, "events").select((F.col("event_id") + 0).alias("key"), F.md5(F.floor((F.col("event_id") + 1) / 2).cast("string")).alias("upstream"), F.md5(F.floor((F.col("event_id") + 1) / 3).cast("string")).alias("bundle"), F.md5(F.floor((F.col("event_id") + 1) / 5).cast("string")).alias("judgment"))
+    return evidence.gates(last, now, "key").groupBy("gate").agg(F.count("*").alias("n"))
+
+
 # --- product
 
 
@@ -506,7 +550,8 @@ QUERIES: dict[str, Query] = {
         trend_theil_sen, change_point, relationship, observation_classify, record_versions, latest_version, late_arrival, capture_compare, overlap_audit,
         version_audit, exact_duplicates, sampling_gap, quality_assess, quality_anti_join, provenance_counts, source_resolution, reconcile_delta,
         reconcile_apply, set_difference, dirty_dates, affected_region, latest_upsert, insert_ignore, semantic_digest, context_extract, signal_set,
-        overall_state, hypothesis_candidates, base_confidence, medical_trigger, evidence_latest, similar_cases, product_state, canonical_days,
+        overall_state, hypothesis_candidates, base_confidence, medical_trigger, evidence_latest, similar_cases, evidence_bundle, bundle_changes, evidence_sentences, retired_baselines,
+        context_corrections, change_gates, product_state, canonical_days,
         episode_islands, episode_timeline, episode_search, patterns, notification_gate, context_expiry, sessions, top_series, usage_rollup,
         upstream_signature, export_user, scope_guard, quantile_checks, leak_check, duplicate_keys, orphan_check, forbidden_words,
     )
