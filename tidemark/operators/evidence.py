@@ -22,13 +22,16 @@ def bundles(devs: DataFrame, contexts: DataFrame, keys: list[str], params: Param
         F.array_sort(F.collect_list(F.struct("metric", "deviation_class"))).alias("deviations"),
         *(F.count_if(F.col("maturity") == m).alias(m.lower()) for m in ("ESTABLISHED", "PROVISIONAL", "INSUFFICIENT_HISTORY")),
     )
-    # Contexts and bundle days on one line: a frame collects what came before, without a range join.
-    line = folded.select(*keys, "day", F.lit(1).alias("_bundle"), F.lit(None).cast("array<string>").alias("contexts")).unionByName(
-        contexts.select(*keys, "day", F.lit(0).alias("_bundle"), "contexts")
+    # The last contexts as of each day with contexts come from a frame of fixed length; bundle days on
+    # the same line then take the last such list, without a range join.
+    lately = Window.partitionBy(*keys).orderBy("day").rowsBetween(1 - params.recent_context, 0)
+    told = contexts.where(F.size("contexts") > 0).select(
+        *keys, "day", F.lit(0).alias("_bundle"), F.slice(F.reverse(F.flatten(F.collect_list("contexts").over(lately))), 1, params.recent_context).alias("recent")
     )
-    frame = Window.partitionBy(*keys).orderBy("day", "_bundle").rowsBetween(Window.unboundedPreceding, 0)
-    recent = F.slice(F.reverse(F.flatten(F.collect_list("contexts").over(frame))), 1, params.recent_context)
-    seen = line.withColumn("recent", recent).where("_bundle = 1").select(*keys, "day", F.array_sort(F.array_distinct("recent")).alias("recent_context"))
+    line = told.unionByName(folded.select(*keys, "day", F.lit(1).alias("_bundle"), F.lit(None).cast("array<string>").alias("recent")))
+    last = F.last("recent", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("day", "_bundle").rowsBetween(Window.unboundedPreceding, 0))
+    recent = F.coalesce(last, F.array().cast("array<string>"))
+    seen = line.withColumn("_last", recent).where("_bundle = 1").select(*keys, "day", F.array_sort(F.array_distinct("_last")).alias("recent_context"))
     joined = folded.join(seen, [*keys, "day"])
     missing = F.array_compact(F.array(
         F.when(F.col("insufficient_history") > 0, "baseline_history"), F.when(F.size("recent_context") == 0, "recent_context"),

@@ -1,4 +1,8 @@
-"""The registered queries: each operator on the input tables."""
+"""The registered queries: each operator on the whole of its input tables.
+
+Where an operator compares two states (before and after, with gaps, with errors), a rule on the keys
+makes them out of one table: it says what changed or is missing, and all rows take part.
+"""
 
 from __future__ import annotations
 
