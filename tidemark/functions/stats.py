@@ -35,13 +35,18 @@ def average_ranks(values: Column) -> Column:
     return F.transform(values, lambda x: below(x) + (equal(x) + 1) / F.lit(2.0))
 
 
+def correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
+    """Pearson's r from sums; 0 where either side is constant. ANSI mode makes the built-in corr()
+    fail on constants."""
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    return F.when((vx > 1e-9) & (vy > 1e-9), F.try_divide(sxy - sx * sy / n, F.sqrt(vx * vy))).otherwise(F.lit(0.0))
+
+
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation of two arrays of one length; 0 where either is constant. ANSI mode makes the
-    built-in corr() fail on constants."""
-    dx, dy = F.transform(x, lambda v: v - mean(x)), F.transform(y, lambda v: v - mean(y))
+    """Correlation of two short arrays of one length."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    scale = F.sqrt(dot(dx, dx)) * F.sqrt(dot(dy, dy))
-    return F.when(scale > 0, dot(dx, dy) / scale).otherwise(F.lit(0.0))
+    return correlation(F.size(x).cast("double"), total(x), total(y), dot(x, x), dot(y, y), dot(x, y))
 
 
 def spearman(x: Column, y: Column) -> Column:
@@ -63,6 +68,12 @@ def theil_sen(days: Column, values: Column) -> Column:
     return F.coalesce(median(slopes), F.lit(0.0))
 
 
+def window_rank(value: str, *keys: str) -> Column:
+    """Average ranks over the rows of a key, for groups of any size."""
+    ordered = F.rank().over(Window.partitionBy(*keys).orderBy(value))
+    return ordered + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
+
+
 def last_n(df: DataFrame, n: int, order: list[Column], *keys: str) -> DataFrame:
     """The first n rows of each key in the given (descending) order."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

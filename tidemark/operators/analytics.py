@@ -132,12 +132,16 @@ def relationships(features: DataFrame, pairs: list[tuple[str, str]], context: li
         .join(has.withColumnRenamed("metric", "right_metric"), ["right_metric", *context])
     )
     points = left.join(F.broadcast(names), "left_metric").join(right, ["right_metric", *context, "local_date"])
-    folded = points.groupBy("left_metric", "right_metric", *context).agg(
-        F.array_sort(F.collect_list(F.struct("local_date", "x", "y"))).alias("p"), F.max("local_date").alias("as_of")
-    )
-    joined = both.join(folded, ["left_metric", "right_metric", *context], "left").withColumn("n", F.coalesce(F.size("p"), F.lit(0)).cast("bigint"))
+    keys = ["left_metric", "right_metric", *context]
+    # Ranks and sums by window and group: days of a pair may be many.
+    ranked = points.select(*keys, "local_date", "x", "y").withColumns({"rx": stats.window_rank("x", *keys), "ry": stats.window_rank("y", *keys)})
+    folded = ranked.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max("local_date").alias("as_of"),
+        stats.correlation(F.count("*").cast("double"), F.sum("rx"), F.sum("ry"), F.sum(F.col("rx") * F.col("rx")), F.sum(F.col("ry") * F.col("ry")), F.sum(F.col("rx") * F.col("ry"))).alias("r"),
+    )
+    joined = both.join(folded, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     enough = F.col("n") >= params.pair_points
-    rho = joined.withColumn("rho", F.when(enough, F.round(stats.spearman(F.col("p.x"), F.col("p.y")), 6)))
+    rho = joined.withColumn("rho", F.when(enough, F.round("r", 6)))
     return rho.select(
         "left_metric", "right_metric", *context, "as_of", "n", "rho",
         F.when(~enough, "INSUFFICIENT_PAIRED_DATA").when(F.col("rho") >= params.pair_rho, "POSITIVE_ASSOCIATION")
