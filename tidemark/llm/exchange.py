@@ -7,8 +7,10 @@ million items, not once a document. Entries travel as byte columns, a row for ea
 there they are sorted again, and the answers go back in the same form, dealt by document, to become
 one row a document. Rows shuffled grow with tasks and partitions, bytes with the items.
 
-mode "shared": items whose key is in two or more documents. mode "first": items whose key is also in
-a document with a smaller id.
+Modes: "shared" finds items whose key is in two or more documents; "first" those whose key is also in
+a document with a smaller id; "before" those whose key stands earlier in the order of id, tag and
+place; "distinct" those whose key comes with two or more different rests (of the items with an equal
+key and rest only the earliest).
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ _SENT = "pid int, settled boolean, " + ", ".join(f"{p} binary" for p in _PARTS)
 ANSWERS = "doc_id long, tag long, found binary"
 
 #: ids and tags of documents; then for each item the number of its document, its place, its key and
-#: the rest of its key (or None).
+#: the rest of its key (or None): 32 bits more of the key, in mode "distinct" 64 bits beside it.
 Items = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]
 
 
@@ -61,6 +63,39 @@ def _groups(keys: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.n
     return order, np.flatnonzero(fresh)
 
 
+def _verdict(mode: str, place: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray, more: np.ndarray | None, sure: np.ndarray | None):
+    """An order of (some of) the items by key, where each key's group begins in it, and which items
+    are found; place: ids, tags and numbers."""
+    ids, tags, items = place
+    if mode in ("first", "shared"):
+        order, cuts = _groups(keys, more)
+        who, sizes = ids[order], np.diff(np.append(cuts, len(order)))
+        low = np.minimum.reduceat(who, cuts) if len(cuts) else who
+        if mode == "first":
+            return order, cuts, who > np.repeat(low, sizes)
+        crowd = np.maximum.reduceat(who, cuts) != low if len(cuts) else np.zeros(0, bool)
+    else:
+        order = np.lexsort((items, tags, ids, more, keys))
+        k, m = keys[order], more[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+        if mode == "before":
+            cuts = np.flatnonzero(head)
+            first = order[np.repeat(cuts, np.diff(np.append(cuts, len(order))))]
+            same = (ids[order] == ids[first]) & (tags[order] == tags[first]) & (items[order] == items[first])
+            return order, cuts, ~same
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = k[1:] != k[:-1]
+        told = np.logical_or.reduceat(sure[order], np.flatnonzero(fresh)) if sure is not None and len(order) else False
+        order, fresh = order[head], fresh[head]
+        cuts = np.flatnonzero(fresh)
+        sizes = np.diff(np.append(cuts, len(order)))
+        return order, cuts, np.repeat((sizes > 1) | told, sizes)
+    if sure is not None and len(cuts):
+        crowd = crowd | np.logical_or.reduceat(sure[order], cuts)
+    return order, cuts, np.repeat(crowd, sizes)
+
+
 def _rows(pid: int, settled: bool, docs: tuple[np.ndarray, np.ndarray], entries: tuple, width: int) -> tuple:
     ids, tags = docs
     owners, items, keys, more, sure = entries
@@ -69,7 +104,7 @@ def _rows(pid: int, settled: bool, docs: tuple[np.ndarray, np.ndarray], entries:
     return (
         pid, settled, _pack(steps, 8), _pack(tags[used].astype(np.uint32), 4), _pack(owners.astype(np.uint32), 4),
         _pack(items.astype(np.uint32), 4), b"" if keys is None else _pack(keys >> np.uint64(8 * (8 - width)), width),
-        b"" if more is None else _pack(more, 4), b"" if sure is None else np.packbits(sure).tobytes(),
+        b"" if more is None else _pack(more, more.itemsize), b"" if sure is None else np.packbits(sure).tobytes(),
     )
 
 
@@ -86,20 +121,12 @@ def _send(find: Callable[[Iterator[pa.RecordBatch]], Iterator[Items]], parts: in
         items = np.concatenate([u[3] for u in unit])
         keys = np.concatenate([u[4] for u in unit])
         more = np.concatenate([u[5] for u in unit]) if unit[0][5] is not None else None
-        order, cuts = _groups(keys, more)
+        order, cuts, hit = _verdict(mode, (ids[owners], tags[owners], items), keys, more, None)
         owners, items, keys = owners[order], items[order], keys[order]
         more = None if more is None else more[order]
-        sizes = np.diff(np.append(cuts, len(keys)))
-        who = ids[owners]
-        low = np.minimum.reduceat(who, cuts) if len(cuts) else who
-        if mode == "first":
-            hit = who > np.repeat(low, sizes)
-            send, sure = ~hit, None
-        else:
-            crowd = np.maximum.reduceat(who, cuts) != low if len(cuts) else np.zeros(0, bool)
-            hit = np.repeat(crowd, sizes)
-            send = ~hit
-            send[cuts[crowd]] = True
+        send, sure = ~hit, None
+        if mode in ("shared", "distinct"):
+            send[cuts] = True
             sure = hit[send]
         out = []
         at = np.flatnonzero(send)
@@ -161,24 +188,19 @@ def _judge(mode: str, width: int, parts: int):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 settled, sent = row[1], dict(zip(_PARTS, row[2:], strict=True))
                 got = _places(sent)
+                rest = 8 if mode == "distinct" else 4
                 if settled:
                     hits.append(got)
                     continue
-                more = _unpack(sent["more"], 4, np.uint32) if sent["more"] else None
+                more = _unpack(sent["more"], rest, np.dtype(f"u{rest}")) if sent["more"] else None
                 sure = np.unpackbits(np.frombuffer(sent["sure"], np.uint8), count=len(got[0])).astype(bool) if sent["sure"] else None
                 open_.append((*got, _unpack(sent["keys"], width, np.uint64), more, sure))
         if open_:
             ids, tags, items, keys, more, sure = (None if x[0] is None else np.concatenate(x) for x in zip(*open_, strict=True))
             open_.clear()
-            order, cuts = _groups(keys, more)
-            sizes = np.diff(np.append(cuts, len(keys)))
-            who = ids[order]
-            low = np.minimum.reduceat(who, cuts)
-            if mode == "first":
-                hit = who > np.repeat(low, sizes)
-            else:
-                crowd = np.maximum.reduceat(who, cuts) != low
-                hit = np.repeat(crowd | np.logical_or.reduceat(sure[order], cuts), sizes) & ~sure[order]
+            order, cuts, hit = _verdict(mode, (ids, tags, items), keys, more, sure)
+            if sure is not None:
+                hit = hit & ~sure[order]
             order = order[hit]
             hits.append((ids[order], tags[order], items[order]))
         if hits:

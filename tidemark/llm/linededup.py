@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import buffer_of, hash_ranges, hash_runs, mix, pair, slices, tokens
-from ._columns import row_key
-from ._store import stash
+from ._store import partitions
+from .exchange import Items, items_of, matching_items
 
 #: Lines of fewer words are compared for equality only.
 LEAST_WORDS = 5
@@ -32,6 +32,8 @@ LEAST_WORDS = 5
 _LINE_END = np.zeros(256, bool)
 _LINE_END[10] = True
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
+#: The id that rows without one are ordered by.
+_LAST = (1 << 63) - 1
 
 
 def _line_words(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -48,50 +50,58 @@ def _line_words(column: pa.Array) -> tuple[np.ndarray, ...]:
     return owner[full], number[full], first[full], last[full], hash_ranges(buf, start, end)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, line, a, b (128 bits of hash), halves of each line with a word, for rows (row, text)."""
+def _line_items(batches: Iterator[pa.RecordBatch]) -> Iterator[Items]:
+    """The lines of rows (oid, tag, text), with 96 bits of hash."""
     for batch in slices(batches):
-        owner, number, first, last, words = _line_words(batch.column(1))
-        n = last - first
-        near = n >= LEAST_WORDS
-        keys, ends = [], np.zeros(len(n) + 1, np.int32)
-        np.cumsum(4 * near, out=ends[1:])
+        owner, number, first, last, words = _line_words(batch.column(2))
+        rest = hash_runs(mix(words ^ _SALT), first, last).astype(np.uint32)
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), owner, number, hash_runs(words, first, last), rest
+
+
+def _half_items(batches: Iterator[pa.RecordBatch]) -> Iterator[Items]:
+    """The halves of the lines of enough words, each with a hash of its line beside it."""
+    for batch in slices(batches):
+        owner, number, first, last, words = _line_words(batch.column(2))
+        line = hash_runs(words, first, last)
+        near = np.flatnonzero(last - first >= LEAST_WORDS)
+        owner, number, first, last, line = owner[near], number[near], first[near], last[near], line[near]
+        n, keys, of = last - first, [], []
         for size in ((n - 1) // 2, n // 2):
-            size = np.where(near, size, 0)
-            tag = mix(size.astype(np.uint64))
-            keys += [pair(hash_runs(words, first, first + size), tag), pair(hash_runs(words, last - size, last), tag ^ _SALT)]
-        halves = np.stack(keys, axis=1)[near].ravel() if len(n) else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(pa.array(owner)), pa.array(number.astype(np.int64)),
-                pa.array(hash_runs(words, first, last).view(np.int64)),
-                pa.array(hash_runs(mix(words ^ _SALT), first, last).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(halves.view(np.int64))),
-            ],
-            ["row", "line", "a", "b", "halves"],
-        )
+            some = np.flatnonzero(size == n // 2) if keys else np.flatnonzero(n // 2 != size)
+            size, tag = size[some], mix(size[some].astype(np.uint64))
+            keys += [pair(hash_runs(words, first[some], first[some] + size), tag), pair(hash_runs(words, last[some] - size, last[some]), tag ^ _SALT)]
+            of += [some, some]
+        key, of_ = np.concatenate(keys), np.concatenate(of)
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), owner[of_], number[of_], key, line[of_]
 
 
-def _chosen(texts: list[str | None], lines: list[list[int] | None]) -> Iterator[tuple[int, int, list[str]]]:
-    for i, (text, numbers) in enumerate(zip(texts, lines, strict=True)):
-        split = (text or "").split("\n") if numbers else []
-        for number in numbers or ():
-            yield i, number, split[number].encode().split()
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (oid, tag, text, alike, equal): oid, tag, line, words of the lines alike and not equal."""
+    for batch in slices(batches):
+        rows, lines = items_of(batch.column(3))
+        gone_rows, gone = items_of(batch.column(4))
+        left = np.unique(rows << 32 | lines)
+        left = left[~np.isin(left, gone_rows << 32 | gone)]
+        texts, split, at = batch.column(2), [], -1
+        words = []
+        for x in left.tolist():
+            if x >> 32 != at:
+                at = x >> 32
+                split = texts[at].as_py().split("\n")
+            words.append(b" ".join(split[x & 0xFFFFFFFF].encode().split()).decode())
+        of = pa.array(left >> 32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(of), batch.column(1).take(of), pa.array(left & 0xFFFFFFFF), pa.array(words, pa.string())], ["oid", "tag", "line", "words"]
+        )
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (row, doc_id, text, lines): key, more (128 bits), role, doc_id, row, line. Roles: 0 a
-    variant with the position of the word left out, 1 the line itself, 2 a variant."""
-    for batch in slices(batches):
-        of, numbers, hashes, counts = [], [], [], []
-        for i, number, words in _chosen(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            of.append(i)
-            numbers.append(number)
-            counts.append(len(words))
-            hashes.append(np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), np.uint64))
-        if not of:
-            continue
-        words, n = np.concatenate(hashes), np.array(counts)
+    """For rows (oid, tag, line, words): key, more (128 bits), role, oid, tag, line. Roles: 0 a variant
+    with the position of the word left out, 1 the line itself, 2 a variant."""
+    for batch in slices(batches, "words"):
+        buf, offsets = buffer_of(batch.column(3))
+        start, end, begin = tokens(buf, offsets)
+        words, n = hash_ranges(buf, start, end), np.diff(begin)
         first = np.cumsum(n) - n
         line = np.repeat(np.arange(len(n)), n)
         place = (np.arange(len(words)) - first[line]).astype(np.uint64)
@@ -110,29 +120,15 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both.append((pair(shorter, place + _SALT), mix(whole), mix(shorter)))
         role = np.repeat(np.array([0, 1, 2], np.int32), [len(words), len(n), len(words)])
         at = np.concatenate([line, np.arange(len(n)), line])
-        source = np.array(of)[at]
         yield pa.RecordBatch.from_arrays(
             [
                 *(pa.array(np.concatenate(x).view(np.int64)) for x in both), pa.array(role),
-                batch.column(1).take(pa.array(source)), batch.column(0).take(pa.array(source)), pa.array(np.array(numbers, np.int64)[at]),
+                *(batch.column(i).take(pa.array(at)) for i in range(3)),
             ],
-            ["key", "more", "role", "doc_id", "row", "line"],
+            ["key", "more", "role", "oid", "tag", "line"],
         )
 
 
-def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = list(_chosen(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(pa.array([f[0] for f in found], pa.int64())),
-                pa.array([f[1] for f in found], pa.int64()),
-                pa.array([b" ".join(f[2]).decode() for f in found], pa.string()),
-            ],
-            ["row", "line", "words"],
-        )
-
-
 def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps rows (..., words, other) whose last two columns are within one edit."""
     for batch in batches:
@@ -145,13 +141,16 @@ def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (doc_id, text, equal, near): what is left."""
     for batch in slices(batches):
+        marks = [items_of(batch.column(i)) for i in (2, 3)]
+        cuts = [np.searchsorted(rows, np.arange(batch.num_rows + 1)) for rows, _ in marks]
         out: list[tuple] = []
-        for text, exact, near in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for i, text in enumerate(batch.column(1).to_pylist()):
             lines = text.split("\n") if text is not None else []
-            gone = {*(exact or ()), *(near or ())}
-            kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-            out.append((len(lines), len(set(exact or ())), len(set(near or ())), hashlib.sha256(kept.encode()).hexdigest(), kept))
+            equal, near = (set(items[c[i] : c[i + 1]].tolist()) for (_, items), c in zip(marks, cuts, strict=True))
+            kept = "\n".join(x for j, x in enumerate(lines) if j not in equal and j not in near)
+            out.append((len(lines), len(equal), len(near), hashlib.sha256(kept.encode()).hexdigest(), kept))
         columns = list(zip(*out, strict=True)) or [()] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays(
@@ -160,6 +159,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _packed(lines: DataFrame) -> DataFrame:
+    """oid, tag, found: line numbers of each text together, as matching_items() gives them."""
+    hexed = F.array_join(F.transform(F.sort_array(F.collect_set("line")), lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    turned = F.regexp_replace(hexed, "(..)(..)(..)(..)", "$4$3$2$1")
+    return lines.groupBy("oid", "tag").agg(F.unhex(turned).alias("found"))
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_equal, n_near, kept_sha256, kept for every row of docs(doc_id, text, ...).
 
@@ -167,60 +173,33 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     line goes if it equals one that stands earlier (a smaller doc_id, or higher up in the text), or
     if it has LEAST_WORDS words or more and an earlier line of as many is within one edit of it;
     lines are judged on the input, not on what is left. Lines without words stay. Null ids come
-    last. A null text has no lines. Rows with equal id and text are one document and give equal
-    rows; rows that share only the id come in the order of a hash of their texts. Other columns are
-    not looked at. An empty table gives an empty one.
+    last (as the largest id). A null text has no lines. Rows with equal id and text are one document
+    and give equal rows; rows that share only the id come in the order of a hash of their texts.
+    Other columns are not looked at. An empty table gives an empty one.
     """
-    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
-    # The place in order: null ids last, then id, row and line.
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("line").alias("line"))
-    listed = stash(
-        rows.select(F.struct("row", "doc_id").alias("row"), "text")
-        .mapInArrow(_lines, "row struct<row: long, doc_id: long>, line long, a long, b long, halves array<long>")
-        .select("row.row", "row.doc_id", "line", "a", "b", "halves"),
-        "lines",
-    )
-    firsts = listed.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    equal = (
-        listed.select("a", "b", "row", "doc_id", "line").join(firsts.where("n > 1").select("a", "b", "first"), ["a", "b"])
-        .where((F.col("first.row") != F.col("row")) | (F.col("first.line") != F.col("line")))
-        .select("row", "line")
-    )
-    # One row for each different line and half.
-    halves = listed.select("a", "b", F.explode(F.array_distinct("halves")).alias("half")).distinct()
-    crowded = (
-        halves.groupBy("half").agg(F.min(F.struct("a", "b")).alias("x"), F.max(F.struct("a", "b")).alias("y"))
-        .where("x <> y").select("half")
-    )
-    alike = halves.join(crowded, "half").select("a", "b").distinct()
-    candidates = stash(firsts.join(alike, ["a", "b"]).select("first.*"), "line-candidates")
-    chosen = candidates.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    texts = rows.join(chosen, "row").dropDuplicates(["row"])
-    variants = stash(
-        texts.select("row", "doc_id", "text", "lines").mapInArrow(_variants, "key long, more long, role int, doc_id long, row long, line long"),
-        "line-variants",
-    )
-    earliest = variants.groupBy("key", "more", "role").agg(F.min(place).alias("witness"))
+    oid = F.coalesce(F.col("doc_id"), F.lit(_LAST))
+    texts = docs.select(oid.alias("oid"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), "text")
+    on, order = ["oid", "tag"], F.struct("oid", "tag", "line")
+    # Every join of the texts is on the same keys: they are shuffled once.
+    equal = matching_items(texts, _line_items, "before").select(F.col("doc_id").alias("oid"), "tag", F.col("found").alias("equal"))
+    alike = matching_items(texts, _half_items, "distinct").select(F.col("doc_id").alias("oid"), "tag", F.col("found").alias("alike"))
+    marked = texts.join(alike, on, "left").join(equal, on, "left").select("oid", "tag", "text", "alike", "equal")
+    parts = partitions(docs.sparkSession)
+    # Rows with equal id and text name the same lines.
+    lines = marked.where("alike is not null").mapInArrow(_candidates, "oid long, tag long, line long, words string").repartition(parts, *on).distinct()
+    variants = lines.mapInArrow(_variants, "key long, more long, role int, oid long, tag long, line long")
+    earliest = variants.groupBy("key", "more", "role").agg(F.min(order).alias("w"))
     # A variant looks for lines that equal it, a line for variants that do.
-    meets = earliest.select("key", "more", F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role")).alias("role"), "witness")
-    pairs = (
-        variants.join(meets, ["key", "more", "role"]).where(F.col("witness") < place)
-        .groupBy("row", "line").agg(F.min("witness").alias("w"))
-        .select("row", "line", F.col("w.row").alias("w_row"), F.col("w.line").alias("w_line"))
-    )
-    words = texts.select("row", "text", "lines").mapInArrow(_texts_of, "row long, line long, words string")
-    other = words.select(F.col("row").alias("w_row"), F.col("line").alias("w_line"), F.col("words").alias("other"))
+    meets = earliest.select("key", "more", F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role")).alias("role"), "w")
+    pairs = variants.join(meets, ["key", "more", "role"]).where(F.col("w") < order).groupBy("oid", "tag", "line").agg(F.min("w").alias("w"))
+    other = lines.select(F.struct("oid", "tag", "line").alias("w"), F.col("words").alias("other"))
     near = (
-        pairs.join(words, ["row", "line"]).join(other, ["w_row", "w_line"]).select("row", "line", "words", "other")
-        .mapInArrow(_within_one, "row long, line long, words string, other string").select("row", "line")
-    )
-    gone = (
-        equal.select("row", "line", F.lit(True).alias("same")).union(near.select("row", "line", F.lit(False)))
-        .groupBy("row").agg(
-            F.collect_set(F.when(F.col("same"), F.col("line"))).alias("equal"), F.collect_set(F.when(~F.col("same"), F.col("line"))).alias("near")
-        )
+        pairs.join(lines, ["oid", "tag", "line"]).join(other, "w").select("oid", "tag", "line", "words", "other")
+        .mapInArrow(_within_one, "oid long, tag long, line long, words string, other string")
     )
+    told = _packed(near).withColumnRenamed("found", "near")
     return (
-        rows.join(gone, "row", "left").select("doc_id", "text", "equal", "near")
+        texts.join(told, on, "left").join(equal, on, "left")
+        .select(F.when(F.col("oid") != _LAST, F.col("oid")).alias("doc_id"), "text", "equal", "near")
         .mapInArrow(_strip, "doc_id long, n_lines long, n_equal long, n_near long, kept_sha256 string, kept string")
     )
