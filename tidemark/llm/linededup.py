@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import buffer_of, hash_ranges, hash_runs, mix, pair, slices, tokens
+from ._arrays import SLICE_BYTES, buffer_of, hash_ranges, hash_runs, mix, pair, slices, tokens
 from ._store import partitions
 from .exchange import Items, items_of, matching_items
 
@@ -95,38 +95,50 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (oid, tag, line, words): key, more (128 bits), role, oid, tag, line. Roles: 0 a variant
-    with the position of the word left out, 1 the line itself, 2 a variant."""
-    for batch in slices(batches, "words"):
-        buf, offsets = buffer_of(batch.column(3))
-        start, end, begin = tokens(buf, offsets)
-        words, n = hash_ranges(buf, start, end), np.diff(begin)
-        first = np.cumsum(n) - n
-        line = np.repeat(np.arange(len(n)), n)
-        place = (np.arange(len(words)) - first[line]).astype(np.uint64)
-        both = []
-        for base in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)):
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            powers = np.full(int(n.max()) + 1, base, np.uint64)
-            powers[0] = 1
-            powers = np.cumprod(powers, dtype=np.uint64)
-            term = mix(words ^ base) * powers[place.astype(np.int64)]
-            sums = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(term, out=sums[1:])
-            whole = sums[first + n] - sums[first]
-            before = sums[:-1] - sums[first][line]
-            shorter = before + (whole[line] - before - term) * inverse
-            both.append((pair(shorter, place + _SALT), mix(whole), mix(shorter)))
-        role = np.repeat(np.array([0, 1, 2], np.int32), [len(words), len(n), len(words)])
-        at = np.concatenate([line, np.arange(len(n)), line])
+def _neighbourhood(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For lines of words: of each variant the line, its number in the line, its role, and two keys of
+    64 bits. Roles: 0 a variant with the position of the word left out, 1 the line itself, 2 a variant."""
+    buf, offsets = buffer_of(column)
+    start, end, begin = tokens(buf, offsets)
+    words, n = hash_ranges(buf, start, end), np.diff(begin)
+    line = np.repeat(np.arange(len(n)), n)
+    place = (np.arange(len(words)) - begin[line]).astype(np.uint64)
+    keys = []
+    for base in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)):
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        powers = np.full(int(n.max(initial=0)) + 1, base, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        term = mix(words ^ base) * powers[place.astype(np.int64)]
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(term, out=sums[1:])
+        whole = sums[begin[1:]] - sums[begin[:-1]]
+        before = sums[:-1] - sums[begin[line]]
+        shorter = before + (whole[line] - before - term) * inverse
+        keys.append(np.concatenate([pair(shorter, place + _SALT), mix(whole), mix(shorter)]))
+    role = np.repeat(np.array([0, 1, 2], np.int32), [len(words), len(n), len(words)])
+    number = np.concatenate([place.astype(np.int64), n, n[line] + 1 + place.astype(np.int64)])
+    return np.concatenate([line, np.arange(len(n)), line]), number, role, keys
+
+
+def _variant_items(batches: Iterator[pa.RecordBatch]) -> Iterator[Items]:
+    """All variants of lines (id, tag, words), a line standing for a document."""
+    for batch in slices(batches, "words", SLICE_BYTES // 8):
+        line, number, _, keys = _neighbourhood(batch.column(2))
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), line, number, keys[0], None
+
+
+def _shared_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For lines (oid, tag, line, words, found): key, more (128 bits), role, oid, tag, line of the
+    variants that were found in another line."""
+    for batch in slices(batches, "words", SLICE_BYTES // 8):
+        line, number, role, keys = _neighbourhood(batch.column(3))
+        rows, items = items_of(batch.column(4))
+        at = np.flatnonzero(np.isin(line << 32 | number, rows << 32 | items))
         yield pa.RecordBatch.from_arrays(
-            [
-                *(pa.array(np.concatenate(x).view(np.int64)) for x in both), pa.array(role),
-                *(batch.column(i).take(pa.array(at)) for i in range(3)),
-            ],
+            [*(pa.array(k[at].view(np.int64)) for k in keys), pa.array(role[at]), *(batch.column(i).take(pa.array(line[at])) for i in range(3))],
             ["key", "more", "role", "oid", "tag", "line"],
-        )
+        )
 
 
 def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +199,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     parts = partitions(docs.sparkSession)
     # Rows with equal id and text name the same lines.
     lines = marked.where("alike is not null").mapInArrow(_candidates, "oid long, tag long, line long, words string").repartition(parts, *on).distinct()
-    variants = lines.mapInArrow(_variants, "key long, more long, role int, oid long, tag long, line long")
+    # Only variants that two lines have go on; the others, nearly all, are seen as six bytes once.
+    named = lines.withColumns({"lid": F.xxhash64("oid", "tag", "line"), "ltag": F.xxhash64("line", "tag", "oid").bitwiseAND(F.lit(0xFFFFFFFF))})
+    shared = matching_items(named.select("lid", "ltag", "words"), _variant_items, "shared", width=6).select(F.col("doc_id").alias("lid"), F.col("tag").alias("ltag"), "found")
+    variants = named.join(shared, ["lid", "ltag"]).select("oid", "tag", "line", "words", "found").mapInArrow(
+        _shared_variants, "key long, more long, role int, oid long, tag long, line long"
+    )
     earliest = variants.groupBy("key", "more", "role").agg(F.min(order).alias("w"))
     # A variant looks for lines that equal it, a line for variants that do.
     meets = earliest.select("key", "more", F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role")).alias("role"), "w")
