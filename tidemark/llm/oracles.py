@@ -97,9 +97,51 @@ def mixing(shards: int = 16, per_shard: int = 64, seed: int = 5) -> str:
     """
 
 
+def lines() -> str:
+    return rf"""
+        with d as (select doc_id, string_split(text, chr(10)) as ls from documents),
+        l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from d),
+        w as (select doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from l),
+        r as (select *, row_number() over (partition by ws order by doc_id nulls last, i) as nth from w),
+        c as (select *, array_to_string(ws, ' ') as k, row_number() over (order by doc_id nulls last, i) as place from r where nth = 1 and len(ws) >= 5),
+        p as (select place, ws, unnest(generate_series(1, len(ws))) as p from c),
+        v as (select place, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') as v from p),
+        near as (select place from (select place, min(place) over (partition by p, v) as least from v) where least < place
+                 union select c.place from c join (select v, min(place) as least from v group by v) x on x.v = c.k where least < c.place
+                 union select v.place from v join c on c.k = v.v where c.place < v.place),
+        m as (select r.doc_id, r.line, r.i, len(r.ws) > 0 and r.nth > 1 as equal, near.place is not null as near
+              from r left join c on c.doc_id is not distinct from r.doc_id and c.i = r.i left join near on near.place = c.place),
+        s as (select doc_id, count(*) as n_lines, count_if(equal)::bigint as n_equal, count_if(near)::bigint as n_near,
+                     string_agg(line, chr(10) order by i) filter (where not equal and not near) as kept from m group by doc_id)
+        select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_equal, 0) as n_equal, coalesce(n_near, 0) as n_near, sha256(coalesce(kept, '')) as kept_sha256
+        from d left join s on s.doc_id is not distinct from d.doc_id
+    """
+
+
+def sharding(shards: int = 40, seed: int = 11) -> str:
+    # DuckDB has no CRC-32: the table of the 256 bytes, then one step a byte.
+    step = "case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+    return f"""
+        with crc as (select list(list_reduce(list_prepend(i, range(8)), lambda a, b: {step}) order by i) as steps from (select unnest(range(256)) as i)),
+        d as (select doc_id, source, coalesce('=' || source, '') as skey, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+        b as (select *, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint) as bytes from d),
+        u as (select doc_id, source, skey, (len(bytes) + 16)::bigint as size, md5(text) as digest, {_uniform(seed, 'doc_id', 'md5(text)')} as u,
+                     xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32
+              from b, crc),
+        r as (select *, row_number() over (partition by skey order by u, doc_id, digest) - 1 as nth, count(*) over (partition by skey) as in_source from u),
+        f as (select *, (nth + {_uniform(seed + 1, 'skey')} / {1 << 60}::double) / in_source as f from r),
+        p as (select *, row_number() over (order by f, skey, u, doc_id, digest) - 1 as position, count(*) over () as n from f)
+        select doc_id, source, size, text_crc32, 'rows' as law, (position * {shards} // n)::integer as shard,
+               position - (position * {shards} // n * n + {shards - 1}) // {shards} as slot, null::integer as grown_shard
+        from p
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines(),
     "op5_mix_sources": mixing(),
     "op6_warc_revisits": warc(),
     "op7_quality_rules": quality(),
+    "op8_interleave_shards": sharding(),
     "op10_substring_dedup": substring(),
 }
