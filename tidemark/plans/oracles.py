@@ -104,7 +104,7 @@ _STATES = f"""{_DAILY}, d as (
                w.local_date as d_was, n.local_date as d_is from was w full outer join now_ n on w.id = n.id),
     dirty as (select distinct unnest([d_was, d_is]) as local_date from acts where action <> 'KEEP')"""
 _ASSESS = """f as (
-        select event_id as fact_id, case when event_id % 3 = 0 then 'INTERVAL' else 'POINT' end as kind, event_id % 7 <> 0 as linked,
+        select event_id as fact_id, case when event_id % 3 = 0 then 'INTERVAL' else 'POINT' end as kind, event_type <> 'signup' as linked,
                event_id % 3 <> 0 or event_id % 6 = 0 as timed, event_id % 2 = 0 as vendor from events),
     a as (
         select fact_id, 'STRUCTURE' as "check", case when timed then 'PASS' else 'FLAGGED' end as result from f
@@ -179,7 +179,7 @@ ORACLES: dict[str, str] = {
     "episode_segments": """select o_orderkey as episode_id, o_orderstatus as source_sid, o_orderdate::date as local_date, count(l_linenumber) as segments,
         coalesce(sum(l_quantity::bigint), 0)::bigint as seconds, coalesce(sum(l_quantity::bigint) filter (where l_returnflag = 'A'), 0)::bigint as awake_seconds,
         coalesce(sum(l_quantity::bigint) filter (where l_returnflag <> 'A'), 0)::bigint as asleep_seconds
-        from orders left join lineitem on o_orderkey = l_orderkey and l_orderkey % 10 <> 0 group by all""",
+        from orders left join lineitem on o_orderkey = l_orderkey group by all""",
     "stage_share": """with p as (select l_orderkey as episode_id, l_returnflag as stage, sum(l_quantity::bigint)::bigint as seconds from lineitem group by all),
         t as (select *, sum(seconds) over (partition by episode_id) as total from p)
         select episode_id, stage, seconds, round(seconds / total::double, 6) as share from t where total > 0""",
@@ -261,7 +261,7 @@ ORACLES: dict[str, str] = {
         select metric, local_date, count(*) as instants, round(quantile_cont(gap, 0.5), 4) as median_gap, round(max(gap), 4) as longest_gap from g group by all""",
     "quality_assess": f"with {_ASSESS} select * from a",
     "quality_anti_join": f"with {_ASSESS} select fact_id, kind from f where not exists (select 1 from a where a.fact_id = f.fact_id and result = 'FLAGGED')",
-    "provenance_counts": "select o_orderkey, count(l_orderkey) as links from orders left join lineitem on o_orderkey = l_orderkey and l_orderkey % 5 <> 0 group by all",
+    "provenance_counts": "select c_custkey, count(o_custkey) as links from customer left join orders on c_custkey = o_custkey group by all",
     "source_resolution": f"""with {_POINTS}, g as (
             select metric, date_trunc('hour', ts) as hour, count(*) as members, count(distinct source_class) as classes, count(distinct floor(value / 40)) as said from facts group by all)
         select metric, hour, members, classes, case when classes = 1 then 'SINGLE_SOURCE' when said = 1 then 'AGREE' else 'CONFLICT' end as agreement,
@@ -271,14 +271,13 @@ ORACLES: dict[str, str] = {
             select id, case when action in ('STALE', 'REPLACE') then 'STALE' else 'CURRENT' end as status from acts where action <> 'INSERT'
             union all select id, 'CURRENT' from acts where action in ('INSERT', 'REPLACE'))
         select status, count(*) as n, count(distinct id) as ids from h group by all""",
-    "set_difference": f"""with {_LOG}, a as (select logical, payload, count(*) as n from log where seq % 3 <> 0 group by all),
-        b as (select logical, payload, count(*) as n from log where seq % 5 <> 0 group by all)
-        select a.logical, a.payload, a.n - coalesce(b.n, 0) as n from a left join b on a.logical = b.logical and a.payload = b.payload where a.n > coalesce(b.n, 0)""",
+    "set_difference": f"""with {_LOG}, g as (select user_id, payload, count(*) filter (where metric = 'click') as a, count(*) filter (where metric = 'view') as b from log group by all)
+        select user_id, payload, a - b as n from g where a > b""",
     "dirty_dates": f"with {_STATES} select local_date from dirty where local_date is not null",
     "affected_region": f"""with {_STATES} select (min(local_date) + 1)::date as from_date, (select (greatest((select max(local_date) from was), (select max(local_date) from now_)) + 1)::date) as to_date from dirty""",
-    "latest_upsert": """with n as (select c_custkey * 2 as key, lower(c_mktsegment) as value from customer where c_custkey % 3 = 0)
+    "latest_upsert": """with n as (select p_partkey * 2 as key, p_brand as value from part)
         select * from n union all select c_custkey, c_mktsegment from customer where c_custkey not in (select key from n)""",
-    "insert_ignore": """with n as (select c_custkey * 2 as key, lower(c_mktsegment) as value from customer where c_custkey % 3 = 0)
+    "insert_ignore": """with n as (select p_partkey * 2 as key, p_brand as value from part)
         select c_custkey as key, c_mktsegment as value from customer union all select * from n where key not in (select c_custkey from customer)""",
     "semantic_digest": f"""with {_LOG} select count(*) as n, sum(('0x' || substr(md5(seq::varchar || '|' || logical || '|' || payload::varchar), 1, 12))::bigint)::bigint as digest from log""",
     "context_extract": f"""with t as (
@@ -308,11 +307,13 @@ ORACLES: dict[str, str] = {
         select subject, day, string_agg(metric || ' is ' || case deviation_class when 'ABOVE_TYPICAL_RANGE' then 'above' when 'BELOW_TYPICAL_RANGE' then 'below' else 'within' end || ' the usual range',
             '; ' order by rn) as sentences from o where rn <= 6 group by all""",
     "retired_baselines": f"with {_BASE} select metric, window_days, count(*) as n from baselines where metric = 'error' group by all",
-    "context_corrections": """with h as (select event_id as id, case when event_id % 3 = 0 then 'SUPERSEDED' else 'CURRENT' end as status from events where event_type = 'signup'),
-        a as (select 'STRESS' as context_type, case when status = 'CURRENT' and id % 4 = 0 then 'SUPERSEDED' when status = 'CURRENT' and id % 2 = 0 then 'DELETED' else status end as status, null as revises from h
-            union all select 'FATIGUE', 'CURRENT', id from h where status = 'CURRENT' and id % 4 = 0)
+    "context_corrections": """with h as (
+            select event_id as id, case when event_id % 3 = 0 then 'SUPERSEDED' else 'CURRENT' end as status, value < 20 as corrected, value > 60 as deleted
+            from events where event_type = 'signup'),
+        a as (select 'STRESS' as context_type, case when status = 'CURRENT' and corrected then 'SUPERSEDED' when status = 'CURRENT' and deleted then 'DELETED' else status end as status, null as revises from h
+            union all select 'FATIGUE', 'CURRENT', id from h where status = 'CURRENT' and corrected)
         select context_type, status, count(*) as n, count(revises) as revisions from a group by all""",
-    "change_gates": """with g as (select case when event_id % 7 = 0 then 'NEW_VERSION' when (event_id + 1) // 2 = event_id // 2 then 'UNCHANGED' when (event_id + 1) // 3 = event_id // 3 then 'SAME_EVIDENCE'
+    "change_gates": """with g as (select case when event_type = 'signup' then 'NEW_VERSION' when (event_id + 1) // 2 = event_id // 2 then 'UNCHANGED' when (event_id + 1) // 3 = event_id // 3 then 'SAME_EVIDENCE'
             when (event_id + 1) // 5 = event_id // 5 then 'SAME_JUDGMENT' else 'NEW_VERSION' end as gate from events)
         select gate, count(*) as n from g group by all""",
     "product_state": f"""with {_DAYS} select subject, day, case when list_contains(hypotheses, 'ACUTE_ILLNESS_SUSPECTED') and hypotheses[1] = 'ACUTE_ILLNESS_SUSPECTED' or symptom then 'E'
@@ -355,6 +356,6 @@ ORACLES: dict[str, str] = {
     "leak_check": f"""with {_BASE} select b.metric, b.source_sid, b.as_of, o.local_date from baselines b join obs o on o.metric = b.metric and o.source_sid = b.source_sid
         and o.local_date >= b.as_of - 7 and o.local_date < b.as_of where b.window_days = 7 and o.local_date >= b.as_of""",
     "duplicate_keys": f"with {_LOG} select logical, count(*) as n from log group by all having count(*) > 1",
-    "orphan_check": "select l_orderkey as o_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 9 <> 0)",
+    "orphan_check": "select user_id as s_suppkey, event_id from events where user_id not in (select s_suppkey from supplier)",
     "forbidden_words": r"""select p_partkey from part where regexp_matches(lower(p_name || case when p_partkey % 4 = 0 then ' Score' else '' end), '\b(score|diagnosis|disease|healthy|unhealthy)\b')""",
 }

@@ -136,7 +136,7 @@ def interval_segments(spark, d):
 
 
 def episode_segments(spark, d):
-    return features.episode_features(episodes(spark, d), segments(spark, d).where("episode_id % 10 <> 0"), "A")
+    return features.episode_features(episodes(spark, d), segments(spark, d), "A")
 
 
 def stage_share(spark, d):
@@ -251,11 +251,12 @@ def sampling_gap(spark, d):
 
 def _assessed(spark, d):
     facts = point_facts(spark, d).select(
-        "fact_id", F.when(F.col("fact_id") % 3 == 0, "INTERVAL").otherwise("POINT").alias("kind"), F.col("ts").alias("starts"),
+        "fact_id", "metric", F.when(F.col("fact_id") % 3 == 0, "INTERVAL").otherwise("POINT").alias("kind"), F.col("ts").alias("starts"),
         F.when(F.col("fact_id") % 6 == 0, F.timestamp_add("MINUTE", F.lit(5), "ts")).alias("ends"),
         F.when(F.col("fact_id") % 2 == 0, "VENDOR_DERIVED").otherwise("SENSOR_DERIVED").alias("evidence"),
     )
-    return facts, quality.assess(facts, facts.where("fact_id % 7 <> 0").select("fact_id"))
+    # Sign-ups come without a source record.
+    return facts, quality.assess(facts, facts.where("metric <> 'signup'").select("fact_id"))
 
 
 def quality_assess(spark, d):
@@ -268,8 +269,8 @@ def quality_anti_join(spark, d):
 
 
 def provenance_counts(spark, d):
-    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_orderkey % 5 <> 0")
-    return orders.join(items, orders.o_orderkey == items.l_orderkey, "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("links"))
+    people, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    return people.join(orders, people.c_custkey == orders.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_custkey").alias("links"))
 
 
 def source_resolution(spark, d):
@@ -308,8 +309,8 @@ def reconcile_apply(spark, d):
 
 def set_difference(spark, d):
     log = observation_log(spark, d)
-    a, b = log.where("seq % 3 <> 0").select("logical", "payload"), log.where("seq % 5 <> 0").select("logical", "payload")
-    return a.exceptAll(b).groupBy("logical", "payload").agg(F.count("*").alias("n"))
+    a, b = (log.where(F.col("metric") == m).select("user_id", "payload") for m in ("click", "view"))
+    return a.exceptAll(b).groupBy("user_id", "payload").agg(F.count("*").alias("n"))
 
 
 def dirty_dates(spark, d):
@@ -321,14 +322,18 @@ def affected_region(spark, d):
     return reconcile.affected_region(reconcile.dirty_dates(before, now), before, now)
 
 
+def _keyed(spark, d):
+    """Values by key, and newer ones of which some keys are known and some are new."""
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    return known, table(spark, d, "part").select((F.col("p_partkey") * 2).alias("key"), F.col("p_brand").alias("value"))
+
+
 def latest_upsert(spark, d):
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    return reconcile.upsert(customers, customers.where("key % 3 = 0").select((F.col("key") * 2).alias("key"), F.lower("value").alias("value")), ["key"])
+    return reconcile.upsert(*_keyed(spark, d), ["key"])
 
 
 def insert_ignore(spark, d):
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    return reconcile.insert_or_ignore(customers, customers.where("key % 3 = 0").select((F.col("key") * 2).alias("key"), F.lower("value").alias("value")), ["key"])
+    return reconcile.insert_or_ignore(*_keyed(spark, d), ["key"])
 
 
 def semantic_digest(spark, d):
@@ -410,13 +415,15 @@ def retired_baselines(spark, d):
 
 
 def context_corrections(spark, d):
-    history = table(spark, d, "events").where("event_type = 'signup'").select(F.col("event_id").alias("id"), F.lit("STRESS").alias("context_type"), F.when(F.col("event_id") % 3 == 0, "SUPERSEDED").otherwise("CURRENT").alias("status"))
-    changes = history.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, "FATIGUE").alias("context_type"))
+    """Sign-ups as contexts: those of small values are corrected, those of large ones deleted."""
+    signups = table(spark, d, "events").where("event_type = 'signup'")
+    history = signups.select(F.col("event_id").alias("id"), F.lit("STRESS").alias("context_type"), F.when(F.col("event_id") % 3 == 0, "SUPERSEDED").otherwise("CURRENT").alias("status"))
+    changes = signups.where("value < 20 or value > 60").select(F.col("event_id").alias("id"), F.when(F.col("value") < 20, "FATIGUE").alias("context_type"))
     return evidence.correct_context(history, changes).groupBy("context_type", "status").agg(F.count("*").alias("n"), F.count("revises").alias("revisions"))
 
 
 def change_gates(spark, d):
-    e = table(spark, d, "events").where("event_id % 7 <> 0")
+    e = table(spark, d, "events").where("event_type <> 'signup'")  # sign-ups are new
     text = lambda n: F.md5((F.floor(F.col("event_id") / n)).cast("string"))
     last = e.select(F.col("event_id").alias("key"), text(2).alias("upstream"), text(3).alias("bundle"), text(5).alias("judgment"))
     now = table(spark, d, "events").select((F.col("event_id") + 0).alias("key"), F.md5(F.floor((F.col("event_id") + 1) / 2).cast("string")).alias("upstream"), F.md5(F.floor((F.col("event_id") + 1) / 3).cast("string")).alias("bundle"), F.md5(F.floor((F.col("event_id") + 1) / 5).cast("string")).alias("judgment"))
@@ -537,8 +544,8 @@ def duplicate_keys(spark, d):
 
 
 def orphan_check(spark, d):
-    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    return checks.orphans(items, table(spark, d, "orders").where("o_orderkey % 9 <> 0"), "o_orderkey")
+    events = table(spark, d, "events").select(F.col("user_id").alias("s_suppkey"), "event_id")
+    return checks.orphans(events, table(spark, d, "supplier"), "s_suppkey")
 
 
 def forbidden_words(spark, d):
