@@ -98,6 +98,7 @@ def quality_rules(
     least_documents: int = 20,
     host_share: float = 0.1,
     least_left: float = 0.2,
+    with_gone: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words,
     kept for every row of docs(doc_id, text, host column).
@@ -107,7 +108,8 @@ def quality_rules(
     least_documents and than host_share of them; lost_words counts its words. A document with less
     than least_left of its words left is rejected. A null text has no words and so fails; a null
     host is a host of its own; ids may be null or repeat, each row is judged by itself. Other
-    columns are not looked at. An empty table gives an empty one.
+    columns are not looked at. An empty table gives an empty one. with_gone adds gone: the hashes of
+    the lines that go, for without_lines(); null where none does.
     """
     narrow = docs.select("doc_id", source_key(F.col(host)).alias("host"), "text")
     schema = f"doc_id long, host string, {', '.join(f'{c} long' for c in _COUNTS)}, content long, lines array<long>, sizes array<long>"
@@ -123,7 +125,7 @@ def quality_rules(
     lost = (
         marked.select("row", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
         .select("row", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
-        .join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost_words"))
+        .join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost_words"), *([F.collect_set("line").alias("gone")] if with_gone else []))
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeated)
     return (
@@ -131,5 +133,27 @@ def quality_rules(
         .withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("n_words") - F.col("lost_words") >= F.col("n_words") * least_left))
-        .select("doc_id", *_COUNTS, "base_failed", "lost_words", "kept")
+        .select("doc_id", *_COUNTS, "base_failed", "lost_words", "kept", *(["gone"] if with_gone else []))
     )
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        buf, offsets = buffer_of(batch.column(1))
+        start, end, _ = tokens(buf, offsets)
+        low, high, lines = tokens(buf, offsets, _LINE_END)
+        begin, stop = np.searchsorted(start, low), np.searchsorted(start, high)
+        normal = hash_runs(hash_ranges(_LOWER[buf], start, end), begin, stop).view(np.int64)
+        out = []
+        for i, (text, gone) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if text and gone:
+                own = slice(lines[i], lines[i + 1])
+                drop = iter((np.isin(normal[own], gone) & (stop[own] > begin[own])).tolist())
+                text = "\n".join(x for x in text.split("\n") if not (x and next(drop)))
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "text"])
+
+
+def without_lines(texts: DataFrame) -> DataFrame:
+    """key, text for rows (key long, text, gone): the texts without the lines whose hashes are in gone."""
+    return texts.select("key", "text", "gone").mapInArrow(_strip, "key long, text string")
