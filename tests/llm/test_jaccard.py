@@ -1,7 +1,6 @@
 import random
 import re
 
-import test_pipeline
 from tidemark.llm.jaccard import similar_texts
 
 DOCS = "doc_id long, text string, bands string"
@@ -54,8 +53,17 @@ def test_empty(spark):
     assert similar_texts(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
-    """The stages as test_pipeline compares them, near copies by the similarity of 5-word shingles."""
-    monkeypatch.setattr(test_pipeline, "fingerprint", shingles)
-    monkeypatch.setattr(test_pipeline, "components", components)
-    test_pipeline.test_stages_equal_brute_force(spark, tmp_path)
+def test_large_groups_are_compared_in_cells(spark):
+    """A group of which many texts are a little below the similarity to the least one."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words), "x"))
+    part = components([shingles(r[1]) for r in rows])
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(rows, DOCS), cell=1000).collect()}
+    assert got == dict(enumerate(part)) and len(set(part)) > 5

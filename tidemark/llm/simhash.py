@@ -30,6 +30,7 @@ from ._arrays import SPACE, buffer_of, slices, tokens
 from ._columns import row_key
 from ._store import stash
 from .components import connected
+from .jaccard import similar_texts
 
 #: Sets of four byte positions that XOR to zero.
 POSITION_SETS = [s for s in combinations(range(8), 4) if not s[0] ^ s[1] ^ s[2] ^ s[3]]
@@ -183,9 +184,12 @@ def links(prints: DataFrame, limit: int = 8192) -> DataFrame:
     return found.where("a <> b").unionByName(_gathered(large, fifth, None))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 8192, similarity: int | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id, row, root for every row of docs(doc_id, text, ...).
 
+    similarity: link texts whose shingle sets have this Jaccard similarity in per cent, instead of
+    fingerprints of at most MAX_BITS differing bits (jaccard.py; the result has no fingerprint).
+
     row: as row_key makes it; root: what the rows of a component share, also where no id is known.
 
     A null text, like one without words, has fingerprint zero. Rows with equal fingerprints are one
@@ -193,6 +197,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 8192) -> Dat
     Repeated rows give repeated results; an empty table gives an empty one. Other columns are not
     looked at.
     """
+    if similarity is not None:
+        return similar_texts(docs, shingle, similarity)
     marked = stash(fingerprints(docs, shingle), "simhash-prints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = links(classes.select("fp"), limit)
