@@ -19,7 +19,7 @@ def base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
 
 
-def brute(rows, least=20, share=0.1, left=0.2):
+def brute(rows, least=4, share=0.05, left=0.5):
     def normal(line):
         return tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", line))
 
@@ -34,7 +34,7 @@ def brute(rows, least=20, share=0.1, left=0.2):
         b = base(text)
         lost = sum(len(normal(x)) for x in (text or "").split("\n") if len(seen[source, normal(x)]) > max(least, share * len(texts[source])))
         failed = b[0] < 50 or 100 * b[4] > 50 * b[0]
-        out.append((i, *b, failed, lost, not failed and b[0] - lost >= left * b[0]))
+        out.append((i, *b, failed, lost, not failed and b[0] - lost >= max(50, left * b[0])))
     return out
 
 
@@ -63,5 +63,19 @@ def test_equals_brute_force(spark):
     assert any(not w[-1] and not w[-3] for w in want) and any(w[-1] for w in want)
 
 
+def test_planted_boilerplate_depletes_documents(spark):
+    """Documents that are long enough only by a line of their host are rejected, others keep their words."""
+    rng = random.Random(5)
+    notice = "Copyright by the owners of this site, all rights are reserved and no copies may be made"
+    rows = []
+    for i in range(200):
+        n = 40 if i % 20 == 0 else 80
+        text = " ".join(f"w{rng.randrange(5000)}" for _ in range(n)) + ("\n" + notice if i % 10 == 0 else "")
+        rows.append((i, text, "a", "h", 1))
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i, r in got.items() if not r.kept and not r.base_failed} == set(range(0, 200, 20))
+    assert all(r.kept for i, r in got.items() if i % 20) and all((r.lost_words > 0) == (i % 10 == 0) for i, r in got.items())
+
+
 def test_empty(spark):
     assert quality_rules(spark.createDataFrame([], DOCS)).count() == 0

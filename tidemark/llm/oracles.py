@@ -34,7 +34,7 @@ def quality() -> str:
         l as (select doc_id, source, ws, line, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as norm from l0
               where regexp_matches(line, '[^\x20\x09-\x0D]')),
         dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from l group by doc_id),
-        hosts as (select source, greatest(20, 0.1 * count(distinct ws)) as most from d group by source),
+        hosts as (select source, greatest(4, 0.05 * count(distinct ws)) as most from d group by source),
         common as (select l.source, norm from l join hosts h on h.source = l.source group by l.source, norm, most having count(distinct ws) > most),
         lost as (select l.doc_id, sum(len(l.norm)) as lost_words from l join common c on c.source = l.source and c.norm = l.norm group by l.doc_id),
         f as (
@@ -43,7 +43,7 @@ def quality() -> str:
                    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(lost_words, 0)::bigint as lost_words
             from d left join rep on rep.doc_id = d.doc_id left join dup on dup.doc_id = d.doc_id left join lost on lost.doc_id = d.doc_id)
         select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - lost_words >= 0.2::double * n_words as kept
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - lost_words >= 0.5::double * n_words and n_words - lost_words >= 50 as kept
         from f
     """
 

@@ -3,7 +3,7 @@
 A document's own counts come first (words, symbols, repeated lines and word windows). Then its
 lines, normalised (ASCII letters in lower case, one space between words), are hashed and counted by
 distinct documents of the host; lines on more documents than the limit are taken off, and a document
-of which too few words are left is rejected. Copies of a text on a host are one document there, so
+is rejected as depleted if too few of its words are left, or fewer than any document must have. Copies of a text on a host are one document there, so
 that a text is not rejected for being copied.
 """
 
@@ -95,9 +95,9 @@ def quality_rules(
     host: str = "source",
     min_words: int = 50,
     max_repeated: int = 50,
-    least_documents: int = 20,
-    host_share: float = 0.1,
-    least_left: float = 0.2,
+    least_documents: int = 4,
+    host_share: float = 0.05,
+    least_left: float = 0.5,
     with_gone: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words,
@@ -106,7 +106,7 @@ def quality_rules(
     base_failed: fewer than min_words words, or over max_repeated per cent of them in repeated
     three-word windows. A line goes if it is on more distinct documents of the host than
     least_documents and than host_share of them; lost_words counts its words. A document with less
-    than least_left of its words left is rejected. A null text has no words and so fails; a null
+    than least_left of its words left, or fewer than min_words words, is rejected. A null text has no words and so fails; a null
     host is a host of its own; ids may be null or repeat, each row is judged by itself. Other
     columns are not looked at. An empty table gives an empty one. with_gone adds gone: the hashes of
     the lines that go, for without_lines(); null where none does.
@@ -127,12 +127,13 @@ def quality_rules(
         .select("row", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
         .join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost_words"), *([F.collect_set("line").alias("gone")] if with_gone else []))
     )
+    left = F.col("n_words") - F.col("lost_words")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeated)
     return (
         marked.join(lost, "row", "left")
         .withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("n_words") - F.col("lost_words") >= F.col("n_words") * least_left))
+        .withColumn("kept", ~failed & (left >= F.col("n_words") * least_left) & (left >= min_words))
         .select("doc_id", *_COUNTS, "base_failed", "lost_words", "kept", *(["gone"] if with_gone else []))
     )
 
