@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from tidemark.llm.pii import KINDS, base_spans, find_personal_data
+from tidemark.llm.pii import KINDS, base_spans, find_personal_data, score_patterns
 
 DOCS = "doc_id long, text string, row string, base string, n_email long"
 
@@ -64,3 +64,87 @@ def test_added_spans_keep_the_order(spark):
 
 def test_empty(spark):
     assert find_personal_data(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def brute_scores(edges, rounds=3):
+    """What score_patterns() says, pattern by pattern."""
+    sure = {v for _, v, seed, _ in edges if seed}
+    bad = {v for _, v, _, refuted in edges if refuted}
+    holds = {}
+    for p, v, *_ in edges:
+        holds.setdefault(p, set()).add(v)
+    trust = {}
+    for _ in range(rounds):
+        known = sure | {v for v, t in trust.items() if t >= 0.5}
+        doubtful = bad - known
+        scores = {}
+        for p, vs in holds.items():
+            k, d = len(vs & known), len(vs & doubtful)
+            if k >= 3 and k / (k + d) >= 0.8 and k >= len(vs) * 0.3:
+                scores[p] = k / (k + d + 1)
+        trust = {}
+        for p in scores:
+            for v in holds[p] - sure:
+                trust[v] = trust.get(v, 1.0) * (1 - scores[p])
+        trust = {v: (1 - x) / (2 if v in bad else 1) for v, x in trust.items()}
+    return scores
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    edges = []
+    for p in range(60):
+        pool = [f"v{rng.randrange(40 * (p % 3), 40 * (p % 3) + 60)}" for _ in range(rng.randint(1, 12))]
+        edges += [(f"p{p}", v, int(v[1:]) % 3 == 0 and p % 4 != 0, int(v[1:]) % 11 == 1) for v in pool]
+    edges += edges[:20]
+    got = {r.pattern: r.score for r in score_patterns(spark.createDataFrame(edges, "pattern string, value string, seed boolean, refuted boolean")).collect()}
+    want = brute_scores(edges)
+    assert set(got) == set(want) and 0 < len(want) < 60 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_half_of_a_context_unseen_and_two_hops(spark):
+    rows = [(i, f"w{i} my direct line is +1 (017) 555-77{i:02d} since", "r", "b", 1) for i in range(10, 16)]
+    rows += [(i, f"w{i} my direct line is 017 555 77{i:02d} since", "r", "b", 1) for i in range(20, 26)]  # unseen, as many
+    rows += [(i + 20, f"w{i} please ring under 017 555 77{i:02d} again", "r", "b", 1) for i in range(20, 26)]  # the same in another context
+    rows += [(i + 40, f"w{i} please ring under 031 444 88{i:02d} again", "r", "b", 1) for i in range(20, 23)]  # reached only from there
+    rows += [(i + 60, f"w{i} the order number 555 10{i:02d} 99 was", "r", "b", 1) for i in range(20, 30)]  # a context without any seed
+    got = {r.doc_id: r.n_found for r in find_personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i, n in got.items() if n} == {*range(20, 26), *range(40, 46), *range(60, 63)}
+
+
+def planted(rng, documents):
+    """Texts with identifiers in contexts that can be learned and look-alikes in others; and what is personal."""
+    lead = ["call me at", "my number is", "reach our office on", "send it to", "write to me under", "pay with card"]
+    words = [f"w{i}" for i in range(800)]
+    rows, truth = [], {}
+    for i in range(documents):
+        before, after = (" ".join(rng.choice(words) for _ in range(rng.randint(5, 30))) for _ in range(2))
+        kind, number = rng.randrange(4), f"{rng.randrange(10**9):09d}"
+        seen = rng.random() < 0.5
+        if kind == 0:
+            value = f"+1 ({number[:3]}) {number[3:6]}-{number[5:9]}" if seen else f"({number[:3]}) {number[3:6]}-{number[5:9]}"
+            context = rng.choice(lead[:3])
+        elif kind == 1:
+            value = f"u{number}@mail.example.com" if seen else f"u{number} (at) mail (dot) example.com"
+            context = rng.choice(lead[3:5])
+        elif kind == 2:
+            value, context, seen = number, rng.choice(["the total was", "order id of"]), None  # look-alikes
+        else:
+            value, context, seen = "nothing", "and there is", None
+        text = f"{before} {context} {value} and {after}"
+        rows.append((i, text, "r", "b", 1))
+        if seen is False:
+            at = text.index(value)
+            truth[i] = (at, at + len(value))
+    return rows, truth
+
+
+def test_precision_and_recall_on_planted_contexts(spark):
+    rows, truth = planted(random.Random(2), 1200)
+    found = {}
+    for r in find_personal_data(spark.createDataFrame(rows, DOCS)).collect():
+        if r.n_found:
+            base = {f"{KINDS[k]}:{a}:{b}" for a, k, b in brute(rows[r.doc_id][1])}
+            found[r.doc_id] = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s not in base]
+    hits = sum(truth.get(i) in spans for i, spans in found.items())
+    assert hits / sum(map(len, found.values())) >= 0.98 and hits / len(truth) >= 0.98

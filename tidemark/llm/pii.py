@@ -3,15 +3,21 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers in every text. These are
 the seeds. The words around a seed make lexical patterns (the two words before it; the word before
 and the word after). Identifier-like strings that no base pattern takes are candidates. Patterns and
-the values that stand in them make a graph; in Spark, rounds of scoring trust a pattern as far as
-its values are trusted, and a value as far as some trusted pattern holds it. What stands in a
-pattern of high confidence, learned from several different seeds, is reported beside the base spans.
+the values that stand in them make a graph, which Spark scores in rounds: a pattern by its trusted
+values against its doubtful ones, a value by the trusted patterns that hold it. Values found in one
+round count for the patterns of the next, so contexts without any seed are reached too. What stands
+in a pattern of high confidence is reported beside the base spans.
+
+A candidate is doubtful if it has the form of its kind and fails the check (check digits, parts of an
+address); any other is unknown, and speaks neither for nor against a pattern, but a pattern in which
+too few values are known is not used.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +35,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9])++")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[(\[](?i:dot)[)\]])\x20?[A-Za-z0-9-]{1,64})+")
+_NUMBER = re.compile(r"(?:\((?=[0-9]{1,5}\)))?[0-9](?:[\x20().-]{0,2}[0-9])++")
+# A mailbox name has 64 characters at most and a label of a host name 63; so no more are looked for.
+_DOT = r"(?:\x20?[(\[](?i:dot|\.)[)\]]\x20?|\x20(?i:dot|\.)\x20)"
+_SPELLED = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:\x20?[(\[](?i:at)[)\]]\x20?|\x20(?i:at)\x20)[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}})+")
+_SPELLED_IP = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}")
+_WORD = re.compile(r"\S+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TRIM = "\"'.,;:!?()[]{}<>|*#$%&"
 
@@ -85,34 +95,53 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[
     """Identifier-like strings apart from the spans: numbers as phone or card, spelled-out addresses."""
     found = [(m.start(), k, m.end()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7
              for n in [len(_NOT_DIGIT.sub("", m[0]))] for k, ok in ((2, 12 <= n <= 19), (3, 7 <= n <= 15)) if ok]
-    if "at)" in (low := text.lower()) or "at]" in low:
+    low = text.lower()
+    if any(x in low for x in ("at)", "at]", " at ")):
         found += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(text)]
+    if any(x in low for x in ("[.]", "(.)", "dot]", "dot)", " . ", " dot ")):
+        found += [(m.start(), 1, m.end()) for m in _SPELLED_IP.finditer(text)]
+    taken: list[list[int]] = []  # the spans, those that overlap as one
+    for a, b in sorted((a, b) for a, _, b in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     at = 0
-    taken = sorted((a, b) for a, _, b in spans)
     for a, k, b in sorted(found):
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if not any(x < b and a < y for x, y in taken[at : at + 64]):
+        if at == len(taken) or taken[at][0] >= b:
             yield a, k, b
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    before = [w.strip(_TRIM).lower() for w in text[max(0, start - 120) : start].split()[-2:]]
-    after = [w.strip(_TRIM).lower() for w in text[end : end + 80].split()[:1]]
+def _context(text: str, words: list[tuple[int, int]], start: int, end: int) -> tuple[str, str]:
+    """The two words before a span, and the word before with the word after. words: those of the text."""
+    first = bisect_left(words, (start, 0))
+    before = [text[a : min(b, start)].strip(_TRIM).lower() for a, b in words[max(0, first - 2) : first]]
     before = ["^"] * (2 - len(before)) + before
-    return " ".join(before), f"{before[1]} _ {after[0] if after else '$'}"
+    next_ = bisect_right(words, end, key=lambda w: w[1])
+    after = text[max(words[next_][0], end) : words[next_][1]].strip(_TRIM).lower() if next_ < len(words) else "$"
+    return " ".join(before), f"{before[1]} _ {after}"
 
 
 def _value(text: str, start: int, kind: int, end: int) -> str:
+    """What tells values apart, however they are written."""
     raw = text[start:end]
-    return raw.lower() if kind == 0 else raw if kind == 1 else _NOT_DIGIT.sub("", raw)
+    if kind > 1:
+        return _NOT_DIGIT.sub("", raw)
+    return re.sub(_DOT, ".", re.sub(r"\x20?[(\[]at[)\]]\x20?|\x20at\x20", "@", raw.lower()))
+
+
+def _refuted(value: str, kind: int) -> bool:
+    """Whether a candidate has the form of its kind but fails the check of it."""
+    return kind == 2 and 14 <= len(value) <= 19 and not _luhn(value) or kind == 1 and any(int(p) > 255 for p in value.split("."))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("seed", pa.bool_()), ("two", pa.string()), ("around", pa.string())])
+_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("seed", pa.bool_()), ("refuted", pa.bool_()), ("two", pa.string()), ("around", pa.string())])
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +154,14 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[k].append(sum(s[1] == k for s in spans))
             texts.append(joined(spans))
             sums.append(hashlib.sha256(texts[-1].encode()).hexdigest())
-            rows = []
+            rows, words = [], None
             for seed, some in ((True, spans), (False, _candidates(text, spans) if text else ())):
                 for a, k, b in some:
-                    two, around = _context(text, a, b)
-                    rows.append({"kind": k, "start": a, "end": b, "value": _value(text, a, k, b), "seed": seed, "two": two, "around": around})
+                    if words is None:
+                        words = [m.span() for m in _WORD.finditer(text)]
+                    two, around = _context(text, words, a, b)
+                    value = _value(text, a, k, b)
+                    rows.append({"kind": k, "start": a, "end": b, "value": value, "seed": seed, "refuted": not seed and _refuted(value, k), "two": two, "around": around})
             mentions.append(rows)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(texts, pa.string()), pa.array(mentions, pa.list_(_MENTION))],
@@ -137,31 +169,38 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def score_patterns(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
-    """pattern, score for the patterns of high confidence in edges(pattern, value, seed).
+def score_patterns(
+    edges: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8, least_share: float = 0.3
+) -> DataFrame:
+    """pattern, score for the patterns of high confidence in edges(pattern, value, seed, refuted).
 
-    A value is trusted fully if it is a seed anywhere. A pattern's score is the trust of its
-    distinct values over their number and one; it passes trust on once it has least_seeds different
-    seeds and `confidence` of the score that these alone would give it. A value that is no seed is trusted by 1 - product(1 - score)
-    over such patterns.
+    A value that is a seed anywhere has trust 1. In each round a pattern counts its known values
+    (trust of a half or more) and its doubtful ones (refuted and not known). It is accepted with least_seeds known values
+    that are `confidence` of the known and doubtful ones and least_share of all its values; its score
+    is known / (known + doubtful + 1). A value's trust is then 1 - product(1 - score) over its
+    accepted patterns, and a refuted value's half of that.
     """
-    edges = stash(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    seeds = edges.where("seed").select("value").distinct()
-    graph = edges.select("pattern", "value").join(seeds.withColumn("sure", F.lit(1.0)), "value", "left")
+    edges = stash(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.max("refuted").alias("refuted")), "pii-edges")
+    facts = edges.groupBy("value").agg(F.max("seed").alias("sure"), F.max("refuted").alias("refuted"))
+    graph = edges.select("pattern", "value").join(facts, "value")
     trust = None
     for _ in range(rounds):
-        known = graph if trust is None else graph.join(trust, "value", "left")
-        worth = F.coalesce("sure", F.lit(0.0)) if trust is None else F.coalesce("sure", "trust", F.lit(0.0))
+        known = F.col("sure") if trust is None else F.col("sure") | (F.coalesce("trust", F.lit(0.0)) >= 0.5)
+        told = graph if trust is None else graph.join(trust, "value", "left")
+        doubt = ~known & F.col("refuted")
+        share = F.col("k") / (F.col("k") + F.col("d"))
         patterns = stash(
-            known.groupBy("pattern").agg((F.sum(worth) / (F.count("*") + 1)).alias("score"), F.count("sure").alias("seeds"))
-            .where((F.col("seeds") >= least_seeds) & (F.col("score") >= confidence * F.col("seeds") / (F.col("seeds") + 1))),
+            told.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(known).alias("k"), F.count_if(doubt).alias("d"))
+            .where((F.col("k") >= least_seeds) & (share >= confidence) & (F.col("k") >= F.col("n") * least_share))
+            .select("pattern", (F.col("k") / (F.col("k") + F.col("d") + 1)).alias("score")),
             "pii-patterns",
         )
         trust = (
-            graph.where("sure is null").join(patterns, "pattern").groupBy("value")
-            .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"))
+            graph.where("not sure").join(patterns, "pattern").groupBy("value", "refuted")
+            .agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("trust"))
+            .select("value", F.when(F.col("refuted"), F.col("trust") / 2).otherwise(F.col("trust")).alias("trust"))
         )
-    return patterns.select("pattern", "score")
+    return patterns
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
@@ -173,15 +212,15 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, c
     scored stands, then the first kind. Ids may be null or repeat: rows are judged one by one. Other
     columns are not looked at. An empty table gives an empty one.
     """
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions array<struct<kind: int, start: long, end: long, value: string, seed: boolean, two: string, around: string>>"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions array<struct<kind: int, start: long, end: long, value: string, seed: boolean, refuted: boolean, two: string, around: string>>"
     marked = stash(docs.select("doc_id", "text").mapInArrow(_mentions, schema).withColumn("row", F.monotonically_increasing_id()), "pii")
     mention = marked.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     kind = F.col("kind").cast("string")
     slots = mention.select(
-        "row", "kind", "start", "end", "seed", F.concat_ws("|", kind, "value").alias("value"),
+        "row", "kind", "start", "end", "seed", "refuted", F.concat_ws("|", kind, "value").alias("value"),
         F.explode(F.array(F.concat_ws("|", kind, F.lit("two"), "two"), F.concat_ws("|", kind, F.lit("around"), "around"))).alias("pattern"),
     )
-    patterns = score_patterns(slots.select("pattern", "value", "seed"), rounds, least_seeds, confidence)
+    patterns = score_patterns(slots.select("pattern", "value", "seed", "refuted"), rounds, least_seeds, confidence)
     places = (
         slots.where("not seed").join(patterns, "pattern").groupBy("row", "start", "end")
         .agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
