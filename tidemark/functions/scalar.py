@@ -40,3 +40,26 @@ def in_quiet_hours(minute: Column, start: int, end: int) -> Column:
     if start <= end:
         return (minute >= start) & (minute < end)
     return (minute >= start) | (minute < end)
+
+
+def json_path(body: Column, path: str) -> Column:
+    """The member of a JSON object at a dotted path, as text; null where it is missing or lies in a
+    value that is no object."""
+    return F.get_json_object(body, "$." + path)
+
+
+def scalar_members(body: Column) -> Column:
+    """map<string, string> of the members of a JSON object that are neither objects nor arrays."""
+    members = F.from_json(body, "map<string, variant>")
+    plain = F.map_filter(members, lambda k, v: ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).rlike("^(OBJECT|ARRAY)"))
+    return F.transform_values(plain, lambda k, v: v.cast("string"))
+
+
+def first_timestamp(*candidates: Column) -> Column:
+    """The first candidate that is a whole number."""
+    return F.coalesce(*(c.try_cast("bigint") for c in candidates))
+
+
+def utc_date(epoch_seconds: Column) -> Column:
+    """The UTC day of an instant given in seconds, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch_seconds / 86400).cast("int"))

@@ -44,21 +44,30 @@ def deviations(features: DataFrame, baselines: DataFrame, keys: list[str] | None
     )
 
 
-def persistence(devs: DataFrame, keys: list[str] | None = None, params: Params = DEFAULT) -> DataFrame:
+def persistence(devs: DataFrame, keys: list[str] | None = None, params: Params = DEFAULT, rolling: bool = False) -> DataFrame:
     """The run of like deviations at the end of each series and window. Evidence folds the maturity
-    of the whole series."""
+    of the whole series. rolling: a row for each day, as of that day, instead of the last one."""
     keys = [*(keys or SERIES), "window_days"]
-    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("local_date")))
-    ordered = devs.withColumn("_back", back)
-
-    def run(kind: str) -> Column:
-        return F.coalesce(F.min(F.when(F.col("deviation_class") != kind, F.col("_back"))) - 1, F.count("*")).cast("bigint")
-
-    folded = ordered.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.max("local_date").alias("as_of"), run("ABOVE_TYPICAL_RANGE").alias("above"), run("BELOW_TYPICAL_RANGE").alias("below"),
-        F.bool_or(F.col("maturity") == "INSUFFICIENT_HISTORY").alias("_none"), F.bool_or(F.col("maturity") == "PROVISIONAL").alias("_some"),
-    )
     few, least = F.col("n") < params.min_consecutive, params.min_consecutive
+    if rolling:
+        order = Window.partitionBy(*keys).orderBy("local_date")
+        seen = order.rowsBetween(Window.unboundedPreceding, 0)
+        folded = devs.withColumn("n", F.row_number().over(order).cast("bigint")).withColumns({
+            "as_of": F.col("local_date"),
+            **{name: F.col("n") - F.coalesce(F.max(F.when(F.col("deviation_class") != kind, F.col("n"))).over(seen), F.lit(0))
+               for name, kind in (("above", "ABOVE_TYPICAL_RANGE"), ("below", "BELOW_TYPICAL_RANGE"))},
+            "_none": F.bool_or(F.col("maturity") == "INSUFFICIENT_HISTORY").over(seen), "_some": F.bool_or(F.col("maturity") == "PROVISIONAL").over(seen),
+        })
+    else:
+        ordered = devs.withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("local_date"))))
+
+        def run(kind: str) -> Column:
+            return F.coalesce(F.min(F.when(F.col("deviation_class") != kind, F.col("_back"))) - 1, F.count("*")).cast("bigint")
+
+        folded = ordered.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.max("local_date").alias("as_of"), run("ABOVE_TYPICAL_RANGE").alias("above"), run("BELOW_TYPICAL_RANGE").alias("below"),
+            F.bool_or(F.col("maturity") == "INSUFFICIENT_HISTORY").alias("_none"), F.bool_or(F.col("maturity") == "PROVISIONAL").alias("_some"),
+        )
     return folded.select(
         *keys, "as_of", "n", "above", "below",
         F.when(few, "INSUFFICIENT_OBSERVATIONS").when(F.col("above") >= least, "PERSISTENT_ABOVE_TYPICAL")
@@ -67,35 +76,42 @@ def persistence(devs: DataFrame, keys: list[str] | None = None, params: Params =
     )
 
 
-def _last_points(features: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """days, values of the last n observations of each series, in order."""
+def _last_points(features: DataFrame, keys: list[str], n: int, rolling: bool) -> DataFrame:
+    """days, values of the last n observations of each series, in order; rolling: as of each day."""
+    if rolling:
+        lately = Window.partitionBy(*keys).orderBy("local_date").rowsBetween(1 - n, 0)
+        point = F.struct(F.datediff("local_date", F.lit("1970-01-01").cast("date")).alias("d"), F.col("value").alias("v"))
+        framed = features.where("value is not null").withColumn("p", F.array_sort(F.collect_list(point).over(lately)))
+        return framed.select(*keys, F.col("local_date").alias("as_of"), F.col("p.d").alias("days"), F.col("p.v").alias("values"))
     last = features.where("value is not null").withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("local_date"))))
     points = F.array_sort(F.collect_list(F.struct(F.datediff("local_date", F.lit("1970-01-01").cast("date")).alias("d"), F.col("value").alias("v"))))
     return last.where(F.col("_back") <= n).groupBy(*keys).agg(points.alias("p")).select(*keys, F.col("p.d").alias("days"), F.col("p.v").alias("values"))
 
 
-def trends(features: DataFrame, keys: list[str], params: Params = DEFAULT) -> DataFrame:
-    """Theil-Sen slope and Spearman correlation of the last points of each series."""
+def trends(features: DataFrame, keys: list[str], params: Params = DEFAULT, rolling: bool = False) -> DataFrame:
+    """Theil-Sen slope and Spearman correlation of the last points of each series; rolling: a row for
+    each day (as_of), of the points up to it."""
     least, most = params.trend_points
-    points = _last_points(features, keys, most).withColumn("n", F.size("values").cast("bigint"))
+    points = _last_points(features, keys, most, rolling).withColumn("n", F.size("values").cast("bigint"))
     enough = F.col("n") >= least
     measured = points.withColumns({
         "slope": F.when(enough, F.round(stats.theil_sen(F.col("days"), F.col("values")), 6)),
         "rho": F.when(enough, F.round(stats.spearman(F.col("days").cast("array<double>"), F.col("values")), 6)),
     })
     return measured.select(
-        *keys, "n", "slope", "rho",
+        *keys, *(["as_of"] if rolling else []), "n", "slope", "rho",
         F.when(~enough, "INSUFFICIENT_OBSERVATIONS").when((F.col("slope") > 0) & (F.col("rho") >= params.trend_rho), "RISING")
         .when((F.col("slope") < 0) & (F.col("rho") <= -params.trend_rho), "FALLING").otherwise("STABLE").alias("trend_class"),
         F.when(enough, "SUFFICIENT").otherwise("INSUFFICIENT_OBSERVATIONS").alias("evidence"),
     )
 
 
-def change_points(features: DataFrame, keys: list[str], params: Params = DEFAULT) -> DataFrame:
+def change_points(features: DataFrame, keys: list[str], params: Params = DEFAULT, rolling: bool = False) -> DataFrame:
     """The split of the last points with the largest shift of medians over the spread within the
-    parts; the first of equal ones. A clean step has an infinite shift and no magnitude."""
+    parts; the first of equal ones. A clean step has an infinite shift and no magnitude. rolling: a
+    row for each day (as_of), of the points up to it."""
     n, least = params.change_points, params.change_segment
-    points = _last_points(features, keys, n).withColumn("n", F.size("values").cast("bigint"))
+    points = _last_points(features, keys, n, rolling).withColumn("n", F.size("values").cast("bigint"))
     v = F.col("values")
 
     def split(k: Column) -> Column:
@@ -111,7 +127,7 @@ def change_points(features: DataFrame, keys: list[str], params: Params = DEFAULT
     changed = enough & (F.col("shift") >= params.change_shift)
     finite = ~F.col("shift").isin(0.0, float("inf"))
     return found.select(
-        *keys, "n",
+        *keys, *(["as_of"] if rolling else []), "n",
         F.when(changed, F.date_add(F.lit("1970-01-01").cast("date"), F.col("best.day"))).alias("split_date"),
         F.when(finite, F.round("shift", 6)).alias("magnitude"),
         F.when(~enough, "INSUFFICIENT_EVIDENCE").when(changed, "CHANGE_DETECTED").otherwise("NO_CHANGE").alias("change_class"),

@@ -24,13 +24,8 @@ def spine(features: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def rolling_baselines(features: DataFrame, keys: list[str] | None = None, params: Params = DEFAULT, since: str | None = None) -> DataFrame:
-    """keys, window_days, as_of, n, distinct_dates, span_days, coverage, mean, median, mad, q10..q90,
-    maturity for features(keys, local_date, value). Statistics are null without enough history.
-
-    since: leave out days up to this one (the affected region of an incremental run).
-    """
-    keys = keys or SERIES
+def _frames(features: DataFrame, keys: list[str], params: Params, since: str | None) -> DataFrame:
+    """keys, as_of, x: struct<window_days, seen: the days and values of the window>."""
     known = features.where("value is not null").select(*keys, "local_date", "value")
     days = spine(known, keys)
     if since:
@@ -41,7 +36,24 @@ def rolling_baselines(features: DataFrame, keys: list[str] | None = None, params
     ).withColumn("_day", number)
     order = Window.partitionBy(*keys).orderBy("_day")
     framed = rows.withColumns({f"_w{w}": F.collect_list("seen").over(order.rangeBetween(-w, -1)) for w in params.windows}).where("seen is null")
-    each = framed.select(*keys, F.col("day").alias("as_of"), F.explode(F.array(*(F.struct(F.lit(w).alias("window_days"), F.col(f"_w{w}").alias("seen")) for w in params.windows))).alias("x"))
+    return framed.select(*keys, F.col("day").alias("as_of"), F.explode(F.array(*(F.struct(F.lit(w).alias("window_days"), F.col(f"_w{w}").alias("seen")) for w in params.windows))).alias("x"))
+
+
+def baseline_inputs(features: DataFrame, keys: list[str] | None = None, params: Params = DEFAULT, since: str | None = None) -> DataFrame:
+    """keys, window_days, as_of, local_date: which days each baseline was made from (its provenance)."""
+    keys = keys or SERIES
+    each = _frames(features, keys, params, since)
+    return each.select(*keys, F.col("x.window_days").alias("window_days"), "as_of", F.explode(F.col("x.seen.d")).alias("local_date"))
+
+
+def rolling_baselines(features: DataFrame, keys: list[str] | None = None, params: Params = DEFAULT, since: str | None = None) -> DataFrame:
+    """keys, window_days, as_of, n, distinct_dates, span_days, coverage, mean, median, mad, q10..q90,
+    maturity for features(keys, local_date, value). Statistics are null without enough history.
+
+    since: leave out days up to this one (the affected region of an incremental run).
+    """
+    keys = keys or SERIES
+    each = _frames(features, keys, params, since)
     seen = each.select(*keys, "as_of", "x.window_days", F.col("x.seen").alias("seen")).withColumns({
         "dates": F.array_distinct(F.col("seen.d")),
         "values": F.array_sort(F.col("seen.v")),

@@ -34,9 +34,16 @@ def baseline_checks(baselines: DataFrame) -> DataFrame:
     )
 
 
-def leaks(links: DataFrame) -> DataFrame:
-    """Links from a baseline to an input of its own day or a later one."""
-    return links.where("local_date >= as_of")
+def input_audit(baselines: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """By window: baselines, links to their inputs, links to the baseline's own day or a later one (leaks),
+    links to days before the window (early), and baselines whose number of links is not what they state."""
+    on = [*keys, "window_days", "as_of"]
+    late, early = F.col("local_date") >= F.col("as_of"), F.datediff("as_of", "local_date") > F.col("window_days")
+    per = links.groupBy(*on).agg(F.count("*").alias("links"), F.count_if(late).alias("leaks"), F.count_if(early).alias("early"))
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return baselines.join(per, on, "left").groupBy("window_days").agg(
+        F.count("*").alias("baselines"), some("links"), some("leaks"), some("early"), F.count_if(F.col("n") != F.coalesce("links", F.lit(0))).alias("miscounted")
+    )
 
 
 def forbidden(df: DataFrame, column: str) -> DataFrame:

@@ -107,3 +107,20 @@ def absent_facts(outputs: DataFrame, bundles_: DataFrame, categories: dict[str,
 
 def has_symptom(contexts: Column) -> Column:
     return F.arrays_overlap(contexts, F.array(*map(F.lit, SYMPTOMS)))
+
+
+def drill_down(shown: DataFrame, values: DataFrame, devs: DataFrame, baselines: DataFrame, keys: list[str], most: int = 28, latest: int = 3) -> DataFrame:
+    """For shown(keys, analysis_date, today): how many of the last values and deviations there are, their
+    total, and the latest baselines up to the day (as_of/window, latest first)."""
+    def last(df: DataFrame, n: int, *order: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("_n", place).where(F.col("_n") <= n)
+
+    listed = last(shown.join(values.select(*keys, "local_date", "value"), keys), most, F.desc("local_date"))
+    total = listed.groupBy(*keys, "analysis_date", "today").agg(F.count("*").alias("shown_values"), F.round(F.sum("value"), 4).alias("total"))
+    told = last(shown.select(*keys).join(devs, keys), most, F.desc("local_date"), F.col("window_days"))
+    seen = told.groupBy(*keys).agg(F.count("*").alias("shown_deviations"), F.count_if(F.col("deviation_class") == "INSUFFICIENT_BASELINE").alias("without_baseline"))
+    known = last(shown.select(*keys, "analysis_date").join(baselines, keys).where("as_of <= analysis_date"), latest, F.desc("as_of"), F.col("window_days"))
+    name = F.struct("_n", F.concat_ws("/", F.col("as_of").cast("string"), F.col("window_days").cast("string")).alias("name"))
+    base = known.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(name)), lambda x: x["name"]), ",").alias("latest_baselines"))
+    return total.join(seen, keys, "left").join(base, keys, "left")

@@ -30,11 +30,23 @@ def latest_versions(versions_: DataFrame) -> DataFrame:
 
 def late_arrivals(captures: DataFrame, log: DataFrame) -> DataFrame:
     """Flags new records whose time lies in the scope of an earlier capture. captures(capture, metric,
-    starts, ends); log with capture. Scopes of earlier captures are few a metric: they are folded to
-    one array before the join, so no observation is copied."""
-    scopes = captures.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("capture", "starts", "ends"))).alias("scopes"))
-    inside = F.exists("scopes", lambda s: (s["capture"] < F.col("capture")) & (F.col("ts") >= s["starts"]) & (F.col("ts") <= s["ends"]))
-    return log.join(F.broadcast(scopes), "metric", "left").withColumn(
+    starts, ends); log(capture, metric, ts, classification, ...).
+
+    For each capture the scopes of those before it are merged into disjoint intervals, which are few;
+    an observation is joined on its own capture only and no observation is copied.
+    """
+    w = Window.partitionBy("metric").orderBy("capture").rowsBetween(Window.unboundedPreceding, -1)
+    scope = F.struct("starts", "ends")
+    # Intervals in order; one that begins within the last is merged with it.
+    merge = lambda done, x: F.when(
+        (F.size(done) > 0) & (x["starts"] <= F.element_at(done, -1)["ends"]),
+        F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["starts"].alias("starts"), F.greatest(F.element_at(done, -1)["ends"], x["ends"]).alias("ends")))),
+    ).otherwise(F.concat(done, F.array(x)))
+    before = captures.withColumn("_all", F.array_sort(F.collect_list(scope).over(w))).select(
+        "metric", "capture", F.aggregate("_all", F.slice("_all", 1, 0), merge).alias("scopes")
+    )
+    inside = F.exists("scopes", lambda s: (F.col("ts") >= s["starts"]) & (F.col("ts") <= s["ends"]))
+    return log.join(before, ["metric", "capture"], "left").withColumn(
         "late", (F.col("classification") == "NEW") & F.coalesce(inside, F.lit(False))
     ).drop("scopes")
 
@@ -70,12 +82,16 @@ def exact_duplicates(log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sampling_gaps(facts: DataFrame) -> DataFrame:
-    """Median and longest gap, in minutes, between different instants of a metric and day."""
-    instants = facts.select("metric", "local_date", "ts").distinct()
-    before = F.lag("ts").over(Window.partitionBy("metric", "local_date").orderBy("ts"))
+    """Median and longest gap, in minutes, between different instants of a metric and day. Gaps are
+    found hour by hour, the last instant before an hour carried on to it, so that no task sorts a day."""
+    hour = ["metric", "local_date", "_hour"]
+    instants = facts.select("metric", "local_date", "ts", F.date_trunc("hour", "ts").alias("_hour")).distinct()
+    last = instants.groupBy(*hour).agg(F.max("ts").alias("_last"))
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy("metric", "local_date").orderBy("_hour"))).drop("_last")
+    before = F.coalesce(F.lag("ts").over(Window.partitionBy(*hour).orderBy("ts")), "_carried")
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / F.lit(60e6)
     return (
-        instants.withColumn("gap", gap).groupBy("metric", "local_date")
+        instants.join(carried, hour).withColumn("gap", gap).groupBy("metric", "local_date")
         .agg(F.count("*").alias("instants"), F.round(F.percentile("gap", 0.5), 4).alias("median_gap"), F.round(F.max("gap"), 4).alias("longest_gap"))
     )
 

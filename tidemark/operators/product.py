@@ -93,3 +93,26 @@ def sessions(turns: DataFrame, slept: DataFrame) -> DataFrame:
     ended = (F.col("day") > F.lag("day").over(w)) & (F.coalesce("_slept", F.lit(False)) | (F.hour("ts") >= 12))
     opens = F.when(F.lag("day").over(w).isNull() | ended, 1).otherwise(0)
     return joined.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(w)).drop("_opens", "_slept")
+
+
+def project_episodes(stored: DataFrame, projected: DataFrame) -> DataFrame:
+    """stored(id, subject, episode_key, start_day, end_day, phase, status) after a new projection of the
+    same columns without id and status: known episodes are renewed under their id, those that are gone
+    are SUPERSEDED, others come without an id."""
+    fields = ["start_day", "end_day", "phase"]
+    both = stored.join(projected.select("subject", "episode_key", *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_now")), ["subject", "episode_key"], "full_outer")
+    now = F.col("_now").isNotNull()
+    status = F.when(now, "CURRENT").when(F.col("status") == "CURRENT", "SUPERSEDED").otherwise(F.col("status"))
+    return both.select("id", "subject", "episode_key", *(F.when(now, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields), status.alias("status"))
+
+
+def sent_with_versions(notifications: DataFrame, versions: DataFrame, most: int = 20) -> DataFrame:
+    """The last notifications sent to each user with what the version that they are about shows."""
+    sent = notifications.where("decision = 'SEND'").join(versions.select(F.col("id").alias("version_id"), "state"), "version_id", "left")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("id")))
+    return sent.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
+def contexts_with_times(contexts: DataFrame, meta: DataFrame) -> DataFrame:
+    """Current contexts with whether they go on and until when, where that is known."""
+    return contexts.where("status = 'CURRENT'").join(meta.select(F.col("context_id").alias("id"), "ongoing", "valid_until", "ended_on"), "id", "left")

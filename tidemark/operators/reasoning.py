@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import contains_any
-from ..params import BODY_PARTS, CONFIDENCE, CONTEXT_KEYWORDS, PAST_KEYWORDS, REVIEW_WORDS, SYMPTOMS
+from ..params import BODY_PARTS, CONFIDENCE, CONTEXT_KEYWORDS, OUTPUT_KEYS, PAST_KEYWORDS, REVIEW_WORDS, SYMPTOMS
 
 
 def extract_contexts(texts: DataFrame, today: Column, keywords: dict[str, list[str]] | None = None) -> DataFrame:
@@ -37,6 +37,23 @@ def signals(devs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def with_analytics(days: DataFrame, persistent: DataFrame, changed: DataFrame, trending: DataFrame, keys: list[str]) -> DataFrame:
+    """days(keys, signals) with the flags persistent, changed, trending of the analytics as of the same
+    day (keys, and their class), and the signals PERSISTENT_HIGH and PERSISTENT_LOW."""
+    kind = F.col("persistence_class")
+    runs = persistent.groupBy(*keys).agg(
+        F.bool_or(kind == "PERSISTENT_ABOVE_TYPICAL").alias("_high"), F.bool_or(kind == "PERSISTENT_BELOW_TYPICAL").alias("_low")
+    )
+    steps = changed.groupBy(*keys).agg(F.bool_or(F.col("change_class") == "CHANGE_DETECTED").alias("changed"))
+    slopes = trending.groupBy(*keys).agg(F.bool_or(F.col("trend_class").isin("RISING", "FALLING")).alias("trending"))
+    joined = days.join(runs, keys, "left").join(steps, keys, "left").join(slopes, keys, "left")
+    more = F.array_compact(F.array(F.when(F.col("_high"), "PERSISTENT_HIGH"), F.when(F.col("_low"), "PERSISTENT_LOW")))
+    return joined.withColumns({
+        "signals": F.array_sort(F.concat("signals", more)), "persistent": F.coalesce(F.col("_high") | F.col("_low"), F.lit(False)),
+        "changed": F.coalesce("changed", F.lit(False)), "trending": F.coalesce("trending", F.lit(False)),
+    }).drop("_high", "_low")
+
+
 def overall_state(known: Column, above: Column, below: Column, persistent: Column, changed: Column, trending: Column) -> Column:
     return (
         F.when(known == 0, "INSUFFICIENT_EVIDENCE").when(persistent | changed | (above >= 2) | (below >= 2), "NOTABLE_CHANGE")
@@ -44,19 +61,31 @@ def overall_state(known: Column, above: Column, below: Column, persistent: Colum
     )
 
 
-def hypotheses(state: Column, signal: Column, contexts: Column) -> Column:
-    """Hypothesis types whose rules hold, in the order of the rules; with none, what the state says."""
+def candidates(state: Column, signal: Column, contexts: Column) -> Column:
+    """array<struct<type, supporting>> of the hypotheses whose rules hold, in the order of the rules,
+    with the evidence for each; with none, what the state says."""
     has = lambda s: F.array_contains(signal, s)
     told = lambda c: F.array_contains(contexts, c)
     heart = has("resting_heart_rate_UP") | has("heart_rate_UP")
     stress = has("stress_score_UP")
+    up = F.filter(signal, lambda s: s.contains("UP"))
+    some = lambda *parts: F.array_sort(F.array_distinct(F.array_compact(F.array(*parts))))
+    late = F.when(F.size(up) > 0, up).when(told("FATIGUE"), F.array(F.lit("FATIGUE"))).otherwise(F.array(F.lit("stress_score_UP")))
+    symptoms = F.array_sort(F.array_intersect(contexts, F.array(*map(F.lit, SYMPTOMS))))
+    case = lambda when, kind, why: F.when(when, F.struct(F.lit(kind).alias("type"), why.alias("supporting")))
     found = F.array_compact(F.array(
-        F.when(heart & told("HIGH_INTENSITY_TRAINING"), "RECOVERY_STRAIN"),
-        F.when(has("sleep_DOWN") | (told("LATE_SLEEP") & (stress | heart | told("FATIGUE"))), "SLEEP_DEFICIT"),
-        F.when(stress & (told("STRESS") | heart), "STRESS_RESPONSE"),
-        F.when(F.arrays_overlap(contexts, F.array(*map(F.lit, SYMPTOMS))), "ACUTE_ILLNESS_SUSPECTED"),
+        case(heart & told("HIGH_INTENSITY_TRAINING"), "RECOVERY_STRAIN", F.array_sort(F.array_distinct(F.concat(up, F.array(F.lit("HIGH_INTENSITY_TRAINING")))))),
+        F.coalesce(
+            case(has("sleep_DOWN"), "SLEEP_DEFICIT", some(F.lit("sleep_like_duration_below_typical"), F.when(told("LATE_SLEEP"), "LATE_SLEEP"))),
+            case(told("LATE_SLEEP") & (stress | heart | told("FATIGUE")), "SLEEP_DEFICIT", F.array_sort(F.array_distinct(F.concat(F.array(F.lit("LATE_SLEEP")), late)))),
+        ),
+        case(stress & (told("STRESS") | heart), "STRESS_RESPONSE", some(F.lit("stress_score_UP"), F.when(told("STRESS"), "STRESS"), F.when(heart, "heart_rate_UP"))),
+        case(F.size(symptoms) > 0, "ACUTE_ILLNESS_SUSPECTED", F.concat(symptoms, F.when(heart, F.array(F.lit("heart_rate_UP"))).otherwise(F.array().cast("array<string>")))),
     ))
-    none = F.array(F.when(state == "STABLE", "NO_SIGNIFICANT_FINDING").otherwise("UNKNOWN"))
+    none = F.array(
+        F.when(state == "STABLE", F.struct(F.lit("NO_SIGNIFICANT_FINDING").alias("type"), F.array(F.lit("overall_state_STABLE")).alias("supporting")))
+        .otherwise(F.struct(F.lit("UNKNOWN").alias("type"), F.array(F.lit("insufficient_distinguishing_evidence")).alias("supporting")))
+    )
     return F.when(F.size(found) > 0, found).otherwise(none)
 
 
@@ -104,11 +133,22 @@ def asserted(text: Column, marker: str, hedges: list[str], reach: int = 50) -> C
     return (F.size(pieces) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), free)
 
 
-def output_problems(output: Column) -> Column:
-    """What is wrong with a model's answer (JSON text), as an array; empty: nothing."""
+def output_problems(output: Column, allowed: Column | None = None) -> Column:
+    """What is wrong with a model's answer (JSON text), as an array; empty: nothing. allowed: the
+    hypothesis types that the rules have found."""
+    whole = F.try_parse_json(output)
+    kind = F.schema_of_variant(whole)
     field = lambda name: F.get_json_object(output, f"$.{name}")
-    return F.array_compact(F.array(
-        F.when(F.schema_of_json(F.lit("{}")).isNull() | F.get_json_object(output, "$").isNull(), "not_json"),
-        *(F.when(field(k).isNull(), F.lit(f"missing_{k}")) for k in ("overall_state", "confidence", "summary")),
-        F.when(field("confidence").isNotNull() & ~field("confidence").isin(*CONFIDENCE), "bad_confidence"),
-    ))
+    actions = F.coalesce(F.schema_of_variant(F.try_variant_get(whole, "$.recommended_actions", "variant")), F.lit("VOID"))
+    said = F.coalesce(field("primary_hypothesis_type"), F.lit(""))
+    return F.when(whole.isNull() | ~kind.startswith("OBJECT"), F.array(F.lit("not_an_object"))).otherwise(F.array_compact(F.array(
+        *(F.when(field(k).isNull(), F.lit(f"missing_{k}")) for k in OUTPUT_KEYS),
+        *([F.when(~F.array_contains(allowed, said), F.lit("invalid_primary"))] if allowed is not None else []),
+        F.when(~actions.startswith("ARRAY"), "actions_not_a_list"),
+        F.when(~F.coalesce(field("confidence"), F.lit("")).isin(*CONFIDENCE), "invalid_confidence"),
+    )))
+
+
+def normalised_output(output: Column) -> Column:
+    """The object in a model's answer: from its first brace to its last one, without the text around."""
+    return F.nullif(F.regexp_extract(output, r"(?s)\{.*\}", 0), F.lit(""))

@@ -65,6 +65,72 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """An order-independent digest: the count and the sum of row hashes."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))), 1, 12), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("digest"))
+    """An order-independent digest: the count, and the sums of two 24-bit parts of the row hashes (so
+    that no sum overflows below 2**39 rows)."""
+    h = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(h, at, 6), 16, 10).cast("bigint")), F.lit(0))
+    return df.agg(F.count("*").alias("n"), part(1).alias("high"), part(7).alias("low"))
+
+
+def replace_all(history: DataFrame, desired: DataFrame, keys: list[str]) -> DataFrame:
+    """The next version of history(keys, sig, status), all or nothing: if the current rows are not the
+    desired ones, all of them turn stale and the whole desired set is added; else nothing changes."""
+    plan = delta(history.where("status = 'CURRENT'"), desired, keys)
+    differs = plan.agg(F.coalesce(F.bool_or(F.col("action") != "KEEP"), F.lit(False)).alias("_differs"))
+    old = history.crossJoin(F.broadcast(differs)).withColumn("status", F.when(F.col("_differs") & (F.col("status") == "CURRENT"), "STALE").otherwise(F.col("status")))
+    new = desired.crossJoin(F.broadcast(differs)).where("_differs").withColumn("status", F.lit("CURRENT"))
+    return old.drop("_differs").unionByName(new.select(*history.columns))
+
+
+def apply_revisions(history: DataFrame, batch: DataFrame, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """history(logical, version, status) after a batch(logical, version, classification): the next
+    history, and what breaks the rules (logical, problem).
+
+    A NEW record must have no current row and a REVISION must have one; a version that is current
+    already is skipped. full: the batch is the latest version of every record and has no such rules.
+    A record that breaks a rule is left as it is.
+    """
+    current = history.where("status = 'CURRENT'").select("logical", F.col("version").alias("_is"))
+    joined = batch.join(current, "logical", "left")
+    same = F.coalesce(F.col("_is") == F.col("version"), F.lit(False))
+    problem = F.when(~same & (F.col("classification") == "NEW") & F.col("_is").isNotNull(), "NEW_HAS_CURRENT").when(
+        ~same & (F.col("classification") == "REVISION") & F.col("_is").isNull(), "REVISION_WITHOUT_CURRENT"
+    )
+    judged = joined.withColumn("problem", F.lit(None).cast("string") if full else problem)
+    taken = judged.where(~same & F.col("problem").isNull()).select("logical", "version")
+    gone = taken.select("logical", F.lit("CURRENT").alias("status"), F.lit(True).alias("_gone"))
+    kept = history.join(gone, ["logical", "status"], "left").withColumn("status", F.when(F.col("_gone"), "STALE").otherwise(F.col("status")))
+    after = kept.select("logical", "version", "status").unionByName(taken.withColumn("status", F.lit("CURRENT")))
+    return after, judged.where("problem is not null").select("logical", "problem")
+
+
+def replace_sets(history: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Facts of history(key, ..., status) after a batch of whole fact sets: the current facts of every
+    key in the batch turn stale unless its set is the same, then the set of the batch is added."""
+    content = [c for c in batch.columns if c != key]
+    sets = lambda df: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*content))).alias("_set"))
+    now, was = sets(batch), sets(history.where("status = 'CURRENT'")).withColumnRenamed("_set", "_was")
+    changed = now.join(was, key, "left").where(~F.col("_set").eqNullSafe(F.col("_was"))).select(key)
+    marked = history.join(changed.withColumn("_hit", F.lit(True)), key, "left")
+    old = marked.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "CURRENT"), "STALE").otherwise(F.col("status"))).select(*history.columns)
+    return old.unionByName(batch.join(changed, key, "left_semi").withColumn("status", F.lit("CURRENT")).select(*history.columns))
+
+
+def semantic_compare(a: DataFrame, b: DataFrame, content: list[str], refers: dict[str, tuple[DataFrame, DataFrame, str, list[str]]] | None = None) -> DataFrame:
+    """Rows of one table and not of the other, by content and repeats counted: content, side.
+
+    refers: column -> (parent of a, parent of b, its id, its content): a column that holds surrogate
+    ids is compared by what the rows it refers to say.
+    """
+    for column, (of_a, of_b, key, said) in (refers or {}).items():
+        named = lambda df, parent: df.join(parent.select(F.col(key).alias(column), signature(*said).alias("_said")), column, "left").drop(column).withColumnRenamed("_said", column)  # noqa: B023, E731
+        a, b = named(a, of_a), named(b, of_b)
+    a, b = a.select(*content), b.select(*content)
+    return a.exceptAll(b).withColumn("side", F.lit("only_first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("only_second")))
+
+
+def definitions_changed(registry: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Definitions (name, version, checksum) whose checksum differs from the registered one of the same
+    version: a definition may only change with its version."""
+    was = registry.select("name", "version", F.col("checksum").alias("_was"))
+    return definitions.join(was, ["name", "version"]).where("checksum <> _was").select("name", "version")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..params import BODY_PARTS, PAST_KEYWORDS
-from .queries import CONTEXTS, KEYWORDS, METRICS
+from ..params import BODY_PARTS, PAST_KEYWORDS, SCOPE_WORDS
+from .queries import CONTEXTS, METRICS, WORDS
 
 # Blocks of common table expressions.
 _POINTS = """facts as (
@@ -61,7 +61,44 @@ _DEV = f"""{_BASE}, dev0 as (
 _METRIC_CASE = "case metric " + " ".join(f"when '{k}' then '{v}'" for k, v in METRICS.items()) + " end"
 _CONTEXT_CASE = "case k % 5 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(CONTEXTS)) + " end"
 _CTX = f"ctx as (select source_sid as subject, local_date as day, list_sort(list_distinct(list({_CONTEXT_CASE}))) as contexts from facts where metric = 'signup' group by all)"
-_DAYS = f"""{_DEV}, {_CTX}, sig as (
+# The average ranks and their correlation, for rows (keys, x, y).
+def _spearman(source: str, keys: str) -> str:
+    return f"""ranked as (
+        select {keys}, rank() over (partition by {keys} order by x) + (count(*) over (partition by {keys}, x) - 1) / 2.0::double as rx,
+               rank() over (partition by {keys} order by y) + (count(*) over (partition by {keys}, y) - 1) / 2.0::double as ry from {source}),
+    centred as (select {keys}, rx - avg(rx) over (partition by {keys}) as dx, ry - avg(ry) over (partition by {keys}) as dy from ranked),
+    rhos as (
+        select {keys}, case when sum(dx * dx) > 0 and sum(dy * dy) > 0 then round(sum(dx * dy) / (sqrt(sum(dx * dx)) * sqrt(sum(dy * dy))), 6) else 0.0 end as rho
+        from centred group by all)"""
+
+
+_ON = "{0}.metric = {1}.metric and {0}.source_sid = {1}.source_sid and {0}.t = {1}.t"
+# Persistence, trends and change points as of each day of a series.
+_ROLLING = f"""ord as (select metric, source_sid, local_date as t, value, row_number() over (partition by metric, source_sid order by local_date) as rn from obs),
+    pr as (select metric, source_sid, window_days, local_date, deviation_class, row_number() over (partition by metric, source_sid, window_days order by local_date) as rn from devs),
+    pr2 as (
+        select *, rn - coalesce(max(case when deviation_class <> 'ABOVE_TYPICAL_RANGE' then rn end) over w, 0) as above,
+               rn - coalesce(max(case when deviation_class <> 'BELOW_TYPICAL_RANGE' then rn end) over w, 0) as below
+        from pr window w as (partition by metric, source_sid, window_days order by local_date rows between unbounded preceding and current row)),
+    pers as (select source_sid as subject, local_date as day, bool_or(above >= 3) as high, bool_or(below >= 3) as low from pr2 group by all),
+    tp as (
+        select t.metric, t.source_sid, t.t, (o.t - date '1970-01-01')::double as x, o.value as y from ord t
+        join ord o on o.metric = t.metric and o.source_sid = t.source_sid and o.rn between t.rn - 13 and t.rn),
+    tsl as (select a.metric, a.source_sid, a.t, round(coalesce(quantile_cont((b.y - a.y) / (b.x - a.x), 0.5), 0), 6) as slope, count(*) as pairs
+        from tp a join tp b on {_ON.format('a', 'b')} and a.x < b.x group by all),
+    {_spearman('tp', 'metric, source_sid, t')},
+    trend as (select a.source_sid as subject, a.t as day, bool_or(pairs >= 3 and ((slope > 0 and rho >= 0.5) or (slope < 0 and rho <= -0.5))) as trending
+        from tsl a join rhos b on {_ON.format('a', 'b')} group by all),
+    cp as (
+        select t.metric, t.source_sid, t.t, o.value as v, o.rn - t.rn + 10 as i from ord t
+        join ord o on o.metric = t.metric and o.source_sid = t.source_sid and o.rn between t.rn - 9 and t.rn where t.rn >= 10),
+    cseg as (select metric, source_sid, t, k, i > k as later, v from cp, (values (4), (5), (6)) x(k)),
+    cmed as (select metric, source_sid, t, k, later, quantile_cont(v, 0.5) as m from cseg group by all),
+    cres as (select a.metric, a.source_sid, a.t, a.k, quantile_cont(abs(a.v - b.m), 0.5) as spread from cseg a join cmed b on {_ON.format('a', 'b')} and a.k = b.k and a.later = b.later group by all),
+    csh as (select r.source_sid, r.t, case when spread = 0 then case when a.m = b.m then 0.0 else 1e308 end else abs(b.m - a.m) / spread end as shift
+        from cres r join cmed a on {_ON.format('r', 'a')} and r.k = a.k and not a.later join cmed b on {_ON.format('r', 'b')} and r.k = b.k and b.later),
+    chg as (select source_sid as subject, t as day, bool_or(shift >= 3) as changed from csh group by all)"""
+_DAYS = f"""{_DEV}, {_CTX}, {_ROLLING}, sig as (
         select source_sid as subject, local_date as day,
                list(distinct {_METRIC_CASE} || case deviation_class when 'ABOVE_TYPICAL_RANGE' then '_UP' else '_DOWN' end)
                    filter (where deviation_class in ('ABOVE_TYPICAL_RANGE', 'BELOW_TYPICAL_RANGE')) as raw,
@@ -69,23 +106,28 @@ _DAYS = f"""{_DEV}, {_CTX}, sig as (
                count(*) filter (where deviation_class <> 'INSUFFICIENT_BASELINE') as known, count(*) as deviations
         from devs where window_days = 28 group by all),
     joined as (
-        select s.subject, s.day, list_sort(coalesce(raw, [])) as signals, above, below, known, deviations, coalesce(c.contexts, []) as contexts
-        from sig s left join ctx c on c.subject = s.subject and c.day = s.day),
+        select s.subject, s.day, list_sort(list_concat(list_concat(coalesce(raw, []), case when high then ['PERSISTENT_HIGH'] else [] end), case when low then ['PERSISTENT_LOW'] else [] end)) as signals,
+               above, below, known, deviations, coalesce(c.contexts, []) as contexts, coalesce(high or low, false) as persistent, coalesce(changed, false) as changed, coalesce(trending, false) as trending
+        from sig s left join ctx c on c.subject = s.subject and c.day = s.day left join pers p on p.subject = s.subject and p.day = s.day
+        left join chg g on g.subject = s.subject and g.day = s.day left join trend t on t.subject = s.subject and t.day = s.day),
     stated as (
-        select *, case when known = 0 then 'INSUFFICIENT_EVIDENCE' when above >= 2 or below >= 2 then 'NOTABLE_CHANGE' when above > 0 or below > 0 then 'MILD_CHANGE' else 'STABLE' end as overall_state,
-               list_contains(signals, 'resting_heart_rate_UP') or list_contains(signals, 'heart_rate_UP') as heart, list_contains(signals, 'stress_score_UP') as stress
+        select *, case when known = 0 then 'INSUFFICIENT_EVIDENCE' when persistent or changed or above >= 2 or below >= 2 then 'NOTABLE_CHANGE' when above > 0 or below > 0 or trending then 'MILD_CHANGE' else 'STABLE' end as overall_state,
+               list_contains(signals, 'resting_heart_rate_UP') or list_contains(signals, 'heart_rate_UP') as heart, list_contains(signals, 'stress_score_UP') as stress,
+               len(list_filter(signals, lambda x: contains(x, 'UP'))) as ups, list_contains(contexts, 'LATE_SLEEP') as late_sleep, list_contains(contexts, 'STRESS') as stressed
         from joined),
     hyp as (
         select *, list_filter([
-            case when heart and list_contains(contexts, 'HIGH_INTENSITY_TRAINING') then 'RECOVERY_STRAIN' end,
-            case when list_contains(signals, 'sleep_DOWN') or (list_contains(contexts, 'LATE_SLEEP') and (stress or heart or list_contains(contexts, 'FATIGUE'))) then 'SLEEP_DEFICIT' end,
-            case when stress and (list_contains(contexts, 'STRESS') or heart) then 'STRESS_RESPONSE' end,
-            case when list_contains(contexts, 'FEVER') then 'ACUTE_ILLNESS_SUSPECTED' end], lambda x: x is not null) as found
+            case when heart and list_contains(contexts, 'HIGH_INTENSITY_TRAINING') then {{'t': 'RECOVERY_STRAIN', 'n': ups + 1}} end,
+            case when list_contains(signals, 'sleep_DOWN') then {{'t': 'SLEEP_DEFICIT', 'n': 1 + late_sleep::bigint}}
+                 when late_sleep and (stress or heart or list_contains(contexts, 'FATIGUE')) then {{'t': 'SLEEP_DEFICIT', 'n': 1 + greatest(ups, 1)}} end,
+            case when stress and (stressed or heart) then {{'t': 'STRESS_RESPONSE', 'n': 1 + stressed::bigint + heart::bigint}} end,
+            case when list_contains(contexts, 'FEVER') then {{'t': 'ACUTE_ILLNESS_SUSPECTED', 'n': 1 + heart::bigint}} end], lambda x: x is not null) as found
         from stated),
     days as (
-        select *, case when len(found) > 0 then found when overall_state = 'STABLE' then ['NO_SIGNIFICANT_FINDING'] else ['UNKNOWN'] end as hypotheses,
-               case when known < deviations and len(contexts) = 0 and len(signals) < 2 then 'VERY_LOW' when len(signals) >= 3 then 'HIGH' when len(signals) >= 2 then 'MODERATE'
-                    when len(signals) >= 1 or len(contexts) > 0 then 'LOW' else 'VERY_LOW' end as confidence, list_contains(contexts, 'FEVER') as symptom
+        select *, case when len(found) > 0 then list_transform(found, lambda x: x.t) when overall_state = 'STABLE' then ['NO_SIGNIFICANT_FINDING'] else ['UNKNOWN'] end as hypotheses,
+               case when len(found) > 0 then found[1].n else 1 end as support,
+               case when overall_state = 'INSUFFICIENT_EVIDENCE' and len(contexts) = 0 and support < 2 then 'VERY_LOW' when support >= 3 then 'HIGH' when support >= 2 then 'MODERATE' else 'LOW' end as confidence,
+               list_contains(contexts, 'FEVER') as symptom
         from hyp)"""
 _LOG = """log as (
     select event_id as seq, user_id::varchar || '|' || event_type || '|' || ts::date::varchar as logical, try_cast(json_extract_string(props, '$.k') as bigint) % 3 as payload,
@@ -145,16 +187,6 @@ def _any(text: str, words: list[str]) -> str:
 
 _PART = "case " + " ".join(f"when contains(lower(text), '{k}') then '{v}'" for k, v in BODY_PARTS.items()) + " end"
 
-# The average ranks and their correlation, for rows (keys, x, y).
-def _spearman(source: str, keys: str) -> str:
-    return f"""ranked as (
-        select {keys}, rank() over (partition by {keys} order by x) + (count(*) over (partition by {keys}, x) - 1) / 2.0::double as rx,
-               rank() over (partition by {keys} order by y) + (count(*) over (partition by {keys}, y) - 1) / 2.0::double as ry from {source}),
-    centred as (select {keys}, rx - avg(rx) over (partition by {keys}) as dx, ry - avg(ry) over (partition by {keys}) as dy from ranked),
-    rhos as (
-        select {keys}, case when sum(dx * dx) > 0 and sum(dy * dy) > 0 then round(sum(dx * dy) / (sqrt(sum(dx * dx)) * sqrt(sum(dy * dy))), 6) else 0.0 end as rho
-        from centred group by all)"""
-
 
 ORACLES: dict[str, str] = {
     "point_daily_stats": f"with {_DAILY} select * from daily",
@@ -242,8 +274,9 @@ ORACLES: dict[str, str] = {
         s as (select metric, capture, min(ts) as a, max(ts) as b from c group by all)
         select metric, capture, count(*) as n, count(*) filter (where classification = 'NEW'
             and exists (select 1 from s where s.metric = c.metric and s.capture < c.capture and c.ts >= s.a and c.ts <= s.b)) as late from c group by all""",
-    "capture_compare": f"""with {_LOG}, a as (select metric, logical, arg_max(payload, seq) as p from log where day between '2024-01-01' and '2024-01-12' group by all),
-        b as (select metric, logical, arg_max(payload, seq) as p from log where day between '2024-01-10' and '2024-01-20' group by all)
+    "capture_compare": f"""with {_LOG}, x as (select min(day) as d, max(day) - min(day) as span from log),
+        a as (select metric, logical, arg_max(payload, seq) as p from log, x where day - d <= span * 2 // 3 group by all),
+        b as (select metric, logical, arg_max(payload, seq) as p from log, x where day - d >= span // 3 group by all)
         select coalesce(a.metric, b.metric) as metric, count(*) filter (where a.logical is not null and b.logical is not null) as shared,
             count(*) filter (where a.p = b.p) as unchanged, count(*) filter (where a.p <> b.p) as revised, count(*) filter (where a.logical is null) as new,
             count(*) filter (where b.logical is null) as missing from a full outer join b on a.metric = b.metric and a.logical = b.logical group by all""",
@@ -279,12 +312,13 @@ ORACLES: dict[str, str] = {
         select * from n union all select c_custkey, c_mktsegment from customer where c_custkey not in (select key from n)""",
     "insert_ignore": """with n as (select p_partkey * 2 as key, p_brand as value from part)
         select c_custkey as key, c_mktsegment as value from customer union all select * from n where key not in (select c_custkey from customer)""",
-    "semantic_digest": f"""with {_LOG} select count(*) as n, sum(('0x' || substr(md5(seq::varchar || '|' || logical || '|' || payload::varchar), 1, 12))::bigint)::bigint as digest from log""",
+    "semantic_digest": f"""with {_LOG}, h as (select md5(seq::varchar || '|' || logical || '|' || payload::varchar) as h from log)
+        select count(*) as n, sum(('0x' || substr(h, 1, 6))::bigint)::bigint as high, sum(('0x' || substr(h, 7, 6))::bigint)::bigint as low from h""",
     "context_extract": f"""with t as (
-            select conv_id, turn, text, list_filter([{', '.join(f"case when {_any('text', w)} then '{k}' end" for k, w in KEYWORDS.items())}], lambda x: x is not null) as found,
+            select conv_id, turn, text, list_filter([{', '.join(f"case when {_any('text', w)} then '{k}' end" for k, w in WORDS.items())}], lambda x: x is not null) as found,
                    case when {_any('text', PAST_KEYWORDS)} then date '2024-01-14' else date '2024-01-15' end as context_date, {_PART} as part
-            from conversations where role = 'user' and text is not null),
-        u as (select conv_id, turn, context_date, part, unnest(case when list_contains(found, 'FEVER') then list_filter(found, lambda x: x <> 'ILLNESS') else found end) as context_type from t)
+            from conversations where text is not null),
+        u as (select conv_id, turn, context_date, part, unnest(case when list_has_any(found, ['FEVER', 'SORE_THROAT', 'NASAL_CONGESTION']) then list_filter(found, lambda x: x <> 'ILLNESS') else found end) as context_type from t)
         select conv_id, turn, context_type, context_date, case when context_type = 'HIGH_INTENSITY_TRAINING' then part end as body_part from u""",
     "signal_set": f"with {_DAYS} select subject, day, array_to_string(signals, ',') as signals, above, below from days",
     "overall_state": f"with {_DAYS} select subject, day, overall_state from days",
@@ -292,7 +326,7 @@ ORACLES: dict[str, str] = {
     "base_confidence": f"""with {_DAYS} select subject, day, confidence,
         case when day(day) % 2 = 0 and confidence in ('MODERATE', 'HIGH') then 'LOW' else confidence end as capped from days""",
     "medical_trigger": f"""with {_DAYS}, r as (select subject, day, list_sort(list_filter([
-            case when list_contains(contexts, 'FEVER') then 'user_reported_symptom' end, case when list_contains(hypotheses, 'ACUTE_ILLNESS_SUSPECTED') then 'high_risk_hypothesis' end,
+            case when list_contains(contexts, 'FEVER') then 'user_reported_symptom' end, case when list_contains(hypotheses, 'ACUTE_ILLNESS_SUSPECTED') then 'high_risk_hypothesis' end, case when persistent then 'persistent_notable_anomaly' end,
             case when day(day) % 5 = 0 then 'disease_or_doctor_question' end], lambda x: x is not null)) as reasons from days)
         select subject, day, array_to_string(reasons, ',') as reasons, case when len(reasons) > 0 then 'REQUIRED' else 'BYPASSED' end as review from r""",
     "evidence_latest": f"""with {_DEV} select metric, source_sid, local_date, window_days, deviation_class from (
@@ -351,10 +385,10 @@ ORACLES: dict[str, str] = {
     "usage_rollup": "select user_id, count(*) as calls, round(sum(value), 4) as cost, count(distinct event_type) as kinds from events group by all",
     "upstream_signature": "select " + ", ".join(f"max(event_id) filter (where event_type = '{k}') as max_{k}" for k in METRICS) + ", count(*) as n from events",
     "export_user": "select o_orderkey, o_orderstatus, o_totalprice from orders where o_custkey = 7",
-    "scope_guard": f"select conv_id, turn, {_any('text', ['thering', 'nder'])} as in_scope from conversations",
+    "scope_guard": f"select conv_id, turn, {_any('text', [*SCOPE_WORDS, 'thering', 'nder'])} as in_scope from conversations",
     "quantile_checks": f"with {_BASE} select count(*) as rows, 0::bigint as unordered, 0::bigint as median_off, 0::bigint as out_of_window, 0::bigint as published_early from baselines",
-    "leak_check": f"""with {_BASE} select b.metric, b.source_sid, b.as_of, o.local_date from baselines b join obs o on o.metric = b.metric and o.source_sid = b.source_sid
-        and o.local_date >= b.as_of - 7 and o.local_date < b.as_of where b.window_days = 7 and o.local_date >= b.as_of""",
+    "leak_check": f"""with {_BASE} select b.window_days, count(distinct (b.metric, b.source_sid, b.as_of)) as baselines, count(o.local_date) as links, 0::bigint as leaks, 0::bigint as early, 0::bigint as miscounted
+        from baselines b left join obs o on o.metric = b.metric and o.source_sid = b.source_sid and o.local_date >= b.as_of - b.window_days and o.local_date < b.as_of group by all""",
     "duplicate_keys": f"with {_LOG} select logical, count(*) as n from log group by all having count(*) > 1",
     "orphan_check": "select user_id as s_suppkey, event_id from events where user_id not in (select s_suppkey from supplier)",
     "forbidden_words": r"""select p_partkey from part where regexp_matches(lower(p_name || case when p_partkey % 4 = 0 then ' Score' else '' end), '\b(score|diagnosis|disease|healthy|unhealthy)\b')""",

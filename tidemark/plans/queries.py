@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import contains_any, local_date, metric_of
 from ..functions.stats import last_n
 from ..operators import analytics, baseline, checks, evidence, features, ingest, product, quality, reasoning, reconcile
-from ..params import DEFAULT, PAIRS
+from ..params import CONTEXT_KEYWORDS, DEFAULT, PAIRS, SCOPE_WORDS
 from ..sources.tables import episodes, long_series, observation_log, point_facts, segments, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,9 @@ CONTEXTS = ["HIGH_INTENSITY_TRAINING", "LATE_SLEEP", "STRESS", "FEVER", "FATIGUE
 #: Keywords that occur in the invented prose of the text tables.
 KEYWORDS = {"HIGH_INTENSITY_TRAINING": ["thering"], "LATE_SLEEP": ["nder"], "FEVER": ["tionth"], "ILLNESS": ["thly"], "STRESS": ["ouin"], "TRAVEL": ["ethat"]}
 
+#: All phrases of the rules, and those of the invented prose.
+WORDS = {kind: [*words, *KEYWORDS.get(kind, [])] for kind, words in CONTEXT_KEYWORDS.items()}
+
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
     return features.point_daily(point_facts(spark, d)).withColumn("value", F.col("mean"))
@@ -54,22 +57,30 @@ def _contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
-    """subject, day with signals, contexts, overall state, hypotheses, confidence: the reasoning of
-    each day on the 28-day window."""
-    devs = _deviations(spark, d).where("window_days = 28").select(
+    """subject, day with signals, contexts, overall state, candidates, confidence: the reasoning of each
+    day on the 28-day window, and on persistence (all windows), change points and trends as of the day."""
+    daily = _values(spark, d)
+    devs = analytics.deviations(daily, baseline.rolling_baselines(daily))
+    recent = devs.where("window_days = 28").select(
         F.col("source_sid").alias("subject"), F.col("local_date").alias("day"), _metric_name().alias("metric"), "deviation_class"
     )
-    folded = reasoning.signals(devs, ["subject", "day"]).join(_contexts(spark, d), ["subject", "day"], "left").withColumn(
+    of_day = lambda df, kind: df.select(F.col("source_sid").alias("subject"), F.col("as_of").alias("day"), kind)
+    told = reasoning.signals(recent, ["subject", "day"]).join(_contexts(spark, d), ["subject", "day"], "left").withColumn(
         "contexts", F.coalesce("contexts", F.array().cast("array<string>"))
     )
-    no = F.lit(False)
-    state = reasoning.overall_state(F.col("known"), F.col("above"), F.col("below"), no, no, no)
+    folded = reasoning.with_analytics(
+        told, of_day(analytics.persistence(devs, rolling=True), "persistence_class"), of_day(analytics.change_points(daily, features.SERIES, rolling=True), "change_class"),
+        of_day(analytics.trends(daily, features.SERIES, rolling=True), "trend_class"), ["subject", "day"],
+    )
+    state = reasoning.overall_state(F.col("known"), F.col("above"), F.col("below"), F.col("persistent"), F.col("changed"), F.col("trending"))
     named = folded.withColumn("overall_state", state)
-    named = named.withColumn("hypotheses", reasoning.hypotheses(F.col("overall_state"), F.col("signals"), F.col("contexts")))
-    support = F.size("signals")
+    named = named.withColumn("candidates", reasoning.candidates(F.col("overall_state"), F.col("signals"), F.col("contexts")))
+    # The rules know no counter-evidence: it comes from callers that have some.
+    confidence = reasoning.base_confidence(
+        F.size(F.get("candidates", F.lit(0))["supporting"]), F.lit(0), F.col("overall_state") == "INSUFFICIENT_EVIDENCE", F.size("contexts") > 0
+    )
     return named.withColumns({
-        "primary": F.get("hypotheses", F.lit(0)),
-        "confidence": reasoning.base_confidence(support, F.lit(0), F.col("known") < F.col("deviations"), F.size("contexts") > 0),
+        "hypotheses": F.col("candidates.type"), "primary": F.get("candidates", F.lit(0))["type"], "confidence": confidence,
         "symptom": F.array_contains("contexts", "FEVER"),
     })
 
@@ -214,13 +225,16 @@ def late_arrival(spark, d):
     return ingest.late_arrivals(scopes, log).groupBy("metric", "capture").agg(F.count("*").alias("n"), F.count_if("late").alias("late"))
 
 
-def _slice(spark, d, start, end):
-    log = observation_log(spark, d).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return log.groupBy("metric", "logical").agg(F.max_by("payload", "seq").alias("payload"))
-
-
 def capture_compare(spark, d):
-    return ingest.compare_captures(_slice(spark, d, "2024-01-01", "2024-01-12"), _slice(spark, d, "2024-01-10", "2024-01-20"))
+    """Two captures that overlap in the middle third of the days: the first ends with it, the second
+    begins with it."""
+    log = observation_log(spark, d)
+    days = log.agg(F.min("day").alias("_from"), F.datediff(F.max("day"), F.min("day")).alias("_span"))
+    placed = log.crossJoin(F.broadcast(days))  # one row
+    last = lambda df: df.groupBy("metric", "logical").agg(F.max_by("payload", "seq").alias("payload"))
+    first = placed.where(F.datediff("day", "_from") <= F.expr("_span * 2 div 3"))
+    second = placed.where(F.datediff("day", "_from") >= F.expr("_span div 3"))
+    return ingest.compare_captures(last(first), last(second))
 
 
 def overlap_audit(spark, d):
@@ -308,6 +322,8 @@ def reconcile_apply(spark, d):
 
 
 def set_difference(spark, d):
+    """What clicks say of a user more often than views do: the operator compares two of the tables that
+    the kinds of events stand for."""
     log = observation_log(spark, d)
     a, b = (log.where(F.col("metric") == m).select("user_id", "payload") for m in ("click", "view"))
     return a.exceptAll(b).groupBy("user_id", "payload").agg(F.count("*").alias("n"))
@@ -344,8 +360,8 @@ def semantic_digest(spark, d):
 
 
 def context_extract(spark, d):
-    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    return reasoning.extract_contexts(turns, F.lit("2024-01-15").cast("date"), KEYWORDS).select("conv_id", "turn", "context_type", "context_date", "body_part")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return reasoning.extract_contexts(turns, F.lit("2024-01-15").cast("date"), WORDS).select("conv_id", "turn", "context_type", "context_date", "body_part")
 
 
 def signal_set(spark, d):
@@ -367,7 +383,7 @@ def base_confidence(spark, d):
 
 def medical_trigger(spark, d):
     question = F.when(F.dayofmonth("day") % 5 == 0, "should I see a Doctor")
-    reasons = reasoning.review_reasons(F.col("contexts"), F.col("hypotheses"), F.lit(False), question)
+    reasons = reasoning.review_reasons(F.col("contexts"), F.col("hypotheses"), F.col("persistent"), question)
     return _days(spark, d).select("subject", "day", F.array_join(reasons, ",").alias("reasons"), F.when(F.size(reasons) > 0, "REQUIRED").otherwise("BYPASSED").alias("review"))
 
 
@@ -521,7 +537,7 @@ def export_user(spark, d):
 
 def scope_guard(spark, d):
     text = F.col("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", contains_any(text, ["thering", "nder"]).alias("in_scope"))
+    return table(spark, d, "conversations").select("conv_id", "turn", contains_any(text, [*SCOPE_WORDS, "thering", "nder"]).alias("in_scope"))
 
 
 # --- checks
@@ -532,11 +548,10 @@ def quantile_checks(spark, d):
 
 
 def leak_check(spark, d):
-    """No input of a baseline lies on its day or later: none may be found."""
-    daily = _values(spark, d).select("metric", "source_sid", "local_date")
-    used = _baselines(spark, d).where("window_days = 7").select("metric", "source_sid", "as_of", F.explode(F.sequence(F.date_sub("as_of", 7), F.date_sub("as_of", 1))).alias("local_date"))
-    links = used.join(daily, ["metric", "source_sid", "local_date"])
-    return checks.leaks(links).select("metric", "source_sid", "as_of", "local_date")
+    """The days that each baseline was made from, held against its window, for all windows: none may lie
+    on its day or later, none before its window, and their number is the one it states."""
+    daily = _values(spark, d)
+    return checks.input_audit(baseline.rolling_baselines(daily), baseline.baseline_inputs(daily), features.SERIES)
 
 
 def duplicate_keys(spark, d):
