@@ -121,6 +121,11 @@ def test_confidence_ladder(spark):
 def test_markers_and_outputs(spark):
     df = spark.createDataFrame([("You have a fever.",), ("There is no sign of fever here",), ("feverish",)], "t string")
     assert [r[0] for r in df.select(reasoning.asserted(F.col("t"), "fever", ["no sign", "rule out"])).collect()] == [True, False, False]
-    out = spark.createDataFrame([('{"overall_state": "STABLE", "confidence": "LOW", "summary": "x"}',), ('{"confidence": "MAYBE"}',), ("oops",)], "o string")
-    got = [r[0] for r in out.select(reasoning.output_problems(F.col("o"))).collect()]
-    assert got[0] == [] and "bad_confidence" in got[1] and "missing_summary" in got[1] and "not_json" in got[2]
+    good = '{"primary_hypothesis_type": "UNKNOWN", "confidence": "LOW", "recommended_actions": ["rest"], "reasoning_summary": "x"}'
+    texts = [good, good.replace('["rest"]', '"rest"'), '{"confidence": "MAYBE"}', "oops", f"Here it is: {good} Done."]
+    out = spark.createDataFrame([(t,) for t in texts], "o string")
+    allowed = F.array(F.lit("UNKNOWN"), F.lit("SLEEP_DEFICIT"))
+    got = [r[0] for r in out.select(reasoning.output_problems(F.col("o"), allowed)).collect()]
+    assert got[0] == [] and got[1] == ["actions_not_a_list"] and got[3] == got[4] == ["not_an_object"]
+    assert {"invalid_confidence", "invalid_primary", "missing_reasoning_summary"} <= set(got[2])
+    assert out.select(reasoning.normalised_output(F.col("o"))).collect()[4][0] == good

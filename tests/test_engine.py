@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import baseline, checks, ingest, product, quality, reconcile
-from tidemark.plans import oracles, queries
+from tidemark.plans import audits, oracles, queries, relational
 from tidemark.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -13,12 +13,12 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_query_has_sql_and_rows(spark):
     assert set(queries.QUERIES) == set(oracles.ORACLES)
-    assert set(queries.QUERIES) <= set(entry.queries())
+    assert {*queries.QUERIES, *relational.QUERIES, *audits.QUERIES} <= set(entry.queries()) & set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
 
 
 def test_no_python_in_plans(spark):
-    for name, query in queries.QUERIES.items():
+    for name, query in {**queries.QUERIES, **relational.QUERIES, **audits.QUERIES}.items():
         plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan, name
 
@@ -113,6 +113,45 @@ def test_stream_equals_batch(spark, tmp_path, files):
     want = ingest.versions(ingest.classify(log))
     assert last == files - 1
     assert reconcile.same_content(incremental.current(spark, str(tmp_path / "out"), last), want)
-    # A second run finds nothing new.
+    # A second run finds nothing new, rows that come again change nothing.
     again = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
-    assert incremental.ingest(again, str(tmp_path / "out"), str(tmp_path / "ckpt")) == -1
+    assert incremental.ingest(again, str(tmp_path / "out"), str(tmp_path / "ckpt")) == last
+    log.where("seq % 3 = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert incremental.ingest(again, str(tmp_path / "out"), str(tmp_path / "ckpt")) == last + 1
+    assert reconcile.same_content(incremental.current(spark, str(tmp_path / "out"), last + 1), want)
+
+
+def test_planted_leaks_are_found(spark):
+    daily = queries._values(spark, SF)
+    keys = ["metric", "source_class", "source_sid", "offset_seconds"]
+    made, links = baseline.rolling_baselines(daily), baseline.baseline_inputs(daily)
+    clean = checks.input_audit(made, links, keys).collect()
+    assert sorted(r.window_days for r in clean) == [7, 28, 90] and all(r.links > 0 and r.leaks == r.early == r.miscounted == 0 for r in clean)
+    one = links.where("window_days = 28").orderBy("metric", "source_sid", "as_of", "local_date").limit(1)
+    leak, early = one.withColumn("local_date", F.col("as_of")), one.withColumn("local_date", F.date_sub("as_of", 29))
+    found = {r.window_days: (r.leaks, r.early, r.miscounted) for r in checks.input_audit(made, links.unionByName(leak).unionByName(early), keys).collect()}
+    assert found == {7: (0, 0, 0), 28: (1, 1, 1), 90: (0, 0, 0)}
+
+
+def test_digest_does_not_overflow(spark):
+    rows = spark.range(400_000).select("id")
+    got = reconcile.digest(rows, ["id"]).first()
+    assert got.n == 400_000 and got == reconcile.digest(rows.repartition(7), ["id"]).first()
+
+
+def test_late_arrivals_look_at_earlier_scopes_only(spark):
+    ts = lambda h: datetime(2024, 1, 1, h)
+    scopes = spark.createDataFrame([("m", 0, ts(1), ts(3)), ("m", 1, ts(2), ts(5)), ("m", 2, ts(8), ts(9)), ("m", 3, ts(0), ts(1))], "metric string, capture int, starts timestamp, ends timestamp")
+    log = spark.createDataFrame([("m", c, ts(h), k) for c, h, k in ((0, 2, "NEW"), (1, 2, "NEW"), (2, 4, "NEW"), (2, 7, "NEW"), (3, 8, "NEW"), (3, 8, "REVISION"), (3, 0, "NEW"))], "metric string, capture int, ts timestamp, classification string")
+    got = sorted((r.capture, r.ts.hour, r.classification, r.late) for r in ingest.late_arrivals(scopes, log).collect())
+    assert got == [(0, 2, "NEW", False), (1, 2, "NEW", True), (2, 4, "NEW", True), (2, 7, "NEW", False), (3, 0, "NEW", False), (3, 8, "NEW", True), (3, 8, "REVISION", False)]
+
+
+def test_revisions_keep_their_rules(spark):
+    history = spark.createDataFrame([("a", 1, "CURRENT"), ("b", 2, "CURRENT"), ("b", 1, "STALE")], "logical string, version long, status string")
+    batch = spark.createDataFrame([("a", 1, "NEW"), ("b", 3, "REVISION"), ("c", 4, "NEW"), ("d", 5, "REVISION")], "logical string, version long, classification string")
+    after, problems = reconcile.apply_revisions(history, batch)
+    assert {tuple(r) for r in after.collect()} == {("a", 1, "CURRENT"), ("b", 2, "STALE"), ("b", 1, "STALE"), ("b", 3, "CURRENT"), ("c", 4, "CURRENT")}
+    assert [tuple(r) for r in problems.collect()] == [("d", "REVISION_WITHOUT_CURRENT")]
+    again, _ = reconcile.apply_revisions(after, batch.where("logical <> 'd'"), full=True)
+    assert reconcile.same_content(again, after)

@@ -11,7 +11,7 @@ from tidemark.sources import captures, store
 
 def envelope(**over):
     raw = {"key": "k", "sid": "1", "value": '{"k": 1}'}
-    text = "{" + ",".join(f'"{k}":"{v}"' for k, v in sorted(raw.items())) + "}"
+    text = json.dumps(raw, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     return {"provider": "p", "region": "r", "dataset": "steps", "capture_id": "c1", "ingested_at_utc": "t", "raw_record_sha256": hashlib.sha256(text.encode()).hexdigest(), "raw_record": raw} | over
 
 
@@ -49,8 +49,10 @@ def test_written_lines_are_never_overwritten(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "a long, b string")
     captures.write_lines(df, str(tmp_path / "x"))
     assert spark.read.json(str(tmp_path / "x")).first().a == 1
-    with pytest.raises(Exception, match="(?i)exists"):
-        captures.write_lines(df, str(tmp_path / "x"))
+    captures.write_lines(df, str(tmp_path / "x"))  # the same again does nothing
+    assert spark.read.json(str(tmp_path / "x")).count() == 1
+    with pytest.raises(FileExistsError):
+        captures.write_lines(spark.createDataFrame([(2, None)], "a long, b string"), str(tmp_path / "x"))
 
 
 def test_versions_and_checkpoints(spark, tmp_path):
@@ -58,6 +60,14 @@ def test_versions_and_checkpoints(spark, tmp_path):
     assert store.current_version(spark, path) == -1
     assert [store.commit(spark.range(n), path) for n in (1, 2, 3)] == [0, 1, 2]
     assert store.read_current(spark, path).count() == 3
+    with pytest.raises(store.ConcurrentCommit):
+        store.commit(spark.range(9), path, after=1)
+    assert store.read_current(spark, path).count() == 3
+    assert store.rebuild(spark.range(3), path, ["id"]).count() == 0 and store.rebuild(spark.range(4), path, ["id"]).first().side == "only_second"
+    assert store.bootstrap(spark.range(5), str(tmp_path / "b"), str(tmp_path / "started"), "p", 77) == 0
+    assert store.checkpoint(spark, str(tmp_path / "started"), "p") == 77
+    with pytest.raises(ValueError, match="started"):
+        store.bootstrap(spark.range(5), str(tmp_path / "b"), str(tmp_path / "started"), "p", 78)
     log = str(tmp_path / "runs")
     assert store.checkpoint(spark, log, "p") == 0
     for status, frontier in (("PASS", 10), ("FAIL", 20), ("PASS", 15)):
@@ -105,3 +115,16 @@ def test_absent_facts_and_feedback(spark):
     got = [tuple(r) for r in evidence.absent_facts(outputs, known, {"fever": ["fever"], "cough": ["cough"]}).collect()]
     assert got == [(1, "fever")]
     assert [r[0] for r in spark.createDataFrame([("Accurate",), ("other",)], "v string").select(evidence.feedback_status(F.col("v"))).collect()] == ["CONFIRMED", None]
+
+
+def test_canonical_json_keeps_types(spark):
+    values = [{"b": 1, "a": "1"}, {"a": 1}, {"a": {"z": [1, "x", None], "b": True}, "c": 2.5}, {"ü": "é\n"}]
+    got = [r[0] for r in spark.createDataFrame([(json.dumps(v),) for v in values], "t string").select(captures.canonical(F.col("t"))).collect()]
+    assert got == [json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in values]
+
+
+def test_observations_agree_with_their_records(spark):
+    seen = spark.createDataFrame([(1, "a", "NEW", "d", "p", None), (2, "a", "OTHER", "d", "p", None), (3, "b", "NEW", "d", "p", "r"), (4, "a", "NEW", "e", "p", None)], "seq long, logical string, classification string, dataset string, provider string, region string")
+    records = spark.createDataFrame([("a", "d", "p", None)], "logical string, dataset string, provider string, region string")
+    got = {r.seq: r.problem for r in captures.consistency_problems(seen, records, ["NEW", "REVISION"]).collect()}
+    assert got == {2: "UNKNOWN_CLASSIFICATION", 3: "NO_RECORD", 4: "DATASET_DIFFERS"}

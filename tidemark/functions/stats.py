@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,14 @@ def quantile(ordered: Column, q: float) -> Column:
     return F.when(F.size(ordered) > 0, F.get(ordered, low) * (1 - part) + F.get(ordered, high) * part)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def median(values: Column) -> Column:
-    return quantile(F.array_sort(values), 0.5)
+    """The median of an array without nulls."""
+    return let(F.sort_array(values), lambda ordered: quantile(ordered, 0.5))
 
 
 def mad(values: Column, center: Column) -> Column:
@@ -45,12 +53,20 @@ def correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy
 def pearson(x: Column, y: Column) -> Column:
     """Correlation of two short arrays of one length."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return correlation(F.size(x).cast("double"), total(x), total(y), dot(x, x), dot(y, y), dot(x, y))
+    dot = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
+    # Deviations from the means: sums of squares of large values would cancel.
+    centred = lambda a: let(total(a) / F.size(a), lambda m: F.transform(a, lambda v: v - m))
+    return let(
+        F.struct(centred(x).alias("x"), centred(y).alias("y")),
+        lambda c: let(
+            F.struct(dot(c["x"], c["x"]).alias("xx"), dot(c["y"], c["y"]).alias("yy"), dot(c["x"], c["y"]).alias("xy")),
+            lambda d: F.when((d["xx"] > 0) & (d["yy"] > 0), F.try_divide(d["xy"], F.sqrt(d["xx"]) * F.sqrt(d["yy"]))).otherwise(F.lit(0.0)),
+        ),
+    )
 
 
 def spearman(x: Column, y: Column) -> Column:
-    return pearson(average_ranks(x), average_ranks(y))
+    return let(F.struct(average_ranks(x).alias("x"), average_ranks(y).alias("y")), lambda r: pearson(r["x"], r["y"]))
 
 
 def theil_sen(days: Column, values: Column) -> Column:

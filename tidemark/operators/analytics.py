@@ -81,10 +81,10 @@ def _last_points(features: DataFrame, keys: list[str], n: int, rolling: bool) ->
     if rolling:
         lately = Window.partitionBy(*keys).orderBy("local_date").rowsBetween(1 - n, 0)
         point = F.struct(F.datediff("local_date", F.lit("1970-01-01").cast("date")).alias("d"), F.col("value").alias("v"))
-        framed = features.where("value is not null").withColumn("p", F.array_sort(F.collect_list(point).over(lately)))
+        framed = features.where("value is not null").withColumn("p", F.sort_array(F.collect_list(point).over(lately)))
         return framed.select(*keys, F.col("local_date").alias("as_of"), F.col("p.d").alias("days"), F.col("p.v").alias("values"))
     last = features.where("value is not null").withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("local_date"))))
-    points = F.array_sort(F.collect_list(F.struct(F.datediff("local_date", F.lit("1970-01-01").cast("date")).alias("d"), F.col("value").alias("v"))))
+    points = F.sort_array(F.collect_list(F.struct(F.datediff("local_date", F.lit("1970-01-01").cast("date")).alias("d"), F.col("value").alias("v"))))
     return last.where(F.col("_back") <= n).groupBy(*keys).agg(points.alias("p")).select(*keys, F.col("p.d").alias("days"), F.col("p.v").alias("values"))
 
 
@@ -114,12 +114,18 @@ def change_points(features: DataFrame, keys: list[str], params: Params = DEFAULT
     points = _last_points(features, keys, n, rolling).withColumn("n", F.size("values").cast("bigint"))
     v = F.col("values")
 
+    def spread(p: Column) -> Column:
+        """The median distance of the points of a split from the median of their part."""
+        return stats.median(F.concat(F.transform(p["before"], lambda x: F.abs(x - p["a"])), F.transform(p["after"], lambda x: F.abs(x - p["b"]))))
+
+    def shift(p: Column, width: Column) -> Column:
+        return F.when(width == 0, F.when(p["a"] == p["b"], F.lit(0.0)).otherwise(F.lit(float("inf")))).otherwise(F.try_divide(F.abs(p["b"] - p["a"]), width))
+
     def split(k: Column) -> Column:
         before, after = F.slice(v, F.lit(1), k), F.slice(v, k + 1, F.size(v))
-        a, b = stats.median(before), stats.median(after)
-        spread = stats.median(F.concat(F.transform(before, lambda x: F.abs(x - a)), F.transform(after, lambda x: F.abs(x - b))))
-        shift = F.when(spread == 0, F.when(a == b, F.lit(0.0)).otherwise(F.lit(float("inf")))).otherwise(F.try_divide(F.abs(b - a), spread))
-        return F.struct(shift.alias("shift"), (-k).alias("first"), F.get(F.col("days"), k).alias("day"))
+        parts = F.struct(before.alias("before"), after.alias("after"), stats.median(before).alias("a"), stats.median(after).alias("b"))
+        moved = stats.let(parts, lambda p: stats.let(spread(p), lambda width: shift(p, width)))
+        return F.struct(moved.alias("shift"), (-k).alias("first"), F.get(F.col("days"), k).alias("day"))
 
     best = F.array_max(F.transform(F.sequence(F.lit(least), F.lit(n - least)), split))
     enough = F.col("n") >= n

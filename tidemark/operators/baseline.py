@@ -56,7 +56,7 @@ def rolling_baselines(features: DataFrame, keys: list[str] | None = None, params
     each = _frames(features, keys, params, since)
     seen = each.select(*keys, "as_of", "x.window_days", F.col("x.seen").alias("seen")).withColumns({
         "dates": F.array_distinct(F.col("seen.d")),
-        "values": F.array_sort(F.col("seen.v")),
+        "values": F.sort_array(F.col("seen.v")),
     })
     counted = seen.withColumns({
         "n": F.size("values").cast("bigint"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reconcile import same_content
+from .store import exists
+
 # The fields that every line must have.
 REQUIRED = ["provider", "region", "dataset", "capture_id", "ingested_at_utc", "raw_record_sha256", "raw_record"]
 
@@ -23,10 +26,9 @@ def field(name: str) -> Column:
 
 
 def canonical(raw: Column) -> Column:
-    """JSON text of an object's members in the order of their names, without blanks."""
-    parts = F.from_json(raw, "map<string, string>")
-    pairs = F.transform(F.array_sort(F.map_keys(parts)), lambda k: F.concat(F.lit('"'), k, F.lit('":"'), F.coalesce(F.try_element_at(parts, k), F.lit("null")), F.lit('"')))
-    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    """JSON text with the members of all objects in the order of their names, without blanks; texts,
+    numbers and nested values keep their types."""
+    return F.to_json(F.try_parse_json(raw))
 
 
 def logical_key(*parts: Column) -> Column:
@@ -63,10 +65,27 @@ def verify_manifest(spark: SparkSession, manifest: str, files: str, lines: DataF
 
 
 def write_lines(records: DataFrame, path: str) -> None:
-    """One JSON object a line; an existing capture is never overwritten."""
+    """One JSON object a line; an existing capture is never overwritten. To write the same again does
+    nothing, to write anything else is an error."""
+    spark = records.sparkSession
+    if exists(spark, path):
+        if same_content(records, spark.read.schema(records.schema).json(path)):
+            return
+        raise FileExistsError(f"another capture exists at {path}")
     records.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def consistency_problems(observations: DataFrame, records: DataFrame, kinds: list[str]) -> DataFrame:
+    """Observations (seq, logical, classification, dataset, provider, region) that are of an unknown kind or
+    do not agree with their record(logical, dataset, provider, region): seq, problem."""
+    fields = ["dataset", "provider", "region"]
+    joined = observations.join(records.select("logical", *(F.col(f).alias(f"_{f}") for f in fields), F.lit(True).alias("_known")), "logical", "left")
+    problem = F.when(~F.col("classification").isin(kinds), "UNKNOWN_CLASSIFICATION").when(F.col("_known").isNull(), "NO_RECORD")
+    for f in fields:
+        problem = problem.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), f"{f.upper()}_DIFFERS")
+    return joined.select("seq", problem.alias("problem")).where("problem is not null")
+
+
 def dry_run(lines: DataFrame, dataset: str, capture: str) -> DataFrame:
     """What an import would take and refuse, nothing written."""
     return validate(lines, dataset, capture).groupBy("issue").agg(F.count("*").alias("n"))

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import classify, versions
+from ..sources.store import names
 
 SCHEMA = "logical string, payload bigint, first_seq bigint, last_seq bigint, observations bigint"
 
 
 def fold(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after a batch of log rows: versions merge by their first and last place. Equal to the
+    """State after a batch of new log rows: versions merge by their first and last place. Equal to the
     versions of the whole log, in whatever batches it came."""
     fresh = versions(classify(batch))
     return state.unionByName(fresh.select(*state.columns)).groupBy("logical", "payload").agg(
@@ -24,25 +25,46 @@ def fold(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def unseen(batch: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows of a batch whose place in the log has not been taken in yet; a row that is there twice counts
+    once. Only the stretch of places that the batch spans is read of seen(seq)."""
+    span = batch.agg(F.min("seq"), F.max("seq")).first()
+    if span[0] is None:
+        return batch
+    return batch.dropDuplicates(["seq"]).join(seen.where(F.col("seq").between(*span)), "seq", "left_anti")
+
+
 def _version(spark: SparkSession, path: str, number: int) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(f"{path}/v={number}") if number >= 0 else spark.createDataFrame([], SCHEMA)
 
 
 def ingest(log: DataFrame, path: str, checkpoint: str) -> int:
-    """Runs a stream of log rows to its end; returns the number of the last version under path."""
-    last = [-1]
+    """Runs a stream of log rows to its end; returns the number of the last version under path, whether
+    or not this run made it (-1: there is none)."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fold(_version(spark, path, number - 1), batch).write.mode("overwrite").parquet(f"{path}/v={number}")
-        last[0] = number
+        before = [f"{path}/seen/{n}" for n in names(spark, f"{path}/seen") if int(n) < number]
+        seen = spark.read.schema("seq bigint").parquet(*before) if before else spark.createDataFrame([], "seq bigint")
+        new = unseen(batch, seen)
+        fold(_version(spark, path, number - 1), new).write.mode("overwrite").parquet(f"{path}/v={number}")
+        new.select("seq").write.mode("overwrite").parquet(f"{path}/seen/{number}")
 
     query = log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return last[0]
+    return max((int(n[2:]) for n in names(log.sparkSession, path) if n.startswith("v=")), default=-1)
 
 
 def current(spark: SparkSession, path: str, number: int) -> DataFrame:
     return _version(spark, path, number)
+
+
+def daily_windows(log: DataFrame) -> DataFrame:
+    """Count, sum, least and most of each metric and UTC day of a stream (metric, ts, value), as it grows;
+    for output in complete or update mode. Late rows are always taken, so there is no watermark."""
+    day = F.window(F.col("ts").cast("timestamp"), "1 day")
+    return log.groupBy("metric", day.alias("w")).agg(
+        F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).select("metric", F.to_date("w.start").alias("day"), "n", "total", "low", "high")
