@@ -3,7 +3,6 @@ import re
 
 import pytest
 
-from tidemark.llm import decontam
 from tidemark.llm.decontam import drop_leaks, find_leaks
 
 DOCS = "doc_id long, text string, item_id long, row string, words long"
@@ -34,7 +33,7 @@ def tiles(a, b):
         n, covered = n + 1, covered + k
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def test_equals_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)] + ["Ärger", "The", "of,"]
 
@@ -65,14 +64,22 @@ def test_equals_brute_force(spark, monkeypatch):
         best[d, i, t] = max(best.get((d, i, t), 0), c)
     df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, BENCH)
     for limit in (4_000_000, 3):
-        monkeypatch.setattr(decontam, "FILTER_SEEDS", limit)
-        got = find_leaks(df, bench).collect()
+        got = find_leaks(df, bench, filter_seeds=limit).collect()
         assert sorted((repr(r.doc_id), r.item_id, round(r.coverage, 9)) for r in got) == sorted((repr(d), i, round(c, 9)) for (d, i, t), c in best.items())
     assert len(best) > 10
     leaks = {(d, t) for d, i, t in best}
     assert sorted(map(repr, map(tuple, drop_leaks(df, bench).collect()))) == sorted(repr(r) for r in docs if (r[0], r[1]) not in leaks)
 
 
+def test_very_long_and_repetitive(spark):
+    """Texts over a slice, and a seed that stands thousands of times in a text and an item."""
+    item = " ".join(f"b{i}" for i in range(40))
+    docs = [(1, " ".join(f"w{i}" for i in range(400_000)) + " " + item, 1, "r", 1), (2, "x y " * 30_000, 1, "r", 1), (3, "x y " * 100, 1, "r", 1)]
+    bench = spark.createDataFrame([(1, item, 1), (2, "x y " * 250, 1)], BENCH)
+    got = {(r.doc_id, r.item_id): (r.tiles, r.covered) for r in find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == {(1, 1): (1, 40), (2, 2): (1, 500)}
+
+
 @pytest.mark.parametrize("docs, items", [([], [(1, "a b c d e f", 1)]), ([(1, "a b c d e f", 1, "r", 1)], [])])
 def test_empty(spark, docs, items):
     df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, BENCH)

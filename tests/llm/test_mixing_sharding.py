@@ -2,7 +2,7 @@ import zlib
 from collections import Counter
 
 from tidemark.llm import mixing, ranks
-from tidemark.llm.mixing import mix_sources, split_blocks
+from tidemark.llm.mixing import mix_sources, split_blocks, write_shards
 from tidemark.llm.sharding import interleave_shards
 
 DOCS = "doc_id long, text string, source string, shard long, size long, target long"
@@ -63,3 +63,14 @@ def test_empty(spark):
     assert mix_sources(empty).count() == 0 and interleave_shards(empty).count() == 0
     wordless = spark.createDataFrame([(1, "", "a", 1, 1, 1), (2, None, None, 1, 1, 1)], DOCS)
     assert [r.taken for r in mixing.mix_sources(wordless).collect()] == [0, 0]
+
+
+def test_shards_are_shuffled_and_written(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (i % 7)), "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mix_sources(docs, whole_documents=True, shards=4)
+    write_shards(docs, mixed, str(tmp_path / "out"))
+    want = Counter((r.doc_id, s) for r in mixed.collect() for s in r.shards)
+    for shard in range(4):
+        got = [r.doc_id for r in spark.read.parquet(str(tmp_path / "out" / f"out_shard={shard}")).collect()]
+        assert Counter(got) == Counter({i: n for (i, s), n in want.items() if s == shard}) and got != sorted(got)

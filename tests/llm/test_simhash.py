@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
+from tidemark.llm import simhash
 from tidemark.llm.components import connected
 from tidemark.llm.simhash import MAX_BITS, POSITION_SETS, SHARED_BYTES, links, near_duplicates
 
@@ -91,3 +93,26 @@ def test_empty_and_null_ids(spark):
     rows = [(None, "a b c", "s", "f", 1), (7, "a b c", "s", "f", 1), (None, "q r s t", "s", "f", 1)]
     got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {(None, 7), (7, 7), (None, None)}
+
+
+def test_lookup_finds_the_same_components():
+    rng = np.random.default_rng(3)
+    prints = np.unique(rng.integers(0, 1 << 14, 900).astype(np.uint64) << np.uint64(5) | np.uint64(7 << 40))
+
+    def parts(edges):
+        root = {int(x): int(x) for x in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(*edges):
+            a, b = find(int(a)), find(int(b))
+            root[max(a, b)] = min(a, b)
+        return [find(int(x)) for x in prints]
+
+    assert parts(simhash._by_lookup(prints)) == parts(simhash._forest(prints))
+    few = prints[::150]
+    got = {frozenset(p) for p in zip(*map(list, simhash._by_lookup(few)))}
+    assert all(int(x ^ y).bit_count() for x, y in map(tuple, got))

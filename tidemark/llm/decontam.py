@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import buffer_of, hash_ranges, key_runs, slices, tokens, whole_windows, windows
 from ._columns import row_key
+from ._store import stash
 
 SEED_WORDS = 5
 #: Seeds of the benchmark up to which their hashes are broadcast, so that only shared seeds leave
@@ -73,22 +74,41 @@ def _seeds(known: object | None):
     return run
 
 
-def _tile(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Tiles and words covered, for places a of a document and b of an item with equal seeds."""
-    order = np.lexsort((a, b - a))
-    a, b = a[order], b[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (np.diff(a) > 1) | (np.diff(b - a) != 0)
-    twice = np.zeros(len(a), bool)
-    twice[1:] = (np.diff(a) == 0) & (np.diff(b) == 0)
-    fresh &= ~twice
-    cuts = np.flatnonzero(fresh)
-    last = np.append(cuts[1:], len(a)) - 1
-    queue = [(-(int(a[j]) - int(a[i]) + SEED_WORDS), int(a[i]), int(b[i])) for i, j in zip(cuts, last, strict=True)]
+def _matches(places: np.ndarray, seeds: np.ndarray, item_places: np.ndarray, item_seeds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(length in words, place, place in the item) of the longest matches on each diagonal. Runs grow
+    from one place of the text to the next, so what is held is bounded by the item, however often a
+    seed stands in either text."""
+    order = np.lexsort((item_places, item_seeds))
+    item_places, item_seeds = item_places[order], item_seeds[order]
+    low, high = np.searchsorted(item_seeds, seeds, "left"), np.searchsorted(item_seeds, seeds, "right")
+    out: list[tuple[int, int, int]] = []
+    runs: dict[int, int] = {}  # place in the item that the last seed matched -> seeds in the run
+    last = -2
+
+    def close(ended: dict[int, int]) -> None:
+        out.extend((n + SEED_WORDS - 1, last - n + 1, at - n + 1) for at, n in ended.items())
+
+    for i in np.argsort(places, kind="stable"):
+        at = int(places[i])
+        if at == last:
+            continue  # a row that is there twice
+        if at != last + 1:
+            close(runs)
+            runs = {}
+        grown = {int(y): runs.pop(int(y) - 1, 0) + 1 for y in item_places[low[i] : high[i]]}
+        close(runs)
+        runs, last = grown, at
+    close(runs)
+    return out
+
+
+def _tile(matches: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """Tiles and words covered: the longest match that overlaps no tile is marked, again and again."""
+    queue = [(-size, x, y) for size, x, y in matches]
     heapq.heapify(queue)
-    low, tiles, covered = int(a.min()), 0, 0
-    in_text = np.zeros(int(a.max()) - low + SEED_WORDS, bool)
-    in_item = np.zeros(int(b.max()) + SEED_WORDS, bool)
+    low, tiles, covered = min(x for _, x, _ in queue), 0, 0
+    in_text = np.zeros(max(x - size for size, x, _ in queue) - low, bool)
+    in_item = np.zeros(max(y - size for size, _, y in queue), bool)
     while queue:
         size, x, y = heapq.heappop(queue)
         free = ~(in_text[x - low : x - low - size] | in_item[y : y - size])
@@ -104,6 +124,7 @@ def _tile(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (row, item, of the item or not, place, seed, words of the item) sorted by row and item."""
     out: list[tuple] = []
 
     def made() -> pa.RecordBatch:
@@ -111,14 +132,17 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "item_id", "tiles", "covered", "item_words"])
 
-    for (row, item), (places, item_places, words) in key_runs(batches, 2):
-        out.append((row, item, *_tile(places, item_places), int(words[0])))
+    for (row, item), (side, places, seeds, words) in key_runs(batches, 2):
+        own = side == 1
+        matches = _matches(places[~own], seeds[~own], places[own], seeds[own])
+        if matches:
+            out.append((row, item, *_tile(matches), int(words[own][0])))
         if len(out) >= 5000:
             yield made()
     yield made()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, filter_seeds: int = FILTER_SEEDS) -> DataFrame:
     """row (as row_key makes it), doc_id, item_id, tiles, covered, item_words, coverage for each
     document of docs(doc_id, text) and item of benchmark(item_id, text) of which it covers
     `threshold` or more.
@@ -126,7 +150,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) ->
     Null texts and items have no words, items below five words no seeds: neither takes part. Items
     with a null id are left out; items that share an id are taken as one text each, and a pair is
     reported once with the best of them. A null doc_id is an ordinary value. Repeated rows of docs
-    (id and text equal) give one row. Other columns are not looked at.
+    (id and text equal) give one row. Other columns are not looked at. filter_seeds: up to so many
+    seeds of the benchmark are broadcast to the scan of the documents; the rows are the same without.
     """
     spark = docs.sparkSession
     # Items that share an id are kept apart by a key of id and text.
@@ -141,19 +166,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) ->
     rarest = F.row_number().over(Window.partitionBy("item").orderBy("_spread", "item_place"))
     seeds = seeds.join(spread, "seed").withColumn("probe", rarest <= F.col("item_words") - SEED_WORDS + 1 - need + 1).drop("_spread")
 
-    shared = seeds.select("seed").distinct().limit(FILTER_SEEDS + 1).toPandas()["seed"].to_numpy(np.int64)
+    shared = seeds.select("seed").distinct().limit(filter_seeds + 1).toPandas()["seed"].to_numpy(np.int64)
     known = None
-    if len(shared) <= FILTER_SEEDS:
+    if len(shared) <= filter_seeds:
         known = spark.sparkContext.broadcast(np.sort(shared.view(np.uint64)))
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
-    hits = rows.select(F.col("row").alias("id"), F.lower("text").alias("text")).mapInArrow(
+    # Written once: the texts are not cut into words again for each use.
+    hits = stash(rows.select(F.col("row").alias("id"), F.lower("text").alias("text")).mapInArrow(
         _seeds(known), "id long, place long, seed long, words long"
-    ).select(F.col("id").alias("row"), "place", "seed")
+    ).select(F.col("id").alias("row"), "place", "seed"), "leak-seeds")
     pairs = hits.select("row", "seed").distinct().join(seeds.where("probe").select("seed", "item"), "seed").select("row", "item").distinct()
-    found = pairs.join(seeds.select("item", "item_place", "seed", "item_words"), "item").join(hits, ["row", "seed"])
+    # Either side of a pair goes to its task by itself; places are matched there, so no pairs of places are shuffled.
+    of_item = pairs.join(seeds, "item").select("row", "item", F.lit(1).alias("side"), F.col("item_place").alias("place"), "seed", "item_words")
+    of_text = pairs.join(seeds.select("item", "seed", "item_words").distinct(), "item").join(hits, ["row", "seed"]).select(
+        "row", "item", F.lit(0).alias("side"), "place", "seed", "item_words"
+    )
     tiled = (
-        found.select("row", "item", "place", "item_place", "item_words")
-        .repartition("row", "item").sortWithinPartitions("row", "item")
+        of_item.unionByName(of_text).repartition("row", "item").sortWithinPartitions("row", "item")
         .mapInArrow(_tiled, "row long, item long, tiles long, covered long, item_words long")
         .withColumn("coverage", F.col("covered") / F.col("item_words"))
         .where(F.col("coverage") >= threshold)

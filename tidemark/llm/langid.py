@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import slices
+from ._store import stash
 
 #: Characters that are hashed at a time.
 _CHARS = 1 << 19
@@ -67,9 +68,14 @@ def _grams(points: np.ndarray, first: np.ndarray, sizes: tuple[int, ...], bits:
             yield at, np.where(over[at:end], 1 << bits, h >> np.uint32(32 - bits))
 
 
-def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.1) -> LanguageModel:
-    """Learns from labelled(text, lang), neither null. All rows count; what comes to the driver is
-    bounded by languages x 2**bits numbers. Without rows the model knows no language."""
+def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.1, max_languages: int = 256) -> LanguageModel:
+    """Learns from labelled(text, lang), neither null. All rows count; what a task holds, comes to the
+    driver and is broadcast is bounded by max_languages x 2**bits numbers, and more languages are an
+    error. Without rows the model knows no language."""
+
+    def check(languages: int) -> None:
+        if languages > max_languages:
+            raise ValueError(f"more than {max_languages} languages: is lang a language?")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -81,6 +87,7 @@ def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 1
             points, first, _ = _characters(batch.column(0).to_pylist())
             owner = np.repeat(number, np.diff(first))
             width = (1 << bits) + 1
+            check(len(names))
             sums = np.zeros(len(names) * width, np.int64)
             for at, h in _grams(points, first, sizes, bits):
                 sums += np.bincount(owner[at : at + len(h)] * width + h, minlength=len(sums))
@@ -88,6 +95,7 @@ def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 1
                 part = sums[i * width : (i + 1) * width - 1]
                 totals[name] = totals.get(name, 0) + part
                 texts[name] = texts.get(name, 0) + int((number == i).sum())
+            check(len(totals))
         for name, sums in totals.items():
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays(
@@ -96,7 +104,9 @@ def train(labelled: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), bits: int = 1
             )
 
     counted = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
-    found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = stash(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    check(summed.select("lang").distinct().count())
+    found = summed.toPandas()
     languages = sorted(found.lang.unique().tolist())
     counts, texts = np.zeros((1 << bits, len(languages))), np.zeros(len(languages))
     column = found.lang.map({x: i for i, x in enumerate(languages)}).to_numpy(int)

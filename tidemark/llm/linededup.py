@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from ._arrays import SLICE_BYTES, buffer_of, hash_ranges, hash_runs, mix, pair,
 from ._store import partitions
 from .exchange import Items, items_of, matching_items
 
-#: Lines of fewer words are compared for equality only.
+#: Lines of fewer words are compared for equality only (a parameter): one edit of four words is no
+#: near copy.
 LEAST_WORDS = 5
 
 _LINE_END = np.zeros(256, bool)
@@ -58,12 +60,12 @@ def _line_items(batches: Iterator[pa.RecordBatch]) -> Iterator[Items]:
         yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), owner, number, hash_runs(words, first, last), rest
 
 
-def _half_items(batches: Iterator[pa.RecordBatch]) -> Iterator[Items]:
+def _half_items(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[Items]:
     """The halves of the lines of enough words, each with a hash of its line beside it."""
     for batch in slices(batches):
         owner, number, first, last, words = _line_words(batch.column(2))
         line = hash_runs(words, first, last)
-        near = np.flatnonzero(last - first >= LEAST_WORDS)
+        near = np.flatnonzero(last - first >= least_words)
         owner, number, first, last, line = owner[near], number[near], first[near], last[near], line[near]
         n, keys, of = last - first, [], []
         for size in ((n - 1) // 2, n // 2):
@@ -178,14 +180,14 @@ def _packed(lines: DataFrame) -> DataFrame:
     return lines.groupBy("oid", "tag").agg(F.unhex(turned).alias("found"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_equal, n_near, kept_sha256, kept for every row of docs(doc_id, text, ...).
 
     Lines stand between line feeds; a line is compared by its words, white space does not count. A
     line goes if it equals one that stands earlier (a smaller doc_id, or higher up in the text), or
-    if it has LEAST_WORDS words or more and an earlier line of as many is within one edit of it;
+    if it has least_words words or more and an earlier line of as many is within one edit of it;
     lines are judged on the input, not on what is left. Lines without words stay. Null ids come
-    last (as the largest id). A null text has no lines. Rows with equal id and text are one document
+    last (as the largest id; so does the id 2**63 - 1, which comes back as null). A null text has no lines. Rows with equal id and text are one document
     and give equal rows; rows that share only the id come in the order of a hash of their texts.
     Other columns are not looked at. An empty table gives an empty one.
     """
@@ -194,7 +196,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     on, order = ["oid", "tag"], F.struct("oid", "tag", "line")
     # Every join of the texts is on the same keys: they are shuffled once.
     equal = matching_items(texts, _line_items, "before").select(F.col("doc_id").alias("oid"), "tag", F.col("found").alias("equal"))
-    alike = matching_items(texts, _half_items, "distinct").select(F.col("doc_id").alias("oid"), "tag", F.col("found").alias("alike"))
+    alike = matching_items(texts, partial(_half_items, least_words=least_words), "distinct").select(F.col("doc_id").alias("oid"), "tag", F.col("found").alias("alike"))
     marked = texts.join(alike, on, "left").join(equal, on, "left").select("oid", "tag", "text", "alike", "equal")
     parts = partitions(docs.sparkSession)
     # Rows with equal id and text name the same lines.

@@ -9,7 +9,8 @@ the line from its start, again and again, up to the target. The line is cut into
 of all sources are dealt to output shards by a splitting tree: a node holds the blocks of a range of
 shards and draws, without replacement, as many as its left half of the range needs, so the counts
 that the sources have in either half are multivariate hypergeometric. Blocks are disjoint stretches
-of randomly permuted lines, and each shard is shuffled by itself.
+of randomly permuted lines. Each shard is shuffled by itself: a copy has a random key, and shards are
+written in the order of these keys.
 """
 
 from __future__ import annotations
@@ -78,13 +79,13 @@ def mix_sources(
     seed: int = 5,
 ) -> DataFrame:
     """One row per row of docs: doc_id, source, row (row_key of id, text and
-    source), size, source_size, target, taken, copies, shards.
+    source), size, source_size, target, taken, copies, shards, orders.
 
     docs needs doc_id, text and source; other columns are left out, whatever their names. taken: words that the mix
     takes of the document, repeats counted. With whole_documents a document is taken whole or not
     (the one at the end of a target whole if over half of it is due), else the last one is cut so
     that each source meets its rounded target. copies: texts to write, the cut one included.
-    shards: the output shard of each copy. A null text has size 0 and is never taken, nor is any
+    shards: the output shard of each copy; orders: its key in the shuffle of the shard. A null text has size 0 and is never taken, nor is any
     other text without words; a null source is a source of its own, last in order. Repeated rows
     count as separate documents. An empty table, or one without words, takes nothing.
     """
@@ -125,4 +126,15 @@ def mix_sources(
         "doc_id", "source", "row", "size", "source_size", "target", "taken", "copies",
         F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), shard_of))
         .otherwise(F.array().cast("array<int>")).alias("shards"),
+        F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda copy: uniform(seed + 50, F.col("doc_id"), F.col("_digest"), copy)))
+        .otherwise(F.array().cast("array<bigint>")).alias("orders"),
     )
+
+
+def write_shards(docs: DataFrame, mixed: DataFrame, path: str) -> None:
+    """Writes the copies of docs that mixed = mix_sources(docs) takes, as Parquet in a folder for each
+    shard (`out_shard`), every shard in the order of its shuffle. A cut document is written whole."""
+    copies = mixed.where("copies > 0").dropDuplicates(["row"]).select(F.col("row").alias("_key"), F.explode(F.arrays_zip("shards", "orders")).alias("_x"))
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"), F.col("source")))
+    dealt = keyed.join(copies, "_key").select(*docs.columns, F.col("_x.shards").alias("out_shard"), F.col("_x.orders").alias("_order"))
+    dealt.repartition("out_shard").sortWithinPartitions("out_shard", "_order").drop("_order").write.partitionBy("out_shard").parquet(path)

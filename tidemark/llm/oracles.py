@@ -89,10 +89,11 @@ def mixing(shards: int = 16, per_shard: int = 64, seed: int = 5) -> str:
         x as (select l.*, q.source_size, q.target, q.due, q.n_blocks, case when q.source_size > 0 then q.due // q.source_size else 0 end as full_ from line l join q on q.skey = l.skey),
         y as (select *, greatest(0, least(size, due - full_ * source_size - pos)) as cut from x),
         z as (select *, full_ * size + cut as taken, case when size > 0 then full_ + case when cut > 0 then 1 else 0 end else 0 end as copies from y),
-        c as (select doc_id, skey, n_blocks, due, unnest(generate_series(0, copies - 1)) as copy_no, source_size, pos from z where copies > 0),
-        p as (select c.doc_id, string_agg(b.lo::varchar, ',' order by copy_no) as shards from c
+        c as (select doc_id, digest, skey, n_blocks, due, unnest(generate_series(0, copies - 1)) as copy_no, source_size, pos from z where copies > 0),
+        p as (select c.doc_id, string_agg(b.lo::varchar, ',' order by copy_no) as shards,
+                     string_agg({_uniform(seed + 50, 'doc_id', 'digest', 'copy_no')}::varchar, ',' order by copy_no) as orders from c
               join {last} b on b.skey = c.skey and b.block = least(floor((copy_no * source_size + pos) * n_blocks / due::double)::bigint, n_blocks - 1) group by c.doc_id)
-        select z.doc_id, z.source, size, z.source_size, target, taken::bigint as taken, copies::integer as copies, coalesce(shards, '') as shards
+        select z.doc_id, z.source, size, z.source_size, target, taken::bigint as taken, copies::integer as copies, coalesce(shards, '') as shards, coalesce(orders, '') as orders
         from z left join p on p.doc_id = z.doc_id
     """
 

@@ -43,7 +43,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents")).drop("row")
-    return mixed.withColumn("shards", F.concat_ws(",", F.col("shards").cast("array<string>")))
+    return mixed.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("shards", "orders")})
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

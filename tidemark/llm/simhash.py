@@ -11,8 +11,9 @@ bytes that may differ are all within one set and the opposite set is wholly shar
 pair meets in a posting of 32 bits, and fourteen keys a fingerprint are enough.
 
 A posting only has to say what is connected: each gives the edges of a spanning forest, never all
-pairs. A posting over `limit` members is split by a fifth shared byte (pairs need five), and such a
-posting has three free bytes, that is 2**24 distinct fingerprints at most.
+pairs. A posting over `limit` members is split by a fifth shared byte (pairs need five) and is not held;
+a posting of five bytes has three free ones, that is 2**24 distinct fingerprints at most, and a large one
+is linked by looking up the fingerprints within the bound, not by comparing pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import SPACE, buffer_of, slices, tokens
@@ -36,6 +37,8 @@ from .jaccard import similar_texts
 POSITION_SETS = [s for s in combinations(range(8), 4) if not s[0] ^ s[1] ^ s[2] ^ s[3]]
 SHARED_BYTES = 5
 MAX_BITS = 3
+#: Members of a posting of five bytes from which looking up is faster than comparing.
+LOOKUP = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -120,10 +123,36 @@ def _forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *ends[0]]), np.concatenate([empty, *ends[1]])
 
 
+def _by_lookup(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many fingerprints that vary in few bits: for each change of at most MAX_BITS of these
+    bits, all fingerprints look up whether the changed one is there; labels sink to the least place."""
+    prints = np.sort(prints)
+    varying = int(np.bitwise_or.reduce(prints ^ prints[0]))
+    bits = [1 << b for b in range(64) if varying >> b & 1]
+    changes = [np.uint64(sum(c)) for k in range(1, MAX_BITS + 1) for c in combinations(bits, k)]
+    label = np.arange(len(prints))
+    while True:
+        before = label.copy()
+        for change in changes:
+            wanted = prints ^ change
+            at = np.minimum(np.searchsorted(prints, wanted), len(prints) - 1)
+            i = np.flatnonzero(prints[at] == wanted)
+            label[i] = np.minimum(label[i], label[at[i]])
+        label = label[label]
+        if np.array_equal(label, before):
+            moved = np.flatnonzero(label != np.arange(len(prints)))
+            return prints[moved], prints[label[moved]]
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
 def _postings(limit: int | None):
-    """Of rows (posting, fp) sorted by posting: edges, and the members of postings over the limit."""
+    """Of rows (posting, fp, members of the posting) sorted by posting: edges, and the members of postings
+    over the limit as edges to themselves. Holds one posting, of at most `limit` or 2**24 members."""
 
-    def closed(prints: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def closed(prints: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
         """prints: members of whole postings, which begin at the cuts."""
         sizes = np.diff(np.append(cuts, len(prints)))
         twos = cuts[sizes == 2]
@@ -131,43 +160,49 @@ def _postings(limit: int | None):
         apart = a ^ b
         near = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= SHARED_BYTES
         near &= np.bitwise_count(apart) <= MAX_BITS
-        left, right, over = [a[near]], [b[near]], []
+        left, right = [a[near]], [b[near]]
         for at, size in zip(cuts[sizes > 2], sizes[sizes > 2], strict=True):
-            members = prints[at : at + size]
-            if limit and size > limit:
-                over.append(members)
-            else:
-                x, y = _forest(members)
-                left.append(x)
-                right.append(y)
-        more = np.concatenate([np.zeros(0, np.uint64), *over])
-        x, y = np.concatenate([*left, more]), np.concatenate([*right, more])
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+            x, y = (_by_lookup if limit is None and size > LOOKUP else _forest)(prints[at : at + size])
+            left.append(x)
+            right.append(y)
+        return _edges(np.concatenate(left), np.concatenate(right))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_keys, kept = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held, key = [], None
         for batch in batches:
-            keys = np.concatenate([kept_keys, batch.column(0).to_numpy()])
-            prints = np.concatenate([kept, batch.column(1).to_numpy().view(np.uint64)])
+            keys, prints, members = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            if limit is not None and (members > limit).any():
+                over = members > limit
+                yield _edges(prints[over], prints[over])
+                keys, prints = keys[~over], prints[~over]
             if not len(keys):
                 continue
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            last = cuts[-1]  # may go on in the next batch
-            if last:
-                yield from closed(prints[:last], cuts[:-1])
-            kept_keys, kept = keys[last:], prints[last:]
-        if len(kept):
-            yield from closed(kept, np.zeros(1, np.int64))
+            if held and keys[0] != key:
+                yield closed(np.concatenate(held), np.zeros(1, np.int64))
+                held = []
+            if len(cuts) > 1:
+                if held:  # the first posting of the batch ends here
+                    yield closed(np.concatenate([*held, prints[: cuts[1]]]), np.zeros(1, np.int64))
+                    prints, cuts = prints[cuts[1] :], cuts[1:] - cuts[1]
+                if len(cuts) > 1:
+                    yield closed(prints[: cuts[-1]], cuts[:-1])
+                held, prints = [], prints[cuts[-1] :]
+            held.append(prints)
+            key = keys[-1]
+        if held:
+            yield closed(np.concatenate(held), np.zeros(1, np.int64))
 
     return run
 
 
 def _gathered(prints: DataFrame, sets: list[tuple[int, ...]], limit: int | None) -> DataFrame:
-    """Posting entries sorted by posting, and what comes of each posting."""
+    """What comes of each posting. The window that counts members has dealt and sorted them by posting."""
     masks = [sum(0xFF << (8 * p) for p in s) for s in sets]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     entry = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))).alias("posting")
-    dealt = prints.select(entry, "fp").repartition("posting").sortWithinPartitions("posting")
+    members = F.count("*").over(Window.partitionBy("posting"))
+    dealt = prints.select(entry, "fp").withColumn("members", members).where("members > 1").select("posting", "fp", "members")
     return dealt.mapInArrow(_postings(limit), "a long, b long")
 
 

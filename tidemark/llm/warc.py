@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import new_path
+from ._store import new_path, stash
 
 #: Payloads below this are kept in every record.
 LEAST_BYTES = 100
@@ -53,9 +53,12 @@ def resolve_revisits(recs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFra
     Rows that share that smallest id are all responses; a null id is larger than any other, and
     where no id is known all are responses.
     """
-    shared = (
+    # Payloads that several records hold are few beside all: the table is written, so that its size is
+    # known and the payloads need not be shuffled where it is small.
+    shared = stash(
         recs.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
-        .agg(F.min("page_id").alias("original"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        .agg(F.min("page_id").alias("original"), F.count("*").alias("_n")).where("_n > 1").drop("_n"),
+        "warc-shared",
     )
     revisit = F.col("original").isNotNull() & (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
     return recs.join(shared, "payload_digest", "left").select(
