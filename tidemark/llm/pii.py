@@ -38,7 +38,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?:\((?=[0-9]{1,5}\)))?[0-9](?:[\x20().-]{0,2}[0-9])++")
 # A mailbox name has 64 characters at most and a label of a host name 63; so no more are looked for.
 _DOT = r"(?:\x20?[(\[](?i:dot|\.)[)\]]\x20?|\x20(?i:dot|\.)\x20)"
-_SPELLED = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:\x20?[(\[](?i:at)[)\]]\x20?|\x20(?i:at)\x20)[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}})+")
+_AT = re.compile(r"\x20?[(\[](?i:at)[)\]]\x20?|\x20(?i:at)\x20")
+_HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}+(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}+)++")
 _SPELLED_IP = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}")
 _WORD = re.compile(r"\S+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -91,13 +92,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """E-mail addresses with words for their signs."""
+    free = 0
+    for m in _AT.finditer(text):
+        host, start = _HOST.match(text, m.end()), m.start()
+        if host:
+            while start > max(free, m.start() - 64) and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                yield start, host.end()
+                free = host.end()
+
+
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Identifier-like strings apart from the spans: numbers as phone or card, spelled-out addresses."""
     found = [(m.start(), k, m.end()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7
              for n in [len(_NOT_DIGIT.sub("", m[0]))] for k, ok in ((2, 12 <= n <= 19), (3, 7 <= n <= 15)) if ok]
     low = text.lower()
     if any(x in low for x in ("at)", "at]", " at ")):
-        found += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(text)]
+        found += [(a, 0, b) for a, b in _spelled(text)]
     if any(x in low for x in ("[.]", "(.)", "dot]", "dot)", " . ", " dot ")):
         found += [(m.start(), 1, m.end()) for m in _SPELLED_IP.finditer(text)]
     taken: list[list[int]] = []  # the spans, those that overlap as one
