@@ -35,13 +35,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?:\((?=[0-9]{1,5}\)))?[0-9](?:[\x20().-]{0,2}[0-9])++")
+_NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9])++")
 # A mailbox name has 64 characters at most and a label of a host name 63; so no more are looked for.
 _DOT = r"(?:\x20?[(\[](?i:dot|\.)[)\]]\x20?|\x20(?i:dot|\.)\x20)"
 _AT = re.compile(r"\x20?[(\[](?i:at)[)\]]\x20?|\x20(?i:at)\x20")
 _HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}+(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}+)++")
 _SPELLED_IP = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}")
 _WORD = re.compile(r"\S+")
+_AREA = re.compile(r"[0-9]{1,5}\)")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TRIM = "\"'.,;:!?()[]{}<>|*#$%&"
 
@@ -107,7 +108,9 @@ def _spelled(text: str) -> Iterator[tuple[int, int]]:
 
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Identifier-like strings apart from the spans: numbers as phone or card, spelled-out addresses."""
-    found = [(m.start(), k, m.end()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7
+    # A bracket before an area code belongs to the number.
+    start = lambda m: m.start() - (m.start() > 0 and text[m.start() - 1] == "(" and _AREA.match(text, m.start()) is not None)
+    found = [(start(m), k, m.end()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7
              for n in [len(_NOT_DIGIT.sub("", m[0]))] for k, ok in ((2, 12 <= n <= 19), (3, 7 <= n <= 15)) if ok]
     low = text.lower()
     if any(x in low for x in ("at)", "at]", " at ")):
