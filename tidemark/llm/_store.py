@@ -20,8 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has stashed. Results that still read it, lazily, are lost: for the
+    end of a job, after its output is written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:

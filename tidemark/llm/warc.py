@@ -6,13 +6,18 @@ Records are UTF-8, so Spark's text writer and reader do the input and output: a
 two line ends that the format asks for, and begins with a version line and a field that names its
 archive, which is the separator when the archive is read. Files can be split at any record. The
 reader checks lengths and digests, so a record that was cut wrongly cannot pass unnoticed.
+
+Archives of other writers are read by read_warc(): Spark's text reader cuts them at the version mark,
+and pieces are joined again until a record has the length that it states.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from ._store import new_path, stash
 LEAST_BYTES = 100
 
 _END = "\r\n\r\n"
+#: What the records of any archive begin with.
+_MARK = "WARC/1."
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -143,6 +150,68 @@ def read_archives(spark: SparkSession, archive: Archive) -> DataFrame:
     )
 
 
+def _records_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (fields, block) of rows (file, piece), which are in the order of their files. One record
+    is held at a time; a mark inside of it has cut it into several pieces."""
+    parts, size, need, of = [], 0, None, None
+    for batch in batches:
+        heads, blocks = [], []
+        for file, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if parts and file != of:
+                raise ValueError(f"a WARC record of {of} is shorter than it states")
+            if not parts and not piece:  # what is before the first mark of a file
+                continue
+            of = file
+            parts.append(_MARK.encode() + piece if parts else piece)
+            size += len(parts[-1])
+            if need is None:
+                parts = [b"".join(parts)]
+                at = parts[0].find(_END.encode())
+                if at < 0:
+                    continue
+                lines = parts[0][:at].decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")[1:]
+                fields = [(name.strip().lower(), value.strip()) for name, _, value in (x.partition(":") for x in lines)]
+                length = dict(fields).get("content-length", "")
+                if not length.isdigit():
+                    raise ValueError(f"a WARC record of {of} states no length")
+                need = at + len(_END) + int(length)
+            if size >= need:
+                heads.append(dict(fields))
+                blocks.append(b"".join(parts)[at + len(_END) : need])
+                parts, size, need = [], 0, None
+        column = lambda name: pa.array([h.get(name) for h in heads], pa.string())
+        names = ["warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-refers-to", "content-type"]
+        yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(blocks, pa.binary())], ["record_id", "record_type", "url", "date", "stated_digest", "refers_to", "content_type", "block"])
+    if parts:
+        raise ValueError(f"a WARC record of {of} is shorter than it states")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, record_type, url, date, stated_digest, refers_to, content_type, payload (binary),
+    payload_bytes, payload_digest (SHA-256) of each record of WARC files of any writer, plain or gzip
+    of one or many members.
+
+    The payload of an HTTP message is what follows its head, of other records the whole block; transfer
+    and content encodings are left as they are. Fields that a record lacks are null, repeated ones count
+    once (the last). An empty file has no records. A file is read by one task, a record at a time: plain
+    files above spark.sql.files.maxPartitionBytes are refused, as are records cut short.
+    """
+    whole = F.col("_metadata.file_block_length") == F.col("_metadata.file_size")
+    compressed = F.col("_metadata.file_path").endswith(".gz")
+    file = F.when(whole | compressed, F.col("_metadata.file_path")).otherwise(
+        F.raise_error(F.concat(F.lit("a plain WARC file is split among tasks; compress it: "), F.col("_metadata.file_path"))).cast("string")
+    )
+    pieces = spark.read.option("lineSep", _MARK).text(path).select(file.alias("file"), F.col("value").cast("binary").alias("piece"))
+    fields = "record_id string, record_type string, url string, date string, stated_digest string, refers_to string, content_type string"
+    found = pieces.mapInArrow(_records_of, f"{fields}, block binary")
+    ends = F.locate(_END.encode().hex().upper(), F.hex("block"))
+    head = F.when(F.col("content_type").startswith("application/http"), F.when(ends > 0, (ends - 1).cast("int") / 2 + len(_END)).otherwise(F.octet_length("block"))).otherwise(0)
+    payload = F.substring(F.col("block"), (head + 1).cast("int"), F.octet_length("block"))
+    return found.select("*", payload.alias("payload")).select(
+        *found.columns[:-1], "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
+    )
+
+
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes pages(page_id, url, html) to deduplicated archives in the shared folder and reads them
     back: a row as from read_archives for each page.
