@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import exchange
-from tidemark.llm.substring import substring_dedup
+from tidemark.llm.substring import WINDOW, long_symbols, rounds, substring_dedup
 
 DOCS = "doc_id long, text string, tag string, items long, n_chars long"
 
@@ -55,6 +55,39 @@ def test_equals_brute_force(spark, seed):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def test_long_repeats_equal_brute_force(spark):
+    """Copies, near copies and passages of hundreds of words, many of them inside of high symbols."""
+    rng = random.Random(8)
+    many = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(many) for _ in range(rng.randint(200, 900))] for _ in range(6)] + [["a", "b", "c"] * 200, ["a"] * 700]
+    rows = [(i, " ".join(rng.choice(base)), "t", 1, 1) for i in range(40)]
+    for i in range(40, 80):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = rng.choice(many)
+        a = rng.randrange(len(w))
+        rows.append((i, " ".join([rng.choice(many) for _ in range(30)] + w[a : a + rng.randint(20, 600)]), "t", 1, 1))
+    rows += [rows[3], (rows[50][0], rows[51][1], "t", 1, 1)]
+    rng.shuffle(rows)
+    got = substring_dedup(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_symbols_cover_the_text_and_agree_inside_of_repeats():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 2**60, 2000).astype(np.uint64)
+    words = np.concatenate([rng.integers(0, 2**60, 501).astype(np.uint64), passage, rng.integers(0, 2**60, 77).astype(np.uint64), passage])
+    first = np.array([0, 501 + 2000, len(words)])
+    for _, names, at in rounds(words, first, 17):
+        assert at[0] == 0 and 2501 in at and np.all(np.diff(at) > 0)
+    names, _, at, end, level = long_symbols(words, first)
+    assert np.all(end - at >= WINDOW) and set(level) == {0, 1, 2}
+    assert not np.any((at < 2501) & (end > 2501))
+    for x in range(2):
+        one, two = names[(level == x) & (at < 2501)], names[(level == x) & (at >= 2501)]
+        assert len(np.intersect1d(one, two)) >= 0.5 * min(len(one), len(two))
+
+
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
