@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,21 +141,29 @@ def quality_rules(
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        buf, offsets = buffer_of(batch.column(1))
-        start, end, _ = tokens(buf, offsets)
-        low, high, lines = tokens(buf, offsets, _LINE_END)
-        begin, stop = np.searchsorted(start, low), np.searchsorted(start, high)
-        normal = hash_runs(hash_ranges(_LOWER[buf], start, end), begin, stop).view(np.int64)
-        out = []
-        for i, (text, gone) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            if text and gone:
-                own = slice(lines[i], lines[i + 1])
-                drop = iter((np.isin(normal[own], gone) & (stop[own] > begin[own])).tolist())
-                text = "\n".join(x for x in text.split("\n") if not (x and next(drop)))
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "text"])
+        names = batch.schema.names
+        texts, lost = batch.column(names.index("text")), batch.column(names.index("gone"))
+        cut = lost.is_valid()
+        some = texts.filter(cut)
+        if len(some):
+            buf, offsets = buffer_of(some)
+            start, end, _ = tokens(buf, offsets)
+            low, high, lines = tokens(buf, offsets, _LINE_END)
+            begin, stop = np.searchsorted(start, low), np.searchsorted(start, high)
+            normal = hash_runs(hash_ranges(_LOWER[buf], start, end), begin, stop).view(np.int64)
+            out = []
+            for i, (text, gone) in enumerate(zip(some.to_pylist(), lost.filter(cut).to_pylist(), strict=True)):
+                if text and gone:
+                    own = slice(lines[i], lines[i + 1])
+                    drop = iter((np.isin(normal[own], gone) & (stop[own] > begin[own])).tolist())
+                    text = "\n".join(x for x in text.split("\n") if not (x and next(drop)))
+                out.append(text)
+            texts = pc.replace_with_mask(texts, cut, pa.array(out, texts.type))
+        kept = [n for n in names if n != "gone"]
+        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(names.index(n)) for n in kept], kept)
 
 
 def without_lines(texts: DataFrame) -> DataFrame:
-    """key, text for rows (key long, text, gone): the texts without the lines whose hashes are in gone."""
-    return texts.select("key", "text", "gone").mapInArrow(_strip, "key long, text string")
+    """Rows with columns text, gone and any others: all but gone, the texts without the lines whose
+    hashes are in gone; a row whose gone is null stays as it is."""
+    return texts.mapInArrow(_strip, texts.drop("gone").schema)
