@@ -138,6 +138,84 @@ def sharding(shards: int = 40, seed: int = 11) -> str:
     """
 
 
+def clusters(k: int = 16, rounds: int = 3, seed: int = 1, dims: int = 64) -> str:
+    most = 1 << 27
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""
+        d{i} as (select rid, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from kept, c{i}),
+        a{i} as (select * from d{i} qualify row_number() over (partition by rid order by d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""
+        s{i} as (select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, generate_subscripts(v, 1) as i from a{i}) group by c, i),
+        m{i} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as m from s{i} group by c),
+        c{i + 1} as (select c{i}.c, coalesce(m{i}.m, c{i}.m) as m from c{i} left join m{i} on m{i}.c = c{i}.c)""")
+    return f"""
+        with fine as (select * from embeddings where len(embedding) = {dims} and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+        kept as (select row_number() over () as rid, vec_id, sha256('{seed}:' || coalesce(vec_id::varchar, 'null')) as h,
+                        list_transform(embedding, lambda x: greatest(-{most}, least({most}, floor(64 * x::double)))::bigint) as v from fine),
+        c0 as (select (row_number() over (order by h, v) - 1)::integer as c, v as m from (select * from kept order by h, v limit {k})), {",".join(parts)}
+        select vec_id, a.c as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+               sha256(array_to_string(m, ',')) as centroid_sha256
+        from a{rounds} a join c{rounds} f on f.c = a.c
+    """
+
+
+#: DuckDB has no CRC-32: the table of the 256 bytes, then one step a byte.
+_CRC_TABLE = """crc as (select list(list_reduce(list_prepend(i, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as steps
+                from (select unnest(range(256)) as i))"""
+
+
+def manifest(levels: int = 7, tops: int = 3) -> str:
+    """Levels of a language's tree and of the tree over the languages that the SQL goes through: enough
+    for 8**levels documents of a language and 8**tops languages."""
+
+    def value(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+
+    def tree(name: str, first: str, keys: str, height: int) -> list[str]:
+        """name0..: g, i, h, n of the nodes of each level; name_s0..: with their siblings' digests before and after."""
+        over = f"partition by {keys}, i // 8 order by i"
+        out = [f"{name}0 as ({first})"]
+        for x in range(height):
+            out.append(f"""{name}_s{x} as (select *, coalesce(string_agg(h, '') over ({over} rows between unbounded preceding and 1 preceding), '') as before,
+                     coalesce(string_agg(h, '') over ({over} rows between 1 following and unbounded following), '') as after from {name}{x})""")
+            out.append(f"""{name}{x + 1} as (select g, i // 8 as i, case when n > 1 then sha256(string_agg(h, '' order by i)) else min(h) end as h, (n + 7) // 8 as n
+                     from {name}{x} group by g, i // 8, n)""")
+        return out
+
+    docs = tree("l", "select lang as g, i, leaf as h, n from d", "g", levels)
+    langs = tree("t", f"select 0 as g, row_number() over (order by g nulls first) - 1 as i, h, count(*) over () as n, g as lang from l{levels}", "g", tops)
+    joins, near = [], []
+    for x in range(levels):
+        joins.append(f"join l_s{x} on l_s{x}.g is not distinct from d.lang and l_s{x}.i = d.i // {8**x}")
+        near.append(f"case when l_s{x}.n > 1 then l_s{x}.before || l_s{x}.after else '' end")
+    joins.append("join t0 on t0.lang is not distinct from d.lang")
+    for x in range(tops):
+        joins.append(f"join t_s{x} on t_s{x}.i = t0.i // {8**x}")
+        near.append(f"case when t_s{x}.n > 1 then t_s{x}.before || t_s{x}.after else '' end")
+    # One column a level, each from the one before.
+    columns = [f"(case when a{x}_n > 1 then sha256(a{x}_b || f{x} || a{x}_a) else f{x} end) as f{x + 1}" for x in range(levels + tops)]
+    sources = [f"l_s{x}" for x in range(levels)] + [f"t_s{x}" for x in range(tops)]
+    wide = ", ".join(f"{s}.n as a{x}_n, {s}.before as a{x}_b, {s}.after as a{x}_a" for x, s in enumerate(sources))
+    chain = "w"
+    for c in columns:
+        chain = f"(select *, {c} from {chain})"
+    return f"""
+        with {_CRC_TABLE},
+        k as (select *, {leaf('text')} as leaf, {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} as changed, list_transform(range(length(hex(encode(doc_id::varchar))) // 2),
+                     lambda j: ('0x' || substr(hex(encode(doc_id::varchar)), 2 * j + 1, 2))::bigint) as bytes from documents),
+        c as (select k.*, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 as tampered from k, crc),
+        d as (select doc_id, lang, leaf, case when tampered then changed else leaf end as seen, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i,
+                     count(*) over (partition by lang) as n from c), {", ".join(docs)}, {", ".join(langs)},
+        w as (select d.doc_id, d.leaf, t0.h as subroot, d.seen as f0, sha256({" || ".join(near)}) as proof_sha256, {wide} from d {" ".join(joins)})
+        select doc_id, leaf, subroot, r.h as root, proof_sha256, f{len(columns)} as folded_root, f{len(columns)} = r.h as verified from {chain}, (select h from t{tops}) r
+    """
+
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": lines(),
     "op5_mix_sources": mixing(),
@@ -145,4 +223,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": quality(),
     "op8_interleave_shards": sharding(),
     "op10_substring_dedup": substring(),
+    "op11_centroid_clusters": clusters(),
+    "op12_merkle_manifest": manifest(),
 }

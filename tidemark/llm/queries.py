@@ -8,9 +8,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import centroid_clusters
 from .decontam import find_leaks
 from .langid import language_id
 from .linededup import line_dedup
+from .merkle import merkle_manifest
 from .mixing import mix_sources
 from .oracles import ORACLES
 from .pii import find_personal_data
@@ -18,6 +20,7 @@ from .quality import quality_rules
 from .sharding import interleave_shards
 from .simhash import near_duplicates
 from .substring import substring_dedup
+from .toxicity import toxicity
 from .warc import archive_pages
 
 
@@ -67,6 +70,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    places = F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("offending", F.array_join(places, ","))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,5 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_interleave_shards": op8_interleave_shards,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_toxicity": op13_toxicity,
     "pipeline": pipeline,
 }
