@@ -159,7 +159,7 @@ def merkle_proofs(leaves: DataFrame, group: str, order: list[str], digest: str =
     empty = [F.array().cast("array<int>").alias("at"), F.array().cast("array<binary>").alias("near")]
     proofs = top[-1].select("g", "r", *empty)
     for nodes in reversed(top[:-1]):
-        proofs = stash(_down(nodes, proofs, fanout, height), "merkle-proofs")
+        proofs = stash(_down(nodes, proofs.select("g", "r", "at", "near"), fanout, height), "merkle-proofs")
     heads_of = proofs.select(F.col("_of").alias("g"), F.lit(0).cast("long").alias("r"), "at", "near", F.col("digest").alias("subroot"))
     for nodes in reversed(groups[1:-1]):
         heads_of = stash(_down(nodes, heads_of, fanout, height), "merkle-proofs").drop("digest")

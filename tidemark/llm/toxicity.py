@@ -1,10 +1,12 @@
 """Toxicity by multiple-instance learning: labels are of documents, scores are of sentences.
 
-A sentence's score is a logistic function of the words and word beginnings in it that are selected; a
-document's is the noisy-or of its sentences: the probability that at least one of them is toxic. The
-weights are fitted to the labels of documents through the noisy-or, by rounds of a distributed gradient
-over a bounded, documented sample of the labelled documents, so it is learned which sentences of a toxic
-document make it so. Those are returned with their places.
+A sentence's score is a logistic function of the words and word beginnings in it that are selected, and
+0 where there are none; a document's is the noisy-or of its sentences and a small leak: the probability
+that at least one of them is toxic, or that the document is for another reason. A long document is thus
+not more toxic for its plain sentences. The weights are fitted to the labels of documents through the
+noisy-or, by rounds of a distributed gradient over a bounded, documented sample of the labelled
+documents, so it is learned which sentences of a toxic document make it so. Those are returned with
+their places.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from ._store import partitions, stash
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Scale at which gradients are summed: as integers, so that the sums do not depend on their order.
 _UNIT = float(1 << 32)
+#: Where the bias of a sentence starts: one feature alone does not make it toxic.
+FIRST_BIAS = -4.0
 _folded: np.ndarray | None = None
 
 
@@ -99,6 +103,8 @@ class ToxicityModel:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    #: score of a document without any sentence that counts
+    leak: float
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
         """Whether a bucket is a feature, and which."""
@@ -157,8 +163,8 @@ def _segments(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _bags(labelled: DataFrame, model: ToxicityModel) -> DataFrame:
-    """toxic, features, sizes, plain: the features of a document's sentences one after another, how many
-    each sentence has, and the number of sentences without any. A text without a word is a plain one."""
+    """toxic, features, sizes: the features of a document's sentences one after another, and how many each
+    sentence has that has any."""
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,20 +176,19 @@ def _bags(labelled: DataFrame, model: ToxicityModel) -> DataFrame:
             owner, feature = each >> 32, (each & 0xFFFFFFFF).astype(np.int32)
             sizes = np.bincount(owner, minlength=len(s.text))
             rows = batch.num_rows
-            total = np.maximum(np.bincount(s.text, minlength=rows), 1)
             rich = np.flatnonzero(sizes)
             of = np.bincount(s.text[rich], minlength=rows)
             in_text = np.bincount(s.text[owner], minlength=rows)
             cuts = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).cast(pa.int32()), pa.ListArray.from_arrays(cuts(in_text), pa.array(feature)), pa.ListArray.from_arrays(cuts(of), pa.array(sizes[rich], pa.int32())), pa.array(total - of)],
-                ["toxic", "features", "sizes", "plain"],
+                [batch.column(1).cast(pa.int32()), pa.ListArray.from_arrays(cuts(in_text), pa.array(feature)), pa.ListArray.from_arrays(cuts(of), pa.array(sizes[rich], pa.int32()))],
+                ["toxic", "features", "sizes"],
             )
 
-    return labelled.select("text", "toxic").mapInArrow(run, "toxic int, features array<int>, sizes array<int>, plain long")
+    return labelled.select("text", "toxic").mapInArrow(run, "toxic int, features array<int>, sizes array<int>")
 
 
-def _gradient(bags: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
+def _gradient(bags: DataFrame, weights: np.ndarray, bias: float, leak: float) -> np.ndarray:
     """The gradient of the loss (minus the log-likelihood of the labels) by the weights and, last, the
     bias. A task sends one number for each weight."""
     shared = bags.sparkSession.sparkContext.broadcast((weights, bias))
@@ -191,17 +196,16 @@ def _gradient(bags: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
         sums = np.zeros(len(w) + 1)
-        p0, s0 = 1 / (1 + np.exp(-b)), np.logaddexp(0, b)
         for batch in batches:
-            toxic, plain = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            toxic = batch.column(0).to_numpy(zero_copy_only=False)
             features, sizes = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
             of = np.diff(np.asarray(batch.column(2).offsets))
             z = b + _segments(w[features], sizes)
-            none = np.maximum(_segments(np.logaddexp(0, z), of) + plain * s0, 1e-12)  # -log P(no sentence is toxic)
+            none = _segments(np.logaddexp(0, z), of) - np.log1p(-leak)  # -log P(not toxic)
             pull = np.where(toxic == 1, -1 / np.expm1(np.minimum(none, 500)), 1.0)
             each = np.rint(np.repeat(pull, of) / (1 + np.exp(-z)) * _UNIT)
             sums[:-1] += np.bincount(features, np.repeat(each, sizes), len(w))
-            sums[-1] += each.sum() + np.rint(pull * plain * p0 * _UNIT).sum()
+            sums[-1] += each.sum()
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.rint(sums[some]).astype(np.int64))], ["weight", "pull"])
 
@@ -215,7 +219,7 @@ def _gradient(bags: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, bits: int = 20, features: int = 2048, gain: float = 8.0, odds: float = 4.0, rounds: int = 40, decay: float = 0.02
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, bits: int = 20, features: int = 2048, gain: float = 8.0, odds: float = 4.0, rounds: int = 40, decay: float = 0.02, leak: float = 0.01
 ) -> ToxicityModel:
     """Fits the model to docs(doc_id, text) and labels(doc_id, toxic).
 
@@ -223,7 +227,7 @@ def train(
     above 0 as 1. max_labelled: the bound of the labelled ids that are learned from, those with the
     smallest MD5; their documents' texts are written to the shared folder once. What comes to the driver
     is bounded by `features`. Without documents of both labels there are no features, and every score is
-    the one of the bias.
+    the leak, or where all are toxic 1 less the leak.
     """
     spark = docs.sparkSession
     told = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -233,41 +237,40 @@ def train(
     labelled = stash(known.select("text", "toxic").repartition(min(partitions(spark), 16)), "toxicity-texts")
     found, times, toxic, clean = select_features(stash(_count(labelled, bits), "toxicity-counts"), features, gain, odds)
     if not len(found):
-        return ToxicityModel(bits, found, np.zeros(0), 40.0 if toxic and not clean else -40.0)
-    blank = ToxicityModel(bits, found, np.zeros(len(found)), 0.0)
+        return ToxicityModel(bits, found, np.zeros(0), 0.0, 1 - leak if toxic and not clean else leak)
+    blank = ToxicityModel(bits, found, np.zeros(len(found)), 0.0, leak)
     bags = stash(_bags(labelled, blank), "toxicity-bags")
     # Weights start from, and are drawn to, half of what the counts say: the noisy-or alone gives nothing to
     # a word that stands beside others that explain the label. Steps of their own for each weight, by the
     # signs of the gradient only.
-    x, step, before = np.append(times / 2, -8.0), np.full(len(found) + 1, 0.4), np.zeros(len(found) + 1)
+    drawn = np.append(times / 2, FIRST_BIAS)
+    x, step, before = drawn, np.full(len(found) + 1, 0.4), np.zeros(len(found) + 1)
     for _ in range(rounds):
-        g = _gradient(bags, x[:-1], float(x[-1]))
-        g[:-1] += decay * (x[:-1] - times / 2)
+        g = _gradient(bags, x[:-1], float(x[-1]), leak) + decay * (x - drawn)
         turn = np.sign(g) * np.sign(before)
         step = np.clip(np.where(turn > 0, step * 1.2, np.where(turn < 0, step * 0.5, step)), 1e-4, 1.5)
         x, before = x - np.sign(g) * step, g
-    return ToxicityModel(bits, found, x[:-1], float(x[-1]))
+    return ToxicityModel(bits, found, x[:-1], float(x[-1]), leak)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], least: float = 0.5) -> DataFrame:
     """The kept columns and score, n_sentences, offending for every row of docs(text, ...): the places
     (code points, end exclusive) and scores of the sentences whose own score is `least` or more, in
-    order. A text that is null, empty or without a word counts as one plain sentence. Whole texts are
-    read; only text is looked at."""
+    order. A text that is null, empty or without a word has the leak as its score. Whole texts are read;
+    only text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known, place = m.index()
-        p0, s0 = 1 / (1 + np.exp(-m.bias)), np.logaddexp(0, m.bias)
         for batch in slices(batches):
             at, rows = batch.schema.get_field_index("text"), batch.num_rows
             s = sentences(batch.column(at).to_pylist(), m.bits, known)
             each = np.unique((s.owner.astype(np.int64) << 32) | place[s.bucket])
             sizes = np.bincount(each >> 32, minlength=len(s.text))
-            z = m.bias + _segments(m.weights[each & 0xFFFFFFFF], sizes)
+            z = np.where(sizes > 0, m.bias + _segments(m.weights[each & 0xFFFFFFFF], sizes), -np.inf)
             of = np.bincount(s.text, minlength=rows)
-            none = _segments(np.logaddexp(0, z), of) + np.where(of == 0, s0, 0.0)
+            none = _segments(np.logaddexp(0, z), of) - np.log1p(-m.leak)
             p = 1 / (1 + np.exp(-z))
             bad = p >= least
             places = pa.StructArray.from_arrays([pa.array(s.start[bad]), pa.array(s.end[bad]), pa.array(p[bad])], ["start", "end", "score"])
@@ -276,8 +279,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], least: float =
             yield pa.RecordBatch.from_arrays([*others, pa.array(-np.expm1(-none)), pa.array(of), pa.ListArray.from_arrays(cuts, places)], [*keep, "score", "n_sentences", "offending"])
 
     kept = docs.select(*keep, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, score double, n_sentences long, offending array<struct<start: long, end: long, score: double>>")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    fields += ["score double", "n_sentences long", "offending array<struct<start: long, end: long, score: double>>"]
+    return kept.mapInArrow(run, ", ".join(fields))
 
 
 def held_out(doc_id: Column) -> Column:
