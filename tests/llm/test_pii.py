@@ -148,3 +148,14 @@ def test_precision_and_recall_on_planted_contexts(spark):
             found[r.doc_id] = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s not in base]
     hits = sum(truth.get(i) in spans for i, spans in found.items())
     assert hits / sum(map(len, found.values())) >= 0.98 and hits / len(truth) >= 0.98
+
+
+def test_ends_and_punctuation_are_no_context(spark):
+    """Numbers at the start of a text, or among punctuation only, are not judged by standing there."""
+    rows = [(i, f"+1 (017) 555-77{i:02d} of w{i} and more", "r", "b", 1) for i in range(10, 14)]
+    rows += [(i, f"70000{i} units{i} sold in w{i}", "r", "b", 1) for i in range(20, 26)]
+    rows += [(i, f"* ** +1 (017) 555-88{i:02d} ** *", "r", "b", 1) for i in range(30, 34)]
+    rows += [(i, f"* ** 70001{i} ** *", "r", "b", 1) for i in range(40, 46)]
+    rows += [(i, f"+1 (017) 555-99{i:02d}", "r", "b", 1) for i in range(50, 54)] + [(i, f"70002{i}", "r", "b", 1) for i in range(60, 66)]
+    got = find_personal_data(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and not any(r.n_found for r in got)

@@ -2,7 +2,7 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers in every text. These are
 the seeds. The words around a seed make lexical patterns (the two words before it; the word before
-and the word after). Identifier-like strings that no base pattern takes are candidates. Patterns and
+and the word after); where no word is, there is no pattern. Identifier-like strings that no base pattern takes are candidates. Patterns and
 the values that stand in them make a graph, which Spark scores in rounds: a pattern by its trusted
 values against its doubtful ones, a value by the trusted patterns that hold it. Values found in one
 round count for the patterns of the next, so contexts without any seed are reached too. What stands
@@ -131,14 +131,20 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[
             yield a, k, b
 
 
-def _context(text: str, words: list[tuple[int, int]], start: int, end: int) -> tuple[str, str]:
-    """The two words before a span, and the word before with the word after. words: those of the text."""
+def _told(*words: str) -> bool:
+    """Whether any of the words has a letter or digit: punctuation and the ends of a text are no context."""
+    return any(c.isalnum() for w in words for c in w)
+
+
+def _context(text: str, words: list[tuple[int, int]], start: int, end: int) -> tuple[str | None, str | None]:
+    """The two words before a span, and the word before with the word after; None for either in which no
+    word is. words: those of the text."""
     first = bisect_left(words, (start, 0))
     before = [text[a : min(b, start)].strip(_TRIM).lower() for a, b in words[max(0, first - 2) : first]]
     before = ["^"] * (2 - len(before)) + before
     next_ = bisect_right(words, end, key=lambda w: w[1])
     after = text[max(words[next_][0], end) : words[next_][1]].strip(_TRIM).lower() if next_ < len(words) else "$"
-    return " ".join(before), f"{before[1]} _ {after}"
+    return " ".join(before) if _told(*before) else None, f"{before[1]} _ {after}" if _told(before[1], after) else None
 
 
 def _value(text: str, start: int, kind: int, end: int) -> str:
@@ -235,8 +241,8 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, c
     kind = F.col("kind").cast("string")
     slots = mention.select(
         "row", "kind", "start", "end", "seed", "refuted", F.concat_ws("|", kind, "value").alias("value"),
-        F.explode(F.array(F.concat_ws("|", kind, F.lit("two"), "two"), F.concat_ws("|", kind, F.lit("around"), "around"))).alias("pattern"),
-    )
+        F.explode(F.array(F.concat(kind, F.lit("|two|"), "two"), F.concat(kind, F.lit("|around|"), "around"))).alias("pattern"),
+    ).where("pattern is not null")
     patterns = score_patterns(slots.select("pattern", "value", "seed", "refuted"), rounds, least_seeds, confidence)
     places = (
         slots.where("not seed").join(patterns, "pattern").groupBy("row", "start", "end")
