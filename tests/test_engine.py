@@ -155,3 +155,20 @@ def test_revisions_keep_their_rules(spark):
     assert [tuple(r) for r in problems.collect()] == [("d", "REVISION_WITHOUT_CURRENT")]
     again, _ = reconcile.apply_revisions(after, batch.where("logical <> 'd'"), full=True)
     assert reconcile.same_content(again, after)
+
+
+def test_a_record_twice_in_a_batch_is_refused(spark):
+    """Exactly one row of a record is current, whatever the batch holds."""
+    history = spark.createDataFrame([("a", 1, "CURRENT"), ("b", 1, "CURRENT")], "logical string, version long, status string")
+    batch = spark.createDataFrame([("a", 2, "REVISION"), ("a", 3, "REVISION"), ("b", 2, "REVISION"), ("b", 2, "REVISION"), ("c", 5, "NEW"), ("c", 6, "REVISION")], "logical string, version long, classification string")
+    for full in (False, True):
+        after, problems = reconcile.apply_revisions(history, batch, full)
+        assert sorted(tuple(r) for r in after.collect()) == [("a", 1, "CURRENT"), ("b", 1, "STALE"), ("b", 2, "CURRENT")]
+        assert sorted(tuple(r) for r in problems.collect()) == [("a", "SEVERAL_IN_BATCH"), ("c", "SEVERAL_IN_BATCH")]
+
+
+def test_an_emptied_fact_set_is_retired(spark):
+    history = spark.createDataFrame([("a", 1, "CURRENT"), ("b", 2, "CURRENT"), ("c", 3, "CURRENT")], "k string, v long, status string")
+    batch, stated = spark.createDataFrame([("a", 1)], "k string, v long"), spark.createDataFrame([("a",), ("b",)], "k string")
+    got = sorted(tuple(r) for r in reconcile.replace_sets(history, batch, "k", stated).collect())
+    assert got == [("a", 1, "CURRENT"), ("b", 2, "STALE"), ("c", 3, "CURRENT")]

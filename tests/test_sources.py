@@ -128,3 +128,25 @@ def test_observations_agree_with_their_records(spark):
     records = spark.createDataFrame([("a", "d", "p", None)], "logical string, dataset string, provider string, region string")
     got = {r.seq: r.problem for r in captures.consistency_problems(seen, records, ["NEW", "REVISION"]).collect()}
     assert got == {2: "UNKNOWN_CLASSIFICATION", 3: "NO_RECORD", 4: "DATASET_DIFFERS"}
+
+
+@pytest.mark.parametrize("split", [10_000_000, 4000, 300])
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path, split):
+    """One file read by many tasks gives the numbers of the whole file."""
+    want = set()
+    for k, end in enumerate(("\n", "\r\n", "\n")):
+        lines = [("", "  ", f"line {i} " + "x" * (i * 7 % 80), "é" * (i % 20 + 1))[i * i % 4 if i % 5 else 0] for i in range(300 + 200 * k)]
+        (tmp_path / f"f{k}.jsonl").write_bytes(("﻿" + end.join(lines) + (end if k else "")).encode())
+        want |= {(f"f{k}.jsonl", n, text) for n, text in enumerate(lines, 1) if text.strip(" ")}
+    (tmp_path / "empty.jsonl").write_text("")
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = captures.scan_lines(spark, str(tmp_path)).collect()
+        tasks = captures._split_lines(spark, str(tmp_path)).select("path", "split").distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and (tasks > 30 if split == 300 else tasks >= 3)

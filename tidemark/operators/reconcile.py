@@ -88,15 +88,18 @@ def apply_revisions(history: DataFrame, batch: DataFrame, full: bool = False) ->
 
     A NEW record must have no current row and a REVISION must have one; a version that is current
     already is skipped. full: the batch is the latest version of every record and has no such rules.
-    A record that breaks a rule is left as it is.
+    In both, a record that the batch has in several versions breaks the rules, as only one can be current;
+    the same version twice is one. A record that breaks a rule is left as it is.
     """
     current = history.where("status = 'CURRENT'").select("logical", F.col("version").alias("_is"))
-    joined = batch.join(current, "logical", "left")
+    once = batch.groupBy("logical").agg(F.min_by("classification", "version").alias("classification"), F.min("version").alias("version"), F.max("version").alias("_last"))
+    joined = once.join(current, "logical", "left")
     same = F.coalesce(F.col("_is") == F.col("version"), F.lit(False))
-    problem = F.when(~same & (F.col("classification") == "NEW") & F.col("_is").isNotNull(), "NEW_HAS_CURRENT").when(
+    several = F.when(F.col("version") < F.col("_last"), "SEVERAL_IN_BATCH")
+    problem = several.when(~same & (F.col("classification") == "NEW") & F.col("_is").isNotNull(), "NEW_HAS_CURRENT").when(
         ~same & (F.col("classification") == "REVISION") & F.col("_is").isNull(), "REVISION_WITHOUT_CURRENT"
     )
-    judged = joined.withColumn("problem", F.lit(None).cast("string") if full else problem)
+    judged = joined.withColumn("problem", several if full else problem)
     taken = judged.where(~same & F.col("problem").isNull()).select("logical", "version")
     gone = taken.select("logical", F.lit("CURRENT").alias("status"), F.lit(True).alias("_gone"))
     kept = history.join(gone, ["logical", "status"], "left").withColumn("status", F.when(F.col("_gone"), "STALE").otherwise(F.col("status")))
@@ -104,13 +107,17 @@ def apply_revisions(history: DataFrame, batch: DataFrame, full: bool = False) ->
     return after, judged.where("problem is not null").select("logical", "problem")
 
 
-def replace_sets(history: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+def replace_sets(history: DataFrame, batch: DataFrame, key: str, stated: DataFrame | None = None) -> DataFrame:
     """Facts of history(key, ..., status) after a batch of whole fact sets: the current facts of every
-    key in the batch turn stale unless its set is the same, then the set of the batch is added."""
+    key in the batch turn stale unless its set is the same, then the set of the batch is added.
+
+    stated: the keys that the batch speaks of, with those whose set is now empty; without it, the keys of
+    its facts."""
     content = [c for c in batch.columns if c != key]
     sets = lambda df: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*content))).alias("_set"))
     now, was = sets(batch), sets(history.where("status = 'CURRENT'")).withColumnRenamed("_set", "_was")
-    changed = now.join(was, key, "left").where(~F.col("_set").eqNullSafe(F.col("_was"))).select(key)
+    keys = (now if stated is None else stated).select(key).distinct()
+    changed = keys.join(now, key, "left").join(was, key, "left").where(~F.col("_set").eqNullSafe(F.col("_was"))).select(key)
     marked = history.join(changed.withColumn("_hit", F.lit(True)), key, "left")
     old = marked.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "CURRENT"), "STALE").otherwise(F.col("status"))).select(*history.columns)
     return old.unionByName(batch.join(changed, key, "left_semi").withColumn("status", F.lit("CURRENT")).select(*history.columns))

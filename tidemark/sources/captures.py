@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reconcile import same_content
@@ -12,13 +12,32 @@ from .store import exists
 REQUIRED = ["provider", "region", "dataset", "capture_id", "ingested_at_utc", "raw_record_sha256", "raw_record"]
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, split (its first byte), part and place (of the line among those that its task reads), value:
+    every line of the files, large ones read by as many tasks as they have splits."""
+    at = F.monotonically_increasing_id()
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.shiftright(at, 33).alias("part"), at.alias("place"), "value",
+    )
+
+
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1, blank lines counted), text of each line that is not blank. The line number
-    comes from the file as a whole, so it does not depend on how files are split; files are captures
-    of some days and small."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line", "text"))
-    return lines.where(F.trim("text") != "").withColumn("line", F.col("line") + 1)
+    """file, line (from 1, blank lines counted), text of each line that is not blank; a line ends with \\n
+    or \\r\\n.
+
+    Two passes over byte ranges: the first counts the line ends of each split, whose sums up to a split
+    are where its lines begin; the second reads the lines. Both are read by the same tasks: a split that
+    the second meets in another task than the first is an error, not a wrong number.
+    """
+    lines = _split_lines(spark, path)
+    counts = lines.groupBy("path", "split", "part").agg(F.count("*").alias("n"), F.min("place").alias("begins"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("begins") + 1).select("path", "split", "part", "offset")
+    numbered = lines.join(offsets, ["path", "split", "part"], "left")
+    line = F.coalesce(F.col("offset"), F.raise_error(F.lit("a split was read by another task")).cast("bigint")) + F.col("place")
+    text = F.regexp_replace(F.regexp_replace("value", "\r$", ""), F.when(F.col("line") == 1, "^\ufeff").otherwise("^(?!)"), F.lit(""))
+    return numbered.withColumn("line", line.cast("bigint")).select("file", "line", text.alias("text")).where(F.trim("text") != "")
 
 
 def field(name: str) -> Column:
