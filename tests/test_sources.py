@@ -135,7 +135,7 @@ def test_lines_of_split_files_keep_their_numbers(spark, tmp_path, split):
     """One file read by many tasks gives the numbers of the whole file."""
     want = set()
     for k, end in enumerate(("\n", "\r\n", "\n")):
-        lines = [("", "  ", f"line {i} " + "x" * (i * 7 % 80), "é" * (i % 20 + 1))[i * i % 4 if i % 5 else 0] for i in range(300 + 200 * k)]
+        lines = [("", "  ", f"line {i} " + "x" * (i * 7 % 80), "é" * (i % 20 + 1))[(i * 7 + i // 5) % 4] for i in range(300 + 200 * k)]
         (tmp_path / f"f{k}.jsonl").write_bytes(("﻿" + end.join(lines) + (end if k else "")).encode())
         want |= {(f"f{k}.jsonl", n, text) for n, text in enumerate(lines, 1) if text.strip(" ")}
     (tmp_path / "empty.jsonl").write_text("")
