@@ -3,13 +3,15 @@ states, guards on texts; and the DuckDB SQL each is compared with."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, baseline, digests, lineage, regions
+from ..operators import analytics, baseline, digests, guards, lineage, regions
 from ..operators.features import SERIES
+from ..params import HEDGES, REVIEW_KEYS, REVIEW_LISTS, REVIEW_STATES
 from ..sources.scratch import stash
 from ..sources.tables import observation_log, point_facts, table
 from ..streaming import sessions
@@ -75,7 +77,42 @@ def session_days(spark, d):
     return sessions.sessions_of(sessions.day_states(turns.unionByName(slept)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (retire_cascade, dirty_cells, renewed_baselines, hash_tree, hash_tree_difference, session_days)}
+#: What the turns of a conversation are made to say, by a rule on their keys, before their own text.
+SAID = [
+    "You have the flu and a chronic cough.", "It is possibly pneumonia.", "Under the influence of work.", "建议检查，可能是肺炎。", "患者有高血压。", "He drank wine and went to the gym.",
+    "No evidence of fever.", "Body temperature was 38.5 today.", "HRV is low; heart problems since May.", "昨晚喝酒，今天头痛。", "Take the medicine twice.", "Nothing to report.", "If there is fever, rest.",
+]
+#: What the evidence of a conversation names, by a rule on its key.
+NAMED = ["fever and cough since Monday", "训练 and gym", "nothing", "flu shot", "体温 37.2", "medication list"]
+
+
+def _pick(said: list[str], number: F.Column) -> F.Column:
+    return F.get(F.array(*map(F.lit, said)), (number % len(said)).cast("int"))
+
+
+def guard_findings(spark, d):
+    """Facts and diagnoses that turns assert and the evidence of their conversation does not name."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", _pick(SAID, F.col("conv_id") * 5 + F.col("turn")), "text").alias("text"))
+    evidence = turns.select("conv_id", "turn", _pick(NAMED, F.col("conv_id")).alias("text"))
+    return guards.unsupported(turns, evidence, ["conv_id", "turn"]).groupBy("kind", "group", "marker").agg(F.count("*").alias("n"), F.min("conv_id").alias("first"), F.max("turn").alias("last_turn"))
+
+
+_FINE = {k: [] if k in REVIEW_LISTS else None for k in REVIEW_KEYS} | {"review_status": "APPROVED", "review_summary": "fine", "required_changes": ["rest"]}
+#: Reviews of which all but the first two have an error, by a rule on the key of a turn.
+REVIEWS = [
+    json.dumps(x) for x in (
+        _FINE, _FINE | {"review_status": "ESCALATE", "escalation_reason": "chest pain"}, {k: v for k, v in _FINE.items() if k != "unsafe_actions"}, _FINE | {"review_status": "MAYBE"},
+        _FINE | {"medical_concerns": "one"}, _FINE | {"causality_concerns": [1, 2]}, _FINE | {"escalation_reason": 3}, _FINE | {"review_summary": None}, _FINE | {"review_status": "ESCALATE"}, ["no object"],
+    )
+] + ["{broken"]
+
+
+def review_checks(spark, d):
+    """What is wrong with the review of each turn."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(guards.review_problems(_pick(REVIEWS, F.col("conv_id") * 3 + F.col("turn"))), ",").alias("problems"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (retire_cascade, dirty_cells, renewed_baselines, hash_tree, hash_tree_difference, session_days, guard_findings, review_checks)}
 
 _KEYS = "metric, source_class, source_sid, offset_seconds"
 _SERIES = "metric || '|' || source_class || '|' || source_sid || '|' || offset_seconds"
@@ -102,6 +139,43 @@ def _hash_tree() -> str:
         {union}"""
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(items: list[str]) -> str:
+    return "[" + ", ".join(map(_text, items)) + "]"
+
+
+def _guards() -> str:
+    markers = ", ".join(f"({_text(k)}, {_text(g)}, {i}, {_text(m)}, {guards.is_word(m)})" for k, g, words in guards.GROUPS for i, m in enumerate(words))
+    letter = r"'^[\p{L}\p{N}_]$'"
+    return f"""with m(kind, grp, nth, marker, word) as (values {markers}),
+        o as (select conv_id, turn, lower(({_list(SAID)})[(conv_id * 5 + turn) % {len(SAID)} + 1] || coalesce(' ' || text, '')) as t, ({_list(NAMED)})[conv_id % {len(NAMED)} + 1] as e from conversations),
+        p as (select conv_id, turn, t, kind, grp, nth, marker, word, unnest(generate_series(1, length(t) - length(marker) + 1)) as p from o, m where contains(t, marker)
+              and not exists (select 1 from m b where b.kind = m.kind and b.grp = m.grp and contains(lower(o.e), b.marker))),
+        a as (select * from p where substr(t, p, length(marker)) = marker and (not word or (not (p > 1 and regexp_matches(substr(t, p - 1, 1), {letter}))
+              and not regexp_matches(substr(t, p + length(marker), 1), {letter})))),
+        f as (select * from a where not list_bool_or(list_transform({_list(HEDGES)}, lambda h: contains(substr(t, greatest(p - 50, 1), p + length(marker) + 50 - greatest(p - 50, 1)), h)))),
+        s as (select conv_id, turn, kind, grp, arg_min(marker, nth) as marker from f group by all)
+        select kind, grp as "group", marker, count(*) as n, min(conv_id) as first, max(turn) as last_turn from s group by all"""
+
+
+def _reviews() -> str:
+    path = lambda k: f"'$.{k}'"
+    missing = [f"case when not list_contains(json_keys(r), '{k}') then 'missing_{k}' end" for k in REVIEW_KEYS]
+    lists = [f"case when json_type(r, {path(k)}) is distinct from 'ARRAY' or list_bool_or(list_transform(json_extract(r, '$.{k}[*]'), lambda x: json_type(x) <> 'VARCHAR')) then 'not_texts_{k}' end" for k in REVIEW_LISTS]
+    state = "coalesce(json_extract_string(r, '$.review_status'), '')"
+    rules = [*missing, f"case when not list_contains({_list(REVIEW_STATES)}, {state}) then 'invalid_review_status' end", *lists,
+             "case when coalesce(json_type(r, '$.escalation_reason'), 'NULL') not in ('VARCHAR', 'NULL') then 'escalation_reason_not_text' end",
+             "case when json_type(r, '$.review_summary') is distinct from 'VARCHAR' then 'review_summary_not_text' end",
+             f"case when {state} = 'ESCALATE' and coalesce(json_extract_string(r, '$.escalation_reason'), '') = '' then 'escalation_without_reason' end"]
+    return f"""with c as (select conv_id, turn, ({_list(REVIEWS)})[(conv_id * 3 + turn) % {len(REVIEWS)} + 1] as r0 from conversations),
+        v as (select conv_id, turn, json_valid(r0) as fine, case when json_valid(r0) then r0 else '{{}}' end as r from c)
+        select conv_id, turn, case when not fine then 'not_an_object' when json_type(r) <> 'OBJECT' then 'not_an_object'
+               else array_to_string(list_filter([{", ".join(rules)}], lambda x: x is not null), ',') end as problems from v"""
+
+
 SQL: dict[str, str] = {
     "retire_cascade": f"""with recursive {_DEV}, links as (
             select 'SOURCE' as pl, source_sid as pid, 'FACT' as layer, fact_id::varchar as id from facts
@@ -124,6 +198,8 @@ SQL: dict[str, str] = {
                 where ch.day is not null or not c.known or c.as_of < bs.f or c.as_of > bs.t),
         isl as (select *, as_of - row_number() over (partition by {_KEYS}, window_days order by as_of)::integer as g from hit)
         select {_KEYS}, window_days, min(as_of) as from_date, max(as_of) as to_date from isl group by {_KEYS}, window_days, g""",
+    "guard_findings": _guards(),
+    "review_checks": _reviews(),
     "renewed_baselines": f"with {_NOW_BASE} select * from baselines",
     "hash_tree": _hash_tree(),
     "hash_tree_difference": f"""with {_POINTS}, log as (select fact_id as seq, user_id || '|' || metric || '|' || ts::date as logical, k % 3 as payload from facts)
