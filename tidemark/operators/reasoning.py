@@ -41,12 +41,13 @@ def with_analytics(days: DataFrame, persistent: DataFrame, changed: DataFrame, t
     """days(keys, signals) with the flags persistent, changed, trending of the analytics as of the same
     day (keys, and their class), and the signals PERSISTENT_HIGH and PERSISTENT_LOW."""
     kind = F.col("persistence_class")
-    runs = persistent.groupBy(*keys).agg(
-        F.bool_or(kind == "PERSISTENT_ABOVE_TYPICAL").alias("_high"), F.bool_or(kind == "PERSISTENT_BELOW_TYPICAL").alias("_low")
-    )
-    steps = changed.groupBy(*keys).agg(F.bool_or(F.col("change_class") == "CHANGE_DETECTED").alias("changed"))
-    slopes = trending.groupBy(*keys).agg(F.bool_or(F.col("trend_class").isin("RISING", "FALLING")).alias("trending"))
-    joined = days.join(runs, keys, "left").join(steps, keys, "left").join(slopes, keys, "left")
+    # All three are flags of a key: told as one table, they are dealt and joined once.
+    runs = persistent.select(*keys, (kind == "PERSISTENT_ABOVE_TYPICAL").alias("_high"), (kind == "PERSISTENT_BELOW_TYPICAL").alias("_low"))
+    steps = changed.select(*keys, (F.col("change_class") == "CHANGE_DETECTED").alias("changed"))
+    slopes = trending.select(*keys, F.col("trend_class").isin("RISING", "FALLING").alias("trending"))
+    flags = runs.unionByName(steps, allowMissingColumns=True).unionByName(slopes, allowMissingColumns=True)
+    folded = flags.groupBy(*keys).agg(*(F.bool_or(c).alias(c) for c in ("_high", "_low", "changed", "trending")))
+    joined = days.join(folded, keys, "left")
     more = F.array_compact(F.array(F.when(F.col("_high"), "PERSISTENT_HIGH"), F.when(F.col("_low"), "PERSISTENT_LOW")))
     return joined.withColumns({
         "signals": F.array_sort(F.concat("signals", more)), "persistent": F.coalesce(F.col("_high") | F.col("_low"), F.lit(False)),

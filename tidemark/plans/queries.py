@@ -15,6 +15,7 @@ from ..functions.scalar import contains_any, local_date, metric_of
 from ..functions.stats import last_n
 from ..operators import analytics, baseline, checks, evidence, features, ingest, product, quality, reasoning, reconcile
 from ..params import CONTEXT_KEYWORDS, DEFAULT, PAIRS, SCOPE_WORDS
+from ..sources.scratch import stash
 from ..sources.tables import episodes, long_series, observation_log, point_facts, segments, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +59,12 @@ def _contexts(spark: SparkSession, d: str) -> DataFrame:
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
     """subject, day with signals, contexts, overall state, candidates, confidence: the reasoning of each
-    day on the 28-day window, and on persistence (all windows), change points and trends as of the day."""
-    daily = _values(spark, d)
-    devs = analytics.deviations(daily, baseline.rolling_baselines(daily))
+    day on the 28-day window, and on persistence (all windows), change points and trends as of the day.
+
+    Daily values and deviations are used several times and are small beside the events: each is worked
+    out once and written."""
+    daily = stash(_values(spark, d).select(*features.SERIES, "local_date", "value"), "daily")
+    devs = stash(analytics.deviations(daily, baseline.rolling_baselines(daily)), "deviations")
     recent = devs.where("window_days = 28").select(
         F.col("source_sid").alias("subject"), F.col("local_date").alias("day"), _metric_name().alias("metric"), "deviation_class"
     )
@@ -457,13 +461,12 @@ def product_state(spark, d):
 
 def _judgments(spark, d):
     """Daily judgments with some days judged twice."""
-    days = _days(spark, d).select("subject", "day", "overall_state", "primary")
     n = F.dayofmonth("day")
-    first = days.select(F.lit(1).alias("id"), "*", F.when(n % 3 == 0, "STALE").otherwise("CURRENT").alias("status"))
-    second = days.where(n % 3 == 0).select(
-        F.lit(2).alias("id"), "subject", "day", F.lit("STABLE").alias("overall_state"), "primary", F.when(n % 2 == 0, "CURRENT").otherwise("STALE").alias("status")
-    )
-    return first.unionByName(second)
+    judged = lambda id_, state, status: F.struct(F.lit(id_).alias("id"), state.alias("overall_state"), status.alias("status"))
+    first = judged(1, F.col("overall_state"), F.when(n % 3 == 0, "STALE").otherwise("CURRENT"))
+    second = F.when(n % 3 == 0, judged(2, F.lit("STABLE"), F.when(n % 2 == 0, "CURRENT").otherwise("STALE")))
+    days = _days(spark, d).select("subject", "day", "primary", F.explode(F.array_compact(F.array(first, second))).alias("x"))
+    return days.select("x.id", "subject", "day", "x.overall_state", "primary", "x.status")
 
 
 def _episodes(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import first_timestamp, json_path, scalar_members, utc_date
 from ..operators import evidence, product, reconcile
+from ..sources.scratch import stash
 from ..sources.tables import observation_log, point_facts, table
 from . import queries as q
 from .oracles import _DAYS, _DEV, _JUDGED, _LOG, _POINTS, _STATES, ORACLES
@@ -96,8 +97,9 @@ def analytics_series(spark, d):
 def episode_events_search(spark, d):
     """Episodes whose key or one of whose events names what is looked for; those without events count."""
     events = point_facts(spark, d).where("metric = 'signup'").select(F.col("source_sid").alias("subject"), F.col("local_date").alias("day"), F.concat(F.lit("note "), F.col("k").cast("string")).alias("title"))
-    held = product.timeline(q._episodes(spark, d), events).select("subject", "episode_key", "title")
-    found = q._episodes(spark, d).join(held, ["subject", "episode_key"], "left").where(F.lower("title").contains("note 7") | F.lower("episode_key").contains("sleep"))
+    made = stash(q._episodes(spark, d), "episodes")
+    held = product.timeline(made, events).select("subject", "episode_key", "title")
+    found = made.join(held, ["subject", "episode_key"], "left").where(F.lower("title").contains("note 7") | F.lower("episode_key").contains("sleep"))
     return found.select("subject", "episode_key").distinct()
 
 
