@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, SYMPTOMS, Params
+from ..sources.scratch import stash
 from .reconcile import signature
 
 # What a deviation is called in a sentence.
@@ -124,3 +125,47 @@ def drill_down(shown: DataFrame, values: DataFrame, devs: DataFrame, baselines:
     name = F.struct("_n", F.concat_ws("/", F.col("as_of").cast("string"), F.col("window_days").cast("string")).alias("name"))
     base = known.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(name)), lambda x: x["name"]), ",").alias("latest_baselines"))
     return total.join(seen, keys, "left").join(base, keys, "left")
+
+
+#: What a full bundle says of each series or pair, and the parts in which it says it.
+PARTS = {"DEVIATION": "deviations", "PERSISTENCE": "persistence", "TREND": "trends", "CHANGE_POINT": "changes", "RELATIONSHIP": "relationships"}
+
+
+def full_bundles(said: DataFrame, asks: DataFrame, base: DataFrame, keys: list[str], lookback: int = 7) -> DataFrame:
+    """One bundle a row of asks(keys, day): the parts of PARTS, recent deviations, provenance, and what
+    base(keys, day, ...) says of it (see bundles), with a hash over all of it but base's own hash.
+
+    said(keys, kind, item, day, finding): what the analytics say of an item (a series or pair) as of a day.
+    Each part holds what was last said of every item up to the bundle's day, in the order of items:
+    array<struct<item, day, finding>>; a deviation only if it is of the last `lookback` days.
+    recent_deviations are all of those days. provenance names every row that went in, with the feature and
+    the baseline of each deviation. Of two findings of one item and day the greater one counts.
+
+    What is said is written once. Items of a key are few; the last finding is carried on by one sort by key, kind and item, in which a
+    bundle has as many rows as parts to fill.
+    """
+    once = stash(said.groupBy(*keys, "kind", "item", "day").agg(F.max("finding").alias("finding")), "findings")
+    days = asks.select(*keys, "day").distinct()
+    filled = once.select(*keys, "kind", "item").distinct().join(days, keys).withColumn("_ask", F.lit(1))
+    line = once.withColumn("_ask", F.lit(0)).unionByName(filled, allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "kind", "item").orderBy("day", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_ask") == 0, F.struct("day", "finding")), ignorenulls=True).over(order)
+    carried = line.withColumn("_last", last).where("_ask = 1 and _last is not null")
+    carried = carried.where((F.col("kind") != "DEVIATION") | (F.datediff("day", F.col("_last.day")) <= lookback))
+    told = F.struct("item", F.col("_last.day").alias("day"), F.col("_last.finding").alias("finding"))
+    parts = carried.groupBy(*keys, "day").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, told))).alias(part) for kind, part in PARTS.items()))
+    # Lately: the frame holds some days of a few items.
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    lately = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-lookback, 0)
+    devs = once.where("kind = 'DEVIATION'").withColumn("_day", number)
+    seen = devs.unionByName(days.withColumn("_day", number).withColumn("kind", F.lit("ASK")), allowMissingColumns=True)
+    recent = seen.withColumn("_seen", F.collect_list(F.when(F.col("kind") == "DEVIATION", F.struct("day", "item", "finding"))).over(lately)).where("kind = 'ASK'")
+    recent = recent.select(*keys, "day", F.array_sort("_seen").alias("recent_deviations"))
+    joined = days.join(parts, [*keys, "day"], "left").join(recent, [*keys, "day"], "left").join(base, [*keys, "day"], "left")
+    none = F.array().cast("array<struct<item: string, day: date, finding: string>>")
+    joined = joined.withColumns({part: F.coalesce(part, none) for part in PARTS.values()})
+    name = lambda kind: lambda x: F.concat_ws("|", F.lit(kind), x["item"], x["day"].cast("string"))
+    rows = [F.transform(part, name(kind)) for kind, part in [*PARTS.items(), ("FEATURE", "deviations"), ("BASELINE", "deviations")]]
+    whole = joined.withColumn("provenance", F.array_sort(F.concat(*rows)))
+    content = [c for c in whole.columns if c not in (*keys, "bundle_hash")]
+    return whole.withColumn("bundle_hash", signature(*content))

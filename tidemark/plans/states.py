@@ -5,18 +5,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, baseline, digests, guards, lineage, regions
+from ..operators import analytics, baseline, digests, evidence, guards, lineage, regions
 from ..operators.features import SERIES
-from ..params import HEDGES, REVIEW_KEYS, REVIEW_LISTS, REVIEW_STATES
+from ..params import HEDGES, PAIRS, REVIEW_KEYS, REVIEW_LISTS, REVIEW_STATES
 from ..sources.scratch import stash
 from ..sources.tables import observation_log, point_facts, table
 from ..streaming import sessions
-from .oracles import _BASE, _DEV, _POINTS
-from .queries import _values
+from .oracles import _BASE, _DEV, _POINTS, _ROLLING, ORACLES
+from .queries import _contexts, _values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +115,7 @@ def review_checks(spark, d):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (retire_cascade, dirty_cells, renewed_baselines, hash_tree, hash_tree_difference, session_days, guard_findings, review_checks)}
 
+
 _KEYS = "metric, source_class, source_sid, offset_seconds"
 _SERIES = "metric || '|' || source_class || '|' || source_sid || '|' || offset_seconds"
 _BEFORE = "(day(local_date) <> 20 or source_sid <> '6') and not (metric = 'signup' and source_sid = '2')"
@@ -139,6 +141,30 @@ def _hash_tree() -> str:
         {union}"""
 
 
+def evidence_full(spark, d):
+    """Bundles of a source's days with all parts: deviations, persistence, trends, changes, relationships,
+    recent deviations and provenance."""
+    daily = stash(_values(spark, d).select(*SERIES, "local_date", "value"), "daily")
+    devs = stash(analytics.deviations(daily, baseline.rolling_baselines(daily)), "deviations")
+    subject, metric = F.col("source_sid").alias("subject"), F.col("metric")
+    row = lambda df, kind, item, day, finding: df.select(subject, F.lit(kind).alias("kind"), item.alias("item"), F.col(day).alias("day"), F.col(finding).alias("finding"))
+    related = analytics.relationships(daily, PAIRS, ["source_class", "source_sid", "offset_seconds"])
+    said = [
+        row(devs.where("window_days = 28"), "DEVIATION", metric, "local_date", "deviation_class"),
+        row(analytics.persistence(devs, rolling=True), "PERSISTENCE", F.concat_ws("/", metric, F.col("window_days").cast("string")), "as_of", "persistence_class"),
+        row(analytics.trends(daily, SERIES, rolling=True), "TREND", metric, "as_of", "trend_class"),
+        row(analytics.change_points(daily, SERIES, rolling=True), "CHANGE_POINT", metric, "as_of", "change_class"),
+        row(related.where("as_of is not null"), "RELATIONSHIP", F.concat_ws("/", "left_metric", "right_metric"), "as_of", "relationship_class"),
+    ]
+    days = devs.where("window_days = 28").select(subject, F.col("local_date").alias("day"), "metric", "deviation_class", "maturity", F.abs("robust_z").alias("distance"))
+    made = evidence.full_bundles(reduce(DataFrame.unionByName, said), days, evidence.bundles(days, _contexts(spark, d), ["subject"]).drop("deviations", "bundle_hash"), ["subject"])
+    text = lambda part: F.array_join(F.transform(part, lambda x: F.concat_ws(":", x["item"], x["day"].cast("string"), x["finding"])), ",").alias(part)
+    return made.select(
+        "subject", "day", *(text(p) for p in evidence.PARTS.values()), F.size("recent_deviations").cast("bigint").alias("recent"), F.array_join("recent_context", ",").alias("recent_context"),
+        F.size("provenance").cast("bigint").alias("links"), F.sha2(F.array_join("provenance", ","), 256).alias("provenance_sha256"),
+    )
+
+
 def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -176,6 +202,37 @@ def _reviews() -> str:
                else array_to_string(list_filter([{", ".join(rules)}], lambda x: x is not null), ',') end as problems from v"""
 
 
+QUERIES["evidence_full"] = evidence_full
+
+
+def _full() -> str:
+    parts = {"DEVIATION": "deviations", "PERSISTENCE": "persistence", "TREND": "trends", "CHANGE_POINT": "changes", "RELATIONSHIP": "relationships"}
+    listed = ", ".join(f"coalesce(string_agg(item || ':' || vday || ':' || finding, ',' order by item) filter (where kind = '{k}'), '') as {p}" for k, p in parts.items())
+    return f"""with {_DEV}, {_ROLLING}, rel as ({ORACLES['relationship']}),
+        said as (
+            select source_sid as subject, 'DEVIATION' as kind, metric as item, local_date as vday, deviation_class as finding from devs where window_days = 28
+            union all select source_sid, 'PERSISTENCE', metric || '/' || window_days, local_date, case when rn < 3 then 'INSUFFICIENT_OBSERVATIONS' when above >= 3 then 'PERSISTENT_ABOVE_TYPICAL'
+                when below >= 3 then 'PERSISTENT_BELOW_TYPICAL' else 'NO_PERSISTENT_DEVIATION' end from pr2
+            union all select o.source_sid, 'TREND', o.metric, o.t, case when rn < 3 then 'INSUFFICIENT_OBSERVATIONS' when slope > 0 and rho >= 0.5 then 'RISING' when slope < 0 and rho <= -0.5 then 'FALLING' else 'STABLE' end
+                from ord o left join tsl a on a.metric = o.metric and a.source_sid = o.source_sid and a.t = o.t left join rhos b on b.metric = o.metric and b.source_sid = o.source_sid and b.t = o.t
+            union all select o.source_sid, 'CHANGE_POINT', o.metric, o.t, case when rn < 10 then 'INSUFFICIENT_EVIDENCE' when s.shift >= 3 then 'CHANGE_DETECTED' else 'NO_CHANGE' end
+                from ord o left join (select r.metric, r.source_sid, r.t, max(case when spread = 0 then case when a.m = b.m then 0.0 else 1e308 end else abs(b.m - a.m) / spread end) as shift
+                    from cres r join cmed a on r.metric = a.metric and r.source_sid = a.source_sid and r.t = a.t and r.k = a.k and not a.later
+                    join cmed b on r.metric = b.metric and r.source_sid = b.source_sid and r.t = b.t and r.k = b.k and b.later group by all) s on s.metric = o.metric and s.source_sid = o.source_sid and s.t = o.t
+            union all select source_sid, 'RELATIONSHIP', left_metric || '/' || right_metric, as_of, relationship_class from rel where as_of is not null),
+        asks as (select distinct subject, vday as day from said where kind = 'DEVIATION'),
+        carried as (select a.subject, a.day, kind, item, max(vday) as vday, arg_max(finding, vday) as finding from asks a join said s on s.subject = a.subject and s.vday <= a.day group by all),
+        kept as (select * from carried where kind <> 'DEVIATION' or day - vday <= 7),
+        names as (select subject, day, unnest(case when kind = 'DEVIATION' then [kind || '|' || item || '|' || vday, 'FEATURE|' || item || '|' || vday, 'BASELINE|' || item || '|' || vday]
+            else [kind || '|' || item || '|' || vday] end) as name from kept),
+        prov as (select subject, day, count(*) as links, sha256(string_agg(name, ',' order by name)) as provenance_sha256 from names group by all),
+        recent as (select a.subject, a.day, count(*) as recent from asks a join said s on s.subject = a.subject and s.kind = 'DEVIATION' and s.vday between a.day - 7 and a.day group by all),
+        ctx as (select subject, day, recent_context from ({ORACLES['evidence_bundle']}))
+        select k.subject, k.day, {listed}, r.recent, c.recent_context, p.links, p.provenance_sha256
+        from kept k join prov p on p.subject = k.subject and p.day = k.day join recent r on r.subject = k.subject and r.day = k.day left join ctx c on c.subject = k.subject and c.day = k.day
+        group by k.subject, k.day, r.recent, c.recent_context, p.links, p.provenance_sha256"""
+
+
 SQL: dict[str, str] = {
     "retire_cascade": f"""with recursive {_DEV}, links as (
             select 'SOURCE' as pl, source_sid as pid, 'FACT' as layer, fact_id::varchar as id from facts
@@ -198,6 +255,7 @@ SQL: dict[str, str] = {
                 where ch.day is not null or not c.known or c.as_of < bs.f or c.as_of > bs.t),
         isl as (select *, as_of - row_number() over (partition by {_KEYS}, window_days order by as_of)::integer as g from hit)
         select {_KEYS}, window_days, min(as_of) as from_date, max(as_of) as to_date from isl group by {_KEYS}, window_days, g""",
+    "evidence_full": _full(),
     "guard_findings": _guards(),
     "review_checks": _reviews(),
     "renewed_baselines": f"with {_NOW_BASE} select * from baselines",
