@@ -12,7 +12,7 @@ from .reconcile import signature
 # What a deviation is called in a sentence.
 PHRASES = {"ABOVE_TYPICAL_RANGE": "above the usual range", "BELOW_TYPICAL_RANGE": "below the usual range", "WITHIN_TYPICAL_RANGE": "within the usual range"}
 # Feedback verdicts and the status each sets.
-VERDICTS = {"accurate": "CONFIRMED", "inaccurate": "REJECTED", "partly": "CORRECTED"}
+VERDICTS = {"accurate": "CONFIRMED", "inaccurate": "REJECTED", "partly": "CORRECTED", "准确": "CONFIRMED", "不太准确": "REJECTED", "补充情况": "CORRECTED"}
 
 
 def bundles(devs: DataFrame, contexts: DataFrame, keys: list[str], params: Params = DEFAULT) -> DataFrame:

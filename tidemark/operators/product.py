@@ -54,9 +54,13 @@ def timeline(episodes_: DataFrame, events: DataFrame) -> DataFrame:
 def patterns(outcomes: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Counters of trigger and signal over outcomes(id, trigger, signal, confirmed, day), with what to
     show; first and last are the days of the first and last outcome processed."""
-    folded = outcomes.groupBy("trigger", "signal").agg(
+    return pattern_status(outcomes.groupBy("trigger", "signal").agg(
         F.sum(F.col("confirmed").cast("bigint")).alias("support"), F.count("*").alias("total"), F.min_by("day", "id").alias("first_seen"), F.max_by("day", "id").alias("last_seen"),
-    )
+    ), params)
+
+
+def pattern_status(folded: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Counters (support, total) with their maturity and what to show; null: nothing."""
     # The row that starts a pattern never establishes it.
     established = (F.col("support") >= params.pattern_support) & (F.col("total") > 1)
     weak = (F.col("total") >= 4) & (F.col("support") * 2 < F.col("total"))

@@ -35,7 +35,11 @@ class Ledger:
 
     def read(self, spark: SparkSession, upto: int) -> DataFrame:
         """The state after a batch, of those that are still to be told apart (see add)."""
-        base = max((n for n in self._done(spark, "merged") if n <= upto), default=-1)
+        return self._read(spark, upto, upto)
+
+    def _read(self, spark: SparkSession, upto: int, merged: int) -> DataFrame:
+        """The state after a batch, from a merged table of a batch up to `merged`."""
+        base = max((n for n in self._done(spark, "merged") if n <= merged), default=-1)
         paths = [f"{self.path}/merged/{base}"] if base >= 0 else []
         paths += [f"{self.path}/added/{n}" for n in self._done(spark, "added") if base < n <= upto]
         rows = spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
@@ -48,7 +52,8 @@ class Ledger:
         rows.write.mode("overwrite").parquet(f"{self.path}/added/{number}")
         if number % self.every != self.every - 1:
             return
-        whole = self.read(spark, number)
+        # A batch that is run again finds its own merged table, which it writes anew and must not read.
+        whole = self._read(spark, number, number - 1)
         (whole.sortWithinPartitions(*self.order) if self.order else whole).write.mode("overwrite").parquet(f"{self.path}/merged/{number}")
         older = [n for n in self._done(spark, "merged") if n < number]
         for kind, last in (("added", older[-1] if older else -1), ("merged", older[-1] - 1 if older else -1)):
