@@ -22,9 +22,9 @@ def _split_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1, blank lines counted), text of each line that is not blank; a line ends with \\n
-    or \\r\\n.
+def scan_archives(spark: SparkSession, path: str) -> DataFrame:
+    """path, file, line (from 1, blank lines counted), text of each line that is not blank; a line ends with
+    \\n or \\r\\n.
 
     Two passes over byte ranges: the first counts the line ends of each split, whose sums up to a split
     are where its lines begin; the second reads the lines. Both are read by the same tasks: a split that
@@ -37,7 +37,17 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     numbered = lines.join(offsets, ["path", "split", "part"], "left")
     line = F.coalesce(F.col("offset"), F.raise_error(F.lit("a split was read by another task")).cast("bigint")) + F.col("place")
     text = F.regexp_replace(F.regexp_replace("value", "\r$", ""), F.when(F.col("line") == 1, "^\ufeff").otherwise("^(?!)"), F.lit(""))
-    return numbered.withColumn("line", line.cast("bigint")).select("file", "line", text.alias("text")).where(F.trim("text") != "")
+    return numbered.withColumn("line", line.cast("bigint")).select("path", "file", "line", text.alias("text")).where(F.trim("text") != "")
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, text of each line that is not blank; see scan_archives."""
+    return scan_archives(spark, path).drop("path")
+
+
+def archive_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path and sha256 of each file. A file is one value here, so files are of at most 2 GB."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def field(name: str) -> Column:
