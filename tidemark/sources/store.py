@@ -11,7 +11,7 @@ import uuid
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reconcile import semantic_compare
@@ -43,22 +43,32 @@ def current_version(spark: SparkSession, path: str) -> int:
     return max((int(n) for n in names(spark, f"{path}/versions") if n.isdigit()), default=-1)
 
 
+def _named(spark: SparkSession, path: str, number: int) -> Row:
+    return spark.read.schema("version long, note string, data string").json(f"{path}/versions/{number}").first()
+
+
+def note(spark: SparkSession, path: str, number: int) -> str:
+    """What was noted of a version when it was committed."""
+    return _named(spark, path, number).note
+
+
 def read_version(spark: SparkSession, path: str, number: int) -> DataFrame:
-    named = spark.read.schema("version long, note string, data string").json(f"{path}/versions/{number}").first()
-    return spark.read.parquet(f"{path}/{named.data}")
+    return spark.read.parquet(f"{path}/{_named(spark, path, number).data}")
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     return read_version(spark, path, current_version(spark, path))
 
 
-def commit(df: DataFrame, path: str, note: str = "", after: int | None = None) -> int:
-    """Writes df as the version that follows `after` (the current one when the call begins), then names
-    it. Raises ConcurrentCommit if another writer was faster."""
-    spark = df.sparkSession
-    number = (current_version(spark, path) if after is None else after) + 1
+def write(df: DataFrame, path: str) -> str:
+    """Writes df beside the versions of a table, as none of them yet; returns its name for `name`."""
     data = f"data-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{data}")
+    return data
+
+
+def name(spark: SparkSession, path: str, number: int, note: str, data: str) -> None:
+    """Makes what was written a version. Raises ConcurrentCommit if another writer was faster."""
     row = spark.createDataFrame([(number, note, data)], "version long, note string, data string").toJSON().first()
     fs, where = _file(spark, f"{path}/versions/{number}")
     try:
@@ -69,6 +79,14 @@ def commit(df: DataFrame, path: str, note: str = "", after: int | None = None) -
         raise
     out.write(bytearray(row.encode() + b"\n"))
     out.close()
+
+
+def commit(df: DataFrame, path: str, note: str = "", after: int | None = None) -> int:
+    """Writes df as the version that follows `after` (the current one when the call begins), then names
+    it. Raises ConcurrentCommit if another writer was faster."""
+    spark = df.sparkSession
+    number = (current_version(spark, path) if after is None else after) + 1
+    name(spark, path, number, note, write(df, path))
     return number
 
 
