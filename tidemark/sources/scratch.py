@@ -21,8 +21,13 @@ def folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """The path of a new folder there."""
+    return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """df, written and read back."""
-    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
