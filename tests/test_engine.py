@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import baseline, checks, ingest, product, quality, reconcile
-from tidemark.plans import audits, oracles, queries, relational, states
+from tidemark.plans import audits, feedback, oracles, queries, rebuilds, relational, states
 from tidemark.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -13,12 +13,12 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_query_has_sql_and_rows(spark):
     assert set(queries.QUERIES) == set(oracles.ORACLES)
-    assert {*queries.QUERIES, *relational.QUERIES, *audits.QUERIES, *states.QUERIES} <= set(entry.queries()) & set(entry.oracle_sql())
+    assert {*queries.QUERIES, *relational.QUERIES, *audits.QUERIES, *states.QUERIES, *feedback.QUERIES, *rebuilds.QUERIES} <= set(entry.queries()) & set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
 
 
 def test_no_python_in_plans(spark):
-    for name, query in {**queries.QUERIES, **relational.QUERIES, **audits.QUERIES, **states.QUERIES}.items():
+    for name, query in {**queries.QUERIES, **relational.QUERIES, **audits.QUERIES, **states.QUERIES, **feedback.QUERIES, **rebuilds.QUERIES}.items():
         plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan, name
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics, audits, features, quality
+from ..sources.scratch import stash
 from ..sources.tables import observation_log, point_facts, table
 from . import queries as q
 from .oracles import _BASE, _DAILY, _DAYS, _DEV, _POINTS, ORACLES
@@ -13,10 +14,11 @@ from .oracles import _BASE, _DAILY, _DAYS, _DEV, _POINTS, ORACLES
 
 def audit_facts(spark, d):
     """Every 101st fact has lost its time, every 103rd says another class, every 107th is there twice, every
-    109th is gone, every 113th has evidence of an unknown kind."""
+    109th is gone, every 113th has evidence of an unknown kind, every 131st
+    is on the next day."""
     k = F.col("fact_id")
     facts = point_facts(spark, d).where(k % 109 != 0).select(
-        "fact_id", F.when(k % 101 != 0, F.col("ts")).alias("ts"), "local_date", "offset_seconds", "source_sid",
+        "fact_id", F.when(k % 101 != 0, F.col("ts")).alias("ts"), F.date_add("local_date", F.when(k % 131 == 0, 1).otherwise(0)).alias("local_date"), "offset_seconds", "source_sid",
         F.when(k % 103 == 0, "OTHER_SOURCE").otherwise(F.col("source_class")).alias("source_class"), F.when(k % 113 == 0, "GUESSED").otherwise("SENSOR_DERIVED").alias("evidence"),
     )
     log = observation_log(spark, d).select(F.col("seq").alias("fact_id")).where("fact_id % 127 <> 0")
@@ -57,33 +59,57 @@ def audit_features(spark, d):
 
 
 def audit_baselines(spark, d):
-    """Baselines of which those of the 20th are wrong in many ways."""
-    bad = F.dayofmonth("as_of") == 20
+    """Baselines of which those of the 3rd, the 20th and the 22nd to 26th are wrong in many ways."""
+    day = F.dayofmonth("as_of")
+    bad = day == 20
     w, low = F.col("window_days"), F.col("maturity") == "INSUFFICIENT_HISTORY"
     made = q._baselines(spark, d).withColumns({
         "q10": F.when(bad & (w == 7), F.col("q90") + 1).otherwise(F.col("q10")), "median": F.when(bad & (w == 28), F.coalesce("median", F.lit(0.0)) + 1).otherwise(F.col("median")),
         "coverage": F.when(bad & (w == 90), F.col("coverage") + 1).otherwise(F.col("coverage")), "maturity": F.when(bad & (w == 90) & ~low, "ESTABLISHED").otherwise(F.col("maturity")),
     })
+    made = made.withColumns({
+        "window_days": F.when((day == 22) & (w == 28), 29).otherwise(w), "mad": F.when((day == 23) & (w == 28), -1.0).otherwise(F.col("mad")),
+        "distinct_dates": F.when((day == 24) & (w == 7), 8).otherwise(F.col("distinct_dates")), "span_days": F.when((day == 25) & (w == 7), 8).otherwise(F.col("span_days")),
+        "median": F.when((day == 3) & (w == 90), F.coalesce("median", F.lit(0.0))).when((day != 26) | (w != 28), F.col("median")),
+    })
     return audits.baselines_audit(made.unionByName(made.where(F.dayofmonth("as_of") == 21)), features.SERIES)
 
 
 def audit_analytics(spark, d):
-    """Analytics of which those of one metric state what their numbers do not say."""
+    """Analytics of which those of some metrics state what their numbers do not say."""
     devs = q._deviations(spark, d).withColumn("deviation_class", F.when((F.col("metric") == "click") & (F.col("quantile_band") == "Q25_Q50"), "ABOVE_TYPICAL_RANGE").otherwise(F.col("deviation_class")))
-    runs = analytics.persistence(q._deviations(spark, d)).withColumn("persistence_class", F.when(F.col("metric") == "view", "PERSISTENT_ABOVE_TYPICAL").otherwise(F.col("persistence_class")))
-    changes = q.change_point(spark, d).withColumn("change_class", F.when(F.col("metric") == "error", "CHANGE_DETECTED").otherwise(F.col("change_class")))
+    view, day = F.col("metric") == "view", F.dayofmonth("local_date")
+    devs = devs.withColumns({
+        "absolute": F.when(view & (day == 3), 1.0).otherwise(F.col("absolute")), "z_reason": F.when(view & (day == 14), "PLANTED").otherwise(F.col("z_reason")),
+        "maturity": F.when(view & (day == 15), "INSUFFICIENT_HISTORY").otherwise(F.col("maturity")), "evidence": F.when(view & (day == 16), "SUFFICIENT").otherwise(F.col("evidence")),
+    })
+    metric = F.col("metric")
+    runs = analytics.persistence(q._deviations(spark, d)).withColumns({
+        "persistence_class": F.when(metric == "view", "PERSISTENT_ABOVE_TYPICAL").when(metric == "click", "NO_PERSISTENT_DEVIATION").otherwise(F.col("persistence_class")),
+        "above": F.when(metric == "purchase", 1).otherwise(F.col("above")), "below": F.when(metric == "purchase", 1).otherwise(F.col("below")),
+    })
+    changes = q.change_point(spark, d).withColumn("change_class", F.when(F.col("metric") == "error", "CHANGE_DETECTED").otherwise(F.col("change_class"))).withColumn("n", F.when(F.col("metric") == "signup", 9).otherwise(F.col("n")))
     pairs = q.relationship(spark, d).withColumn("relationship_class", F.when(F.col("left_metric") == "error", "CAUSES").otherwise(F.col("relationship_class")))
+    pairs = pairs.withColumns({"rho": F.when(F.col("left_metric") == "signup", 1.5).otherwise(F.col("rho")), "n": F.when(F.col("left_metric") == "purchase", 3).otherwise(F.col("n"))})
     return audits.analytics_audit(devs, runs, changes, pairs)
 
 
 def audit_reasoning(spark, d):
-    """Days of which the tenth are called stable and the eleventh have no hypothesis."""
+    """Days of which the tenth are called stable, the eleventh have no hypothesis, the twelfth are certain, the
+    13th in a state of no name, the 14th without support, the 15th in forbidden words, the 16th there twice,
+    the 17th without evidence and the 18th without a finding."""
     n = F.dayofmonth("day")
     days = q._days(spark, d).withColumns({
         "overall_state": F.when(n == 10, "STABLE").otherwise(F.col("overall_state")), "candidates": F.when(n == 11, F.slice("candidates", 1, 0)).otherwise(F.col("candidates")),
         "confidence": F.when(n == 12, "CERTAIN").otherwise(F.col("confidence")),
     })
-    return audits.reasoning_audit(days)
+    bare = F.transform("candidates", lambda c: c.withField("supporting", F.slice(c["supporting"], 1, 0)))
+    named = lambda kind: F.transform("candidates", lambda c: c.withField("type", F.lit(kind)))
+    days = days.withColumns({
+        "overall_state": F.when(n == 13, "ODD").when(n == 17, "INSUFFICIENT_EVIDENCE").otherwise(F.col("overall_state")), "candidates": F.when(n == 14, bare).when(n == 15, named("HEALTHY_SCORE")).when(n == 18, named("NO_SIGNIFICANT_FINDING")).otherwise(F.col("candidates")),
+    })
+    days = stash(days, "days")
+    return audits.reasoning_audit(days.unionByName(days.where(n == 16)))
 
 
 def audit_stages(spark, d):
@@ -115,7 +141,7 @@ _BANDS = "case quantile_band when 'ABOVE_Q90' then cls <> 'BELOW_TYPICAL_RANGE'
 
 ENTRIES = {
     audit_facts: f"""with {_POINTS}, f as (select *, fact_id % 127 = 0 as unlogged from facts where fact_id % 109 <> 0), t as (select * from f union all select * from f where fact_id % 107 = 0)
-        {_checks('t', {'no_time': 'fact_id % 101 = 0', 'wrong_source_class': 'fact_id % 103 = 0', 'unknown_evidence': 'fact_id % 113 = 0', 'wrong_local_date': 'false', 'fact_without_observation': 'unlogged'})}
+        {_checks('t', {'no_time': 'fact_id % 101 = 0', 'wrong_source_class': 'fact_id % 103 = 0', 'unknown_evidence': 'fact_id % 113 = 0', 'wrong_local_date': 'fact_id % 131 = 0 and fact_id % 101 <> 0', 'fact_without_observation': 'unlogged'})}
         union all {_checks('f', {'duplicate_fact': 'fact_id % 107 = 0'})} union all {_checks('facts', {'observation_without_fact': 'fact_id % 109 = 0 and fact_id % 127 <> 0'})}""",
     audit_provenance: f"""with e as (select event_id % 97 <> 0 as has, event_id % 83 <> 0 as used, event_id % 89 = 0 as changed from events)
         {_checks('e', {'raw_missing': 'not has and used', 'hash_differs': 'has and used and changed', 'raw_unused': 'has and not used'})}""",
@@ -135,22 +161,37 @@ ENTRIES = {
         t as (select * from x where has union all select * from x where has and dom = 8)
         {_checks('t', {'without_facts': 'not known', 'wrong_count': "known and dom = 5 and metric = 'click'", 'wrong_mean': 'known and dom = 6', 'zero_samples': "dom = 5 and metric = 'click'", 'unordered': 'dom = 7'})}
         union all {_checks('x', {'missing_day': 'known and not has', 'duplicate_feature': 'has and dom = 8'})}""",
-    audit_baselines: f"""with {_BASE}, x as (select *, day(as_of) = 20 as bad, day(as_of) = 21 as twice, maturity = 'INSUFFICIENT_HISTORY' as low from baselines),
-        t as (select * from x union all select * from x where twice)
-        {_checks('t', {'unknown_window': 'false', 'unordered': 'bad and window_days = 7 and not low', 'median_off': 'bad and window_days = 28 and not low', 'negative_mad': 'false', 'too_many_dates': 'false', 'span_over_window': 'false',
-                       'coverage_off': 'bad and window_days = 90', 'maturity_off': "bad and window_days = 90 and maturity = 'PROVISIONAL'", 'published_early': 'bad and window_days = 28 and low', 'not_published': 'false'})}
-        union all {_checks('x', {'duplicate_baseline': 'twice'})}""",
-    audit_analytics: f"""with {_DEV}, dv as (select *, case when metric = 'click' and quantile_band = 'Q25_Q50' then 'ABOVE_TYPICAL_RANGE' else deviation_class end as cls from devs),
-        ps as ({ORACLES['persistence']}), pq as (select *, case when metric = 'view' then 'PERSISTENT_ABOVE_TYPICAL' else persistence_class end as cls from ps),
-        cs as ({ORACLES['change_point']}), cq as (select *, case when metric = 'error' then 'CHANGE_DETECTED' else change_class end as cls from cs),
-        rq as ({ORACLES['relationship']})
-        {_checks('dv', {'class_off_band': f"cls <> 'INSUFFICIENT_BASELINE' and not ({_BANDS})", 'insufficient_with_numbers': 'false', 'z_without_spread': 'false', 'maturity_ignored': 'false', 'evidence_off': 'false'})}
-        union all {_checks('pq', {'run_without_days': "cls = 'PERSISTENT_ABOVE_TYPICAL' and above < 3 or cls = 'PERSISTENT_BELOW_TYPICAL' and below < 3", 'run_not_named': 'false', 'both_runs': 'false'})}
-        union all {_checks('cq', {'change_without_date': "cls = 'CHANGE_DETECTED' and split_date is null", 'change_too_small': "cls = 'CHANGE_DETECTED' and magnitude < 3", 'change_on_few': "n < 10 and cls <> 'INSUFFICIENT_EVIDENCE'"})}
-        union all {_checks('rq', {'rho_out_of_bounds': 'false', 'rho_on_few': 'false', 'cause_named': "left_metric = 'error'"})}""",
-    audit_reasoning: f"""with {_DAYS}, x as (select *, day(day) as dom, case when day(day) = 10 then 'STABLE' else overall_state end as st from days)
-        {_checks('x', {'unknown_state': 'false', 'unknown_confidence': 'dom = 12', 'no_hypothesis': 'dom = 11', 'without_support': 'false', 'blind_state': "(known = 0) <> (st = 'INSUFFICIENT_EVIDENCE')",
-                       'quiet_but_stable': "st = 'STABLE' and (above + below > 0 or persistent or changed)", 'finding_on_stable': "dom <> 11 and hypotheses[1] = 'NO_SIGNIFICANT_FINDING' and st <> 'STABLE'", 'forbidden_word': 'false', 'duplicate_day': 'false'})}""",
+    audit_baselines: f"""with {_BASE}, x as (select metric, source_sid, as_of, n, q25, q50, q75, q90, day(as_of) as dom, window_days as w, maturity = 'INSUFFICIENT_HISTORY' as low,
+            case when dom = 20 and w = 7 then q90 + 1 else q10 end as q10, case when dom = 20 and w = 28 then coalesce(median, 0) + 1 when dom = 3 and w = 90 then coalesce(median, 0) when dom = 26 and w = 28 then null else median end as median,
+            case when dom = 20 and w = 90 then coverage + 1 else coverage end as coverage, case when dom = 20 and w = 90 and not low then 'ESTABLISHED' else maturity end as maturity,
+            case when dom = 22 and w = 28 then 29 else w end as window_days, case when dom = 23 and w = 28 then -1.0 else mad end as mad,
+            case when dom = 24 and w = 7 then 8 else distinct_dates end as distinct_dates, case when dom = 25 and w = 7 then 8 else span_days end as span_days from baselines),
+        y as (select x.*, case when n < least then 'INSUFFICIENT_HISTORY' when n >= obs_n and span_days >= span_n and distinct_dates / x.window_days >= cov_n then 'ESTABLISHED' else 'PROVISIONAL' end as level, wins.least is not null as known
+            from x left join wins on wins.window_days = x.window_days),
+        t as (select * from y union all select * from y where dom = 21)
+        {_checks('t', {'unknown_window': 'not known', 'unordered': 'q10 > q25 + 1e-6 or q25 > q50 + 1e-6 or q50 > q75 + 1e-6 or q75 > q90 + 1e-6', 'median_off': 'abs(median - q50) > 1e-6', 'negative_mad': 'mad < 0',
+                       'too_many_dates': 'distinct_dates > window_days', 'span_over_window': 'span_days > window_days', 'coverage_off': 'abs(coverage - distinct_dates / window_days) > 1e-5', 'maturity_off': 'known and maturity <> level',
+                       'published_early': 'low and median is not null', 'not_published': 'not low and median is null'})}
+        union all {_checks('y', {'duplicate_baseline': 'dom = 21'})}""",
+    audit_analytics: f"""with {_DEV}, dv as (select *, case when metric = 'click' and quantile_band = 'Q25_Q50' then 'ABOVE_TYPICAL_RANGE' else deviation_class end as cls, metric = 'view' as pl, day(local_date) as dom,
+            case when pl and dom = 3 then 1.0 else absolute end as ab, case when pl and dom = 14 then 'PLANTED' else z_reason end as zr,
+            case when pl and dom = 15 then 'INSUFFICIENT_HISTORY' else maturity end as mat, case when pl and dom = 16 then 'SUFFICIENT' else evidence end as evi from devs),
+        ps as ({ORACLES['persistence']}), pq as (select *, case metric when 'view' then 'PERSISTENT_ABOVE_TYPICAL' when 'click' then 'NO_PERSISTENT_DEVIATION' else persistence_class end as cls,
+            case when metric = 'purchase' then 1 else above end as up, case when metric = 'purchase' then 1 else below end as down from ps),
+        cs as ({ORACLES['change_point']}), cq as (select *, case when metric = 'error' then 'CHANGE_DETECTED' else change_class end as cls, case when metric = 'signup' then 9 else n end as m from cs),
+        rs as ({ORACLES['relationship']}), rq as (select *, case when left_metric = 'signup' then 1.5 else rho end as r, case when left_metric = 'purchase' then 3 else n end as m from rs)
+        {_checks('dv', {'class_off_band': f"cls <> 'INSUFFICIENT_BASELINE' and not ({_BANDS})", 'insufficient_with_numbers': "cls = 'INSUFFICIENT_BASELINE' and (ab is not null or relative is not null or robust_z is not null)",
+                        'z_without_spread': 'zr is not null and robust_z is not null', 'maturity_ignored': "(cls = 'INSUFFICIENT_BASELINE') <> (mat = 'INSUFFICIENT_HISTORY')", 'evidence_off': "(evi = 'SUFFICIENT') <> (mat = 'ESTABLISHED')"})}
+        union all {_checks('pq', {'run_without_days': "cls = 'PERSISTENT_ABOVE_TYPICAL' and up < 3 or cls = 'PERSISTENT_BELOW_TYPICAL' and down < 3", 'run_not_named': "cls = 'NO_PERSISTENT_DEVIATION' and greatest(up, down) >= 3", 'both_runs': 'up > 0 and down > 0'})}
+        union all {_checks('cq', {'change_without_date': "cls = 'CHANGE_DETECTED' and split_date is null", 'change_too_small': "cls = 'CHANGE_DETECTED' and magnitude < 3", 'change_on_few': "m < 10 and cls <> 'INSUFFICIENT_EVIDENCE'"})}
+        union all {_checks('rq', {'rho_out_of_bounds': 'abs(r) > 1 + 1e-9', 'rho_on_few': 'm < 5 and r is not null', 'cause_named': "left_metric = 'error'"})}""",
+    audit_reasoning: f"""with {_DAYS}, x as (select *, day(day) as dom, case day(day) when 10 then 'STABLE' when 13 then 'ODD' when 17 then 'INSUFFICIENT_EVIDENCE' else overall_state end as st, case day(day) when 12 then 'CERTAIN' else confidence end as conf,
+            case day(day) when 11 then [] when 15 then list_transform(hypotheses, lambda h: 'HEALTHY_SCORE') when 18 then list_transform(hypotheses, lambda h: 'NO_SIGNIFICANT_FINDING') else hypotheses end as hs from days),
+        t as (select * from x union all select * from x where dom = 16)
+        {_checks('t', {'unknown_state': "st not in ('INSUFFICIENT_EVIDENCE', 'NOTABLE_CHANGE', 'MILD_CHANGE', 'STABLE')", 'unknown_confidence': "conf = 'CERTAIN'", 'no_hypothesis': 'len(hs) = 0', 'without_support': 'len(hs) > 0 and (dom = 14 or support = 0)',
+                       'blind_state': "(known = 0) <> (st = 'INSUFFICIENT_EVIDENCE')", 'quiet_but_stable': "st = 'STABLE' and (above + below > 0 or persistent or changed)", 'finding_on_stable': "hs[1] = 'NO_SIGNIFICANT_FINDING' and st <> 'STABLE'",
+                       'forbidden_word': "list_contains(hs, 'HEALTHY_SCORE')"})}
+        union all {_checks('x', {'duplicate_day': 'dom = 16'})}""",
     audit_stages: """with r as (select event_type as p, ts::date as d, max(event_id) as f, case when length(event_type) = 5 and day(ts::date) = 30 then 'FAIL' else 'PASS' end as s from events group by all)
         select p as pipeline, arg_max(s, d) = 'PASS' as last_passed, max(f) filter (where s = 'PASS') = max(f) as at_frontier, p <> 'signup' as has_rows from r group by p""",
     issue_log: f"""with {_BASE}, n as (select case when event_id % 50 = 0 then 'NOT_A_NUMBER' when json_extract_string(props, '$.k') is null then 'MISSING_FIELD' when event_id % 53 = 0 then 'TIME_MISMATCH' end as code from events),
