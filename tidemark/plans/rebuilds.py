@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import baseline, features, provenance
+from ..operators import accounts, baseline, features, provenance
 from ..operators.features import SERIES
 from ..sources import captures, stages, store
 from ..sources.scratch import place, stash
@@ -80,9 +80,52 @@ def rebuild_check(spark, d):
     return stages.full_rebuild(spark, root, _stages(), sources)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (rederive_archives, rebuild_check)}
+#: What is held of users, and what of it is given out.
+HELD = {
+    "customer": accounts.Held("c_custkey", ("c_custkey", "c_name", "c_mktsegment")), "orders": accounts.Held("o_custkey", ("o_orderkey", "o_orderstatus")),
+    "events": accounts.Held("user_id", ("event_id", "event_type")),
+}
+
+
+def _held(spark, d):
+    tables = {name: table(spark, d, name) for name in HELD}
+    return tables, tables["customer"].where("c_custkey % 23 = 7").select(F.col("c_custkey").alias("user_id"))
+
+
+def export_users(spark, d):
+    """All that is held of every 23rd user."""
+    tables, users = _held(spark, d)
+    return accounts.export(tables, HELD, users)
+
+
+def erase_users(spark, d):
+    """What is left of the tables once every 23rd user is taken out of all of them."""
+    tables, users = _held(spark, d)
+    root = place(spark, "held")
+    for name, held in HELD.items():
+        store.commit(tables[name].select(held.key, *(c for c in held.columns if c != held.key)), f"{root}/{name}")
+    return accounts.erase(spark, root, HELD, users)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (rederive_archives, rebuild_check, export_users, erase_users)}
+
+
+def _export() -> str:
+    parts = []
+    for name, held in HELD.items():
+        fields = ", ".join(f"{c} := {c}" for c in held.columns)
+        parts.append(f"select {held.key} as user_id, '{name}' as \"table\", to_json(struct_pack({fields}))::varchar as row from {name} where {held.key} in (select * from u)")
+    return f"with u as (select c_custkey from customer where c_custkey % 23 = 7) {' union all '.join(parts)}"
+
+
+def _erase() -> str:
+    gone = lambda key: f"{key} in (select c_custkey from customer where c_custkey % 23 = 7)"
+    return " union all ".join(f"select '{n}' as \"table\", count(*) filter (where {gone(h.key)}) as deleted, count(*) filter (where not {gone(h.key)}) as \"left\" from {n}" for n, h in HELD.items())
+
 
 SQL: dict[str, str] = {
+    "export_users": _export(),
+    "erase_users": _erase(),
     "rederive_archives": f"""with e as (select event_id, event_id // {LINES} as archive, row_number() over (partition by event_id // {LINES} order by event_id) as line,
             event_id % 73 = 0 as blank, event_id % 83 = 0 as broken, event_id % 79 = 0 as bare, event_id % 97 = 0 as moved, event_id % 89 = 0 as noted, event_id % 71 <> 0 as stored from events),
         a as (select archive, case when archive % 5 = 3 then 'MISSING_ARCHIVE' when archive % 5 = 1 and bool_or(blank or broken or bare or moved or noted) then 'ARCHIVE_HASH_MISMATCH' end as issue,

@@ -90,6 +90,23 @@ def commit(df: DataFrame, path: str, note: str = "", after: int | None = None) -
     return number
 
 
+def drop_data(spark: SparkSession, path: str, data: str) -> None:
+    """Deletes what was written and is no version, or none any more."""
+    fs, where = _file(spark, f"{path}/{data}")
+    fs.delete(where, True)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Drops all versions before the current one, with their data. Readers of those fail. The data go first,
+    so that a call that stops is gone on with by the next."""
+    last = current_version(spark, path)
+    for number in sorted(int(n) for n in names(spark, f"{path}/versions") if n.isdigit()):
+        if number < last:
+            drop_data(spark, path, _named(spark, path, number).data)
+            fs, where = _file(spark, f"{path}/versions/{number}")
+            fs.delete(where, False)
+
+
 _RUNS = "pipeline string, status string, frontier long"
 
 
