@@ -59,3 +59,28 @@ def test_all_agrees_then_every_kind_of_change_is_found(spark, tmp_path):
         ("b.jsonl", 7, "IDENTITY_MISMATCH"), ("b.jsonl", 7, "PAYLOAD_HASH_MISMATCH"), ("b.jsonl", 7, "RAW_JSON_MISMATCH"),
     ]
     assert {r.issue: (r.n, r.files) for r in provenance.summary(provenance.rederive(hashes, hashes, lines, bad)).collect()}["UNUSED_LINE"] == (1, 1)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_archives_are_read_for_one_join_and_their_lines_are_not_dealt_to_be_numbered(spark, tmp_path):
+    write(tmp_path, "a.jsonl", [line(i) for i in range(5)] + ["{oops"])
+    hashes, lines = read(spark, tmp_path)
+    made = provenance.observe(lines)
+    found = provenance.rederive(hashes, hashes, lines, spark.createDataFrame(made.collect(), made.schema))
+    assert "text" not in {scan.split(maxsplit=1)[0] for scan in plan(found).split("FileScan ")[1:]} and "Exchange" not in plan(lines).split("BroadcastHashJoin")[0]
+    assert "BroadcastHashJoin" in plan(lines) and [(r.line, r.issue) for r in found.collect()] == [(6, "UNUSED_LINE"), (None, "COUNT_MISMATCH")]
+
+
+def test_members_are_read_at_once_as_if_each_were_asked_for(spark):
+    raws = ['{"key":"a","sid":1.50,"time":1}', '{"key":null,"key":"b","key":"c","sid":{"z":1,"a":[1, 2]},"time":"3","time":4}', '{"key":"\\u00e9"}', '"text"', '"{\\"key\\":1}x"', "[1]", "null", "{oops"]
+    texts = [t % r for r in raws for t in ('{"provider":"p","raw_record":%s}', '{"provider":null,"provider":"p","provider":"q","raw_record":%s,"raw_record":{"key":2}}', '{"raw_record":%s} tail', "[%s]")]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "path string, line bigint, text string")
+    told = provenance.derive(lines)
+    raw = F.get_json_object("text", "$.raw_record")
+    asked = {"provider": F.get_json_object("text", "$.provider"), "raw_key": F.get_json_object(raw, "$.key"), "raw_sid": F.get_json_object(raw, "$.sid"), "raw_json": captures.canonical(raw),
+             "raw_time": F.get_json_object(raw, "$.time").try_cast("bigint"), "is_json": F.get_json_object("text", "$").isNotNull(), "has_record": F.json_object_keys(raw).isNotNull()}
+    assert told.where(~provenance._all(F.col(c).eqNullSafe(v) for c, v in asked.items())).count() == 0
+    assert told.where("has_record").count() > 10 and plan(told).count("json_tuple") == 2

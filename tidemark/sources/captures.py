@@ -28,13 +28,14 @@ def scan_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Two passes over byte ranges: the first counts the line ends of each split, whose sums up to a split
     are where its lines begin; the second reads the lines. Both are read by the same tasks: a split that
-    the second meets in another task than the first is an error, not a wrong number.
+    the second meets in another task than the first is an error, not a wrong number. The sums are a row
+    for each split, as many as Spark's own listing of them, so they are sent to the lines and not the lines to them.
     """
     lines = _split_lines(spark, path)
     counts = lines.groupBy("path", "split", "part").agg(F.count("*").alias("n"), F.min("place").alias("begins"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("begins") + 1).select("path", "split", "part", "offset")
-    numbered = lines.join(offsets, ["path", "split", "part"], "left")
+    numbered = lines.join(F.broadcast(offsets), ["path", "split", "part"], "left")
     line = F.coalesce(F.col("offset"), F.raise_error(F.lit("a split was read by another task")).cast("bigint")) + F.col("place")
     text = F.regexp_replace(F.regexp_replace("value", "\r$", ""), F.when(F.col("line") == 1, "^\ufeff").otherwise("^(?!)"), F.lit(""))
     return numbered.withColumn("line", line.cast("bigint")).select("path", "file", "line", text.alias("text")).where(F.trim("text") != "")
@@ -54,6 +55,15 @@ def field(name: str) -> Column:
     return F.get_json_object("text", f"$.{name}")
 
 
+def members(df: DataFrame, text: str, names: dict[str, str], plain: Column) -> DataFrame:
+    """df with members of the JSON object in a column, {new column: member}, as get_json_object gives each of them,
+    but the text is parsed once for all. Where a name comes twice in an object the two read it differently, so
+    where plain is not true each is asked for by itself."""
+    read = [f"_member_{c}" for c in names]
+    told = df.withColumn("_plain", plain).select("*", F.json_tuple(text, *names.values()).alias(*read))
+    return told.withColumns({c: F.when(F.col("_plain"), F.col(r)).otherwise(F.get_json_object(text, f"$.{m}")) for r, (c, m) in zip(read, names.items(), strict=True)}).drop("_plain", *read)
+
+
 def canonical(raw: Column) -> Column:
     """JSON text with the members of all objects in the order of their names, without blanks; texts,
     numbers and nested values keep their types."""
